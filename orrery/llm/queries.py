@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3_bpe
 from .quality import op7_quality
 from .sharding import op2_sharding
+from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
     "op7_quality": op7_quality,
 }
 
