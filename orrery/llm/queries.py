@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe
+from .jaccard import op8_jaccard_join
 from .quality import op7_quality
 from .sharding import op2_sharding
 from .toxicity import op4_toxicity
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op7_quality": op7_quality,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
