@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe
 from .jaccard import op8_jaccard_join
+from .lattice import op10_lattice_dedup
 from .quality import op7_quality
 from .sharding import op2_sharding
 from .toxicity import op4_toxicity
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op7_quality": op7_quality,
     "op8_jaccard_join": op8_jaccard_join,
+    "op10_lattice_dedup": op10_lattice_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
