@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import classify, common, textpack
 
 #: At most so many labelled texts are learnt from, and so many n-gram buckets kept.
-MOST_TEXTS, MOST_FEATURES = 24_000, 30_000
+MOST_TEXTS, MOST_FEATURES = 10_000, 20_000
 SIZES = (3, 4, 5, 6)
 BITS = 20
 _STEP = np.uint64(0x2545F4914F6CDD1D)
@@ -74,20 +74,20 @@ def _rows(texts: DataFrame, index: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
     table = texts.mapInArrow(run, "x binary, label int").orderBy("label", F.md5("x")).toArrow()
     x = [np.frombuffer(r, "<u2") for r in table.column("x").to_pylist()]
-    return np.concatenate([*x, np.zeros(0, "<u2")]).astype(np.int64), np.concatenate(([0], np.cumsum([len(r) for r in x]))).astype(np.int64), np.array(table.column("label").to_pylist(), float)
+    return np.concatenate([*x, np.zeros(0, "<u2")]).astype(np.int32), np.concatenate(([0], np.cumsum([len(r) for r in x]))).astype(np.int64), np.array(table.column("label").to_pylist(), float)
 
 
 def fit(cols: np.ndarray, offs: np.ndarray, y: np.ndarray, ratios: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights of the buckets (with the ratios multiplied in) and the intercept, by logistic regression on the scaled features."""
-    row = np.repeat(np.arange(len(y)), np.diff(offs))
-    r = ratios[cols]
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(offs))
+    r = ratios[cols].astype(np.float32)
     prior = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     w, b = np.zeros(len(ratios)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        f = np.bincount(row, r * w[cols], len(y)) + b
+        f = np.bincount(row, r * w.astype(np.float32)[cols], len(y)) + b
         e = (classify.sigmoid(f) - y) / len(y)
-        g = np.append(np.bincount(cols, r * e[row], len(w)) + decay * w / 10, e.sum())
+        g = np.append(np.bincount(cols, r * e.astype(np.float32)[row], len(w)) + decay * w / 10, e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
