@@ -23,6 +23,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # the cleaner drops the shuffle files of jobs that nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 
 

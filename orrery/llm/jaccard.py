@@ -76,7 +76,7 @@ def _dealt(bucket: np.ndarray, columns: list[np.ndarray], names: list[str], kind
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, int)
-    ends = np.append(cut[1:], len(b))
+    ends = np.append(cut[1:], len(b)) if len(b) else cut
     packs = []
     for c in columns:
         c = np.ascontiguousarray(c[order])

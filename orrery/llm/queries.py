@@ -10,6 +10,7 @@ from .bpe import op3_bpe
 from .jaccard import op8_jaccard_join
 from .lattice import op10_lattice_dedup
 from .quality import op7_quality
+from .repeats import op9_repeats
 from .sharding import op2_sharding
 from .toxicity import op4_toxicity
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op7_quality": op7_quality,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_repeats": op9_repeats,
     "op10_lattice_dedup": op10_lattice_dedup,
 }
 
