@@ -13,11 +13,13 @@ from .quality import op7_quality
 from .repeats import op9_repeats
 from .sharding import op2_sharding
 from .toxicity import op4_toxicity
+from .winnow import op5_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_winnowing": op5_winnowing,
     "op7_quality": op7_quality,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_repeats": op9_repeats,
