@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3_bpe
 from .jaccard import op8_jaccard_join
 from .lattice import op10_lattice_dedup
+from .mixing import op1_mixing, op1_sql
 from .quality import op7_quality
 from .repeats import op9_repeats
 from .sharding import op2_sharding
@@ -16,6 +17,7 @@ from .toxicity import op4_toxicity
 from .winnow import op5_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
@@ -26,4 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lattice_dedup": op10_lattice_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": op1_sql(),
+}
