@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3_bpe
 from .jaccard import op8_jaccard_join
 from .lattice import op10_lattice_dedup
+from .lmscore import OP6_SQL, op6_lm_scoring
 from .mixing import op1_mixing, op1_sql
 from .quality import op7_quality
 from .repeats import op9_repeats
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_winnowing": op5_winnowing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_quality": op7_quality,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_repeats": op9_repeats,
@@ -30,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": op1_sql(),
+    "op6_lm_scoring": OP6_SQL,
 }
