@@ -4,13 +4,13 @@ Documents with the same shingle set are one class; classes with the same
 prefix and set size are one group, and only groups are joined.
 
 The prefix. Shingles are ordered by (kind, hash): first the *low* ones, whose
-hash is under a fixed share of the range, then the others, last the low ones
+hash is under a fixed share of the range, then the others, last all *hot* ones,
 that more than `hot` groups hold. This is one order of all shingles, so two
 sets with enough overlap share a shingle among the first n - ceil(t n) + 1 of
 each. Most sets have that many low shingles that are not hot: their prefix is
-found from the low ones alone. The rest, short sets and those made mostly of
-text that many documents hold, are *deep*; their remaining prefix, shingles of
-the second and third kind, is joined among themselves.
+found from the low ones alone. The rest, short sets and those with much text
+that many documents hold, are *deep*: their other shingles are joined among
+themselves. Only sets made mostly of hot shingles go on to join those.
 
 Links between sets that are in one component anyway need no check. So each
 round checks few pairs first (a star in each list), and then only pairs whose
@@ -91,27 +91,43 @@ def _gathered(table: pa.Table, column: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
 
-def low_postings(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """(bucket, tokens, gids, sizes): the low shingles of every group, packed by hash bucket; once a slice and group."""
+def _postings(texts: DataFrame, k: int, buckets: int, low: bool) -> DataFrame:
+    """(bucket, tokens, gids, sizes), packed by hash bucket, once a task's chunk and owner.
+
+    low: the low shingles of every group. Else: the other shingles of the deep classes in column `key`.
+    """
     names = ["bucket", "tokens", "gids", "sizes"]
 
+    def dealt(seen: dict[int, tuple[np.ndarray, int]]) -> pa.RecordBatch:
+        many = np.array([len(x) for x, _ in seen.values()])
+        tokens = np.concatenate([x for x, _ in seen.values()])
+        owners = np.repeat(np.fromiter(seen, np.int64, len(seen)), many)
+        sizes = np.repeat(np.array([n << 32 for _, n in seen.values()], np.int64) | many, many)
+        return _dealt((textpack.mix(tokens) % np.uint64(buckets)).astype(np.int64), [tokens, owners, sizes], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[np.ndarray, int]] = {}
+        held = 0
         for batch in batches:
-            for _, buf, offs in textpack.slices(batch, "text", 6 << 20):
-                seen: dict[int, tuple[np.ndarray, int]] = {}
-                for s in _sets(buf, offs, k):
-                    if len(s):
-                        g, low = _group(s)
-                        seen[g] = low, len(s) << 32 | len(low)
-                if not seen:
-                    continue
-                many = np.array([len(low) for low, _ in seen.values()])
-                tokens = np.concatenate([low for low, _ in seen.values()])
-                gids = np.repeat(np.fromiter(seen, np.int64, len(seen)), many)
-                sizes = np.repeat(np.array([n for _, n in seen.values()], np.int64), many)
-                yield _dealt((textpack.mix(tokens) % np.uint64(buckets)).astype(np.int64), [tokens, gids, sizes], names)
-
-    return docs.select("text").mapInArrow(run, "bucket int, tokens binary, gids binary, sizes binary")
+            for part, buf, offs in textpack.slices(batch, "text"):
+                keys = None if low else part.column("key").to_pylist()
+                for i, s in enumerate(_sets(buf, offs, k)):
+                    if low:
+                        owner, own = _group(s)
+                    elif (owner := _key(s)) == keys[i]:  # else another text under the same doc_id
+                        own = s[np.searchsorted(s, _LOW) :]
+                    else:
+                        continue
+                    if len(own) and owner not in seen:
+                        seen[owner] = own.copy(), len(s)
+                        held += len(own)
+                if held > 400_000:
+                    yield dealt(seen)
+                    seen, held = {}, 0
+        if seen:
+            yield dealt(seen)
+
+    return texts.select("text", *([] if low else ["key"])).mapInArrow(run, "bucket int, tokens binary, gids binary, sizes binary")
 
 
 _FOUND = ["kind", "part", "x", "y", "c", "nx", "ny"]
@@ -184,29 +200,35 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).drop("rep", "doc_id")
 
 
-def _deep_prefixes(docs: DataFrame, deep: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(token, key, n): what the prefix of each deep class holds besides low shingles that are not hot."""
+def _near_pairs(postings: DataFrame, parts: int, hot: int, num: int, den: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y) of owners that share enough of the posted shingles to be near, and (gid, n_hot, hot) of owners of hot ones."""
+    found = postings.groupBy("bucket").applyInArrow(lambda t: _join_bucket(t, parts, hot, num, den), "kind int, part int, x binary, y binary, c binary, nx binary, ny binary")
+    found = common.written(found, f"{name}-found")
+    hot_of = common.written(found.where("kind = 1").groupBy("part").applyInArrow(_sum_hot, "gid long, n_hot long, hot binary"), f"{name}-hot")
+    pairs = found.where("kind = 0").groupBy("part").applyInArrow(_sum_pairs, "x long, y long, c long, nx long, lx long, ny long, ly long")
+    n_hot = lambda c: hot_of.select(F.col("gid").alias(c), F.col("n_hot").alias("h" + c))
+    # sets that near differ in few shingles, so they share most of the posted ones
+    apart = F.floor((F.col("nx") + F.col("ny")) * (den - num) / (den + num))
+    short = F.col("lx") + F.col("ly") - apart - 2 * F.col("c")
+    pairs = pairs.where(short <= 2 * F.least("lx", "ly"))
+    pairs = pairs.join(n_hot("x"), "x", "left").join(n_hot("y"), "y", "left").fillna(0, ["hx", "hy"]).where(short <= 2 * F.least("hx", "hy"))
+    pairs = common.written(pairs.select("x", "y"), f"{name}-pairs")
+    common.drop_written(found)
+    return pairs, hot_of
+
+
+def _tails(deep: DataFrame) -> DataFrame:
+    """(token, key, n, rest): the hot shingles in the prefixes of sets that have too few others; rest counts a set's shingles from this one on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, offs in textpack.slices(batch, "text"):
-                rows = zip(_sets(buf, offs, k), part.column("key").to_pylist(), part.column("n_cold").to_pylist(), part.column("hot").to_pylist(), strict=True)
-                tokens, keys, sizes = [], [], []
-                for s, key, cold, hot in rows:
-                    if _key(s) != key:
-                        continue  # another text under the same doc_id
-                    n = len(s)
-                    need = n + (-num * n // den) + 1 - cold
-                    rest = s[np.searchsorted(s, _LOW) :][:need]
-                    if len(rest) < need and hot:
-                        rest = np.concatenate([rest, np.frombuffer(hot, "<u8")[: need - len(rest)]])
-                    tokens.append(rest)
-                    keys.append(np.full(len(rest), key, np.int64))
-                    sizes.append(np.full(len(rest), n, np.int64))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["token", "key", "n"])
+            for row in batch.to_pylist():
+                tokens = np.frombuffer((row["hot"] or b"") + (row["hot_high"] or b""), "<i8")[: row["need"]]
+                many = len(tokens)
+                rest = np.arange(row["hots"], row["hots"] - many, -1, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(many, row["key"])), pa.array(np.full(many, row["n"])), pa.array(rest)], names=["token", "key", "n", "rest"])
 
-    return _texts(docs, deep).mapInArrow(run, "token long, key long, n long").distinct()
+    return deep.select("key", "n", "need", "hots", "hot", "hot_high").mapInArrow(run, "token long, key long, n long, rest long")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -265,28 +287,28 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, hot
     some = sets.where("n > 0")
     classes = common.written(some.groupBy("key", "gid", "n", "n_low").agg(F.min("doc_id").alias("doc_id")), "classes")
     buckets = max(common.partitions(spark, 4), sets.count() // 2000)
-    posted = low_postings(docs, k, buckets)
-    found = posted.groupBy("bucket").applyInArrow(lambda t: _join_bucket(t, buckets, hot, num, den), "kind int, part int, x binary, y binary, c binary, nx binary, ny binary")
-    found = common.written(found, "found")
-    hot_of = common.written(found.where("kind = 1").groupBy("part").applyInArrow(_sum_hot, "gid long, n_hot long, hot binary"), "hot")
-    group_pairs = found.where("kind = 0").groupBy("part").applyInArrow(_sum_pairs, "x long, y long, c long, nx long, lx long, ny long, ly long")
-    n_hot = lambda c: hot_of.select(F.col("gid").alias(c), F.col("n_hot").alias("h" + c))
-    group_pairs = group_pairs.join(n_hot("x"), "x", "left").join(n_hot("y"), "y", "left").fillna(0, ["hx", "hy"])
-    # sets that near differ in few shingles, so they share most low ones
-    apart = F.floor((F.col("nx") + F.col("ny")) * (den - num) / (den + num))
-    group_pairs = group_pairs.where(2 * (F.col("c") + F.least("hx", "hy")) >= F.col("lx") + F.col("ly") - apart).select("x", "y")
-    group_pairs = common.written(group_pairs, "group-pairs")
+    parts = max(8, buckets // 16)  # a row goes from each bucket to each part
+    group_pairs, hot_of = _near_pairs(_postings(docs, k, buckets, True), parts, hot, num, den, "low")
     # deep classes
     prefix = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
     deep = classes.join(hot_of, "gid", "left").withColumn("n_cold", F.col("n_low") - F.coalesce("n_hot", F.lit(0))).where(F.col("n_cold") < prefix)
-    tails = common.written(_deep_prefixes(docs, deep.select("key", "doc_id", "n_cold", "hot"), k, num, den), "tails")
-    # round one: a star in each list
+    deep = common.written(deep.select("key", "n", "n_low", "n_cold", "hot", "doc_id"), "deep")
+    deep_pairs, hot_high = _near_pairs(_postings(_texts(docs, deep.select("key", "doc_id")), k, buckets, False), parts, hot, num, den, "high")
+    hot_high = hot_high.select(F.col("gid").alias("key"), F.col("n_hot").alias("n_high"), F.col("hot").alias("hot_high"))
+    hots = F.col("n_low") - F.col("n_cold") + F.coalesce("n_high", F.lit(0))
+    deepest = deep.join(hot_high, "key", "left").withColumn("hots", hots).withColumn("need", prefix - F.col("n") + F.col("hots"))
+    tails = common.written(_tails(deepest.where("need > 0")), "tails")
+    # round one: few pairs of each list
     first = classes.groupBy("gid").agg(F.min("key").alias("lead"), F.count("*").alias("many"))
     lead = lambda c: first.select(F.col("gid").alias(c), F.col("lead").alias("k" + c))
-    pairs = group_pairs.join(lead("x"), "x").join(lead("y"), "y").select(F.col("kx").alias("a"), F.col("ky").alias("b"))
+    one = lambda pairs: pairs.groupBy("y").agg(F.min("x").alias("x"))
+    pairs = one(group_pairs).join(lead("x"), "x").join(lead("y"), "y").select(F.col("kx").alias("a"), F.col("ky").alias("b"))
     pairs = pairs.union(classes.join(first.where("many > 1").select("gid", "lead"), "gid").select("lead", "key"))
-    heads = tails.groupBy("token").agg(F.min_by("key", F.struct("n", "key")).alias("lead"), F.min("n").alias("n_lead"), F.count("*").alias("many")).where("many > 1")
-    pairs = pairs.union(tails.join(heads, "token").where(f"{den} * n_lead >= {num} * n").select("lead", "key"))
+    pairs = pairs.union(one(deep_pairs).select("x", "y"))
+    # the text that the others of a list vary has the fewest shingles of its own
+    heads = tails.groupBy("token").agg(F.min(F.struct(F.expr("n - rest").alias("own"), "n", "key")).alias("lead"), F.count("*").alias("many")).where("many > 1")
+    stars = tails.join(heads.select("token", "lead"), "token").where("lead.key <> key").groupBy("key").agg(F.min("lead").alias("lead")).select("key", "lead.key").toDF("key", "lead")
+    pairs = pairs.union(stars.select("lead", "key"))
     pairs = common.written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = _verified(docs, classes, pairs, k, num, den)
     parts = common.connected_components(links).withColumnRenamed("node", "key")
@@ -302,11 +324,15 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, hot
     mixed = many.where("lo <> hi").select("gid")
     inside = side("a").join(mixed, F.col("ga") == F.col("gid")).drop("gid")
     left = left.union(inside.join(side("b"), (F.col("ga") == F.col("gb")) & apart & (F.col("a") < F.col("b"))).select("a", "b"))
+    ends = lambda c: named.select(F.col("key").alias(c), F.col("part").alias("p" + c))
+    left = left.union(deep_pairs.join(ends("x"), "x").join(ends("y"), "y").where("px <> py").select("x", "y"))
     tailed = tails.join(named.select("key", "part"), "key")
     mixed = tailed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
     tailed = tailed.join(mixed, "token")
-    tail = lambda s: tailed.select(F.col("token").alias("t" + s), F.col("key").alias(s), F.col("n").alias("n" + s), F.col("part").alias("p" + s))
-    left = left.union(tail("a").join(tail("b"), (F.col("ta") == F.col("tb")) & apart & (F.col("a") < F.col("b"))).select("a", "b"))
+    tail = lambda s: tailed.select(F.col("token").alias("t" + s), F.col("key").alias(s), F.col("n").alias("n" + s), F.col("part").alias("p" + s), F.col("rest").alias("r" + s))
+    # what two sets share stands from their first common shingle on
+    enough = (num + den) * F.least("ra", "rb") >= num * (F.col("na") + F.col("nb"))
+    left = left.union(tail("a").join(tail("b"), (F.col("ta") == F.col("tb")) & apart & enough & (F.col("a") < F.col("b"))).select("a", "b"))
     left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     left = common.written(left, "pairs")
     if not left.isEmpty():
