@@ -19,9 +19,9 @@ def interleave(
 
     Rows are ranked by `order_key` (a seeded hash as a hex string, uniform in
     its first digits) inside their stratum, sorted by the fractional rank
-    (rank - 1/2) / stratum size, and the sorted sequence is cut into n_shards
+    (rank - shift) / stratum size, and the sorted sequence is cut into n_shards
     runs whose lengths differ by one row at most. Each run so holds each
-    stratum's share to within one row.
+    stratum's share, to within a few rows.
 
     Neither sort meets in one task: ranks are counted inside hash buckets, so a
     stratum with a third of all rows is dealt to many tasks, and the buckets'
@@ -47,8 +47,9 @@ def interleave(
     }).fillna(0, ["__before"]).drop("__c")
     rows = rows.join(counts.hint("shuffle_hash"), ["__s", "__b"])
     rank = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__k", "__t")) + F.col("__before")
-    # (2 rank - 1) / (2 n) as a double: equal fractions of different strata are equal numbers
-    rows = rows.withColumn("__f", (2 * rank - 1) / (2 * F.col("__n"))).drop("__b", "__before", "__n")
+    # each stratum is shifted by a part of a rank of its own, so that small strata do not all fall into the middle
+    shift = F.conv(F.substring(F.md5("__s"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    rows = rows.withColumn("__f", (rank - shift) / F.col("__n")).drop("__b", "__before", "__n")
     rows = rows.withColumn("__g", F.least(F.floor(F.col("__f") * fine), F.lit(fine - 1)).cast("int"))
     starts = rows.groupBy("__g").agg(F.count("*").alias("__c"))
     starts = starts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
