@@ -79,6 +79,8 @@ def _rows(texts: DataFrame, index: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def fit(cols: np.ndarray, offs: np.ndarray, y: np.ndarray, ratios: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights of the buckets (with the ratios multiplied in) and the intercept, by logistic regression on the scaled features."""
+    if not len(y):  # no document of the sample is there
+        return np.zeros(len(ratios)), 0.0
     row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(offs))
     r = ratios[cols].astype(np.float32)
     prior = np.clip(y.mean(), 1e-3, 1 - 1e-3)
