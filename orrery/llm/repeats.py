@@ -19,6 +19,7 @@ anchor in very many classes is not gathered at all: there each window of
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +65,12 @@ def _anchor_postings(docs: DataFrame, gram: int, least: int, buckets: int) -> Da
     """(bucket, h, cls, twice): each class's anchors, packed by hash bucket; `twice` if one text has the anchor more than once."""
     names = ["bucket", "h", "cls", "twice"]
 
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, cls, twice = (np.concatenate(c) for c in zip(*held, strict=True))
+        return _dealt((textpack.mix(h) % np.uint64(buckets)).astype(np.int64), [h, cls, twice], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for part, buf, offs in textpack.slices(batch, "text"):
                 pos, h = anchors(buf, offs, gram, least)
@@ -79,8 +85,12 @@ def _anchor_postings(docs: DataFrame, gram: int, least: int, buckets: int) -> Da
                 h, doc = h[order], doc[order]
                 new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
                 twice = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
-                h, doc = h[new], doc[new]
-                yield _dealt((textpack.mix(h) % np.uint64(buckets)).astype(np.int64), [h, cls[doc], twice], names)
+                held.append((h[new], cls[doc[new]], twice))
+                if len(held) >= 8:
+                    yield dealt(held)
+                    held = []
+        if held:
+            yield dealt(held)
 
     return docs.select("cls", "text").mapInArrow(run, "bucket int, h binary, cls binary, twice binary")
 
@@ -132,7 +142,7 @@ def _contexts(staged: DataFrame, gram: int, least: int, buckets: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, offs in textpack.slices(batch, "text", 2 << 20):
+            for part, buf, offs in textpack.slices(batch, "text"):
                 pos, h = anchors(buf, offs, gram, least)
                 dids, clss = (part.column(c).to_numpy() for c in ("did", "cls"))
                 doc = np.searchsorted(offs, pos, "right") - 1
@@ -148,17 +158,18 @@ def _contexts(staged: DataFrame, gram: int, least: int, buckets: int) -> DataFra
                 k = np.flatnonzero(keep & ~hot & (left + right >= least))
                 if len(k):
                     p, d, l, r = pos[k], doc[k], left[k], right[k]
-                    step = np.arange(-side, width - side)
-                    at = p[:, None] + step
-                    context = np.where((step >= -l[:, None]) & (step < r[:, None]), buf[np.clip(at, 0, len(buf) - 1)], np.uint8(0))
-                    same = _hash_rows(context) ^ textpack.mix((l * 1000 + r).astype(np.uint64)) ^ h[k]
+                    step, l, r = np.arange(-side, width - side, dtype=np.int16), l.astype(np.int16), r.astype(np.int16)
+                    wide = np.concatenate([np.zeros(side, np.uint8), buf, np.zeros(width, np.uint8)])
+                    context = np.lib.stride_tricks.sliding_window_view(wide, width)[p]
+                    context[(step < -l[:, None]) | (step >= r[:, None])] = 0
+                    same = _hash_rows(context) ^ textpack.mix(l.astype(np.uint64) * np.uint64(1000) + r.astype(np.uint64)) ^ h[k]
                     order = np.lexsort((p, clss[d], dids[d], same))
                     again = np.concatenate(([False], same[order][1:] == same[order][:-1]))
                     x, y = order[again], order[~again]
                     if len(x):
                         base = offs[d[x]]
                         yield local(dids[d[x]], clss[d[x]], p[x] - l[x] - base, p[x] + r[x] - base, same[x])
-                    cols = [h[k[y]], dids[d[y]], clss[d[y]], p[y] - offs[d[y]], l[y].astype(np.int16), r[y].astype(np.int16), context[y]]
+                    cols = [h[k[y]], dids[d[y]], clss[d[y]], p[y] - offs[d[y]], l[y], r[y], context[y]]
                     yield _dealt((textpack.mix(cols[0]) % np.uint64(buckets)).astype(np.int64), cols, _SENT, 0)
                 k = np.flatnonzero(hot)
                 if len(k):
@@ -240,18 +251,17 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int) -> Iterat
 
 
 def _occurrences(table: pa.Table, gram: int, least: int, parts: int) -> pa.Table:
-    """(part, did, cls, start, end, first, group): occurrences of repeats, packed by document. All but the first of a group are to go."""
+    """(part, cls, start, end): every occurrence of a repeat but its first, packed by document."""
     kind = table.column("kind")[0].as_py()
     h, did, cls, pos = (_gathered(table, c, t) for c, t in (("h", "<u8"), ("did", "<i8"), ("cls", "<i8"), ("pos", "<i8")))
     side = least - gram
     if kind == 2:
-        out = [(did, cls, pos, _gathered(table, "left", "<i8"), np.zeros(len(h), bool), h)]
+        out = [(did, cls, pos, _gathered(table, "left", "<i8"))]
     elif kind == 1:
         order = np.lexsort((pos, cls, did, h))
         h, did, cls, pos = h[order], did[order], cls[order], pos[order]
         again = np.concatenate(([False], h[1:] == h[:-1]))
-        many = again | np.append(again[1:], False)
-        out = [(did[many], cls[many], pos[many], pos[many] + least, ~again[many], h[many])]
+        out = [(did[again], cls[again], pos[again], pos[again] + least)]
     else:
         left, right = (_gathered(table, c, "<i2").astype(np.int64) for c in ("left", "right"))
         context = _gathered(table, "context", "u1").reshape(len(h), -1)
@@ -259,46 +269,52 @@ def _occurrences(table: pa.Table, gram: int, least: int, parts: int) -> pa.Table
         order = np.lexsort((pos, cls, did, same, h))
         h, did, cls, pos, left, right, context, same = (x[order] for x in (h, did, cls, pos, left, right, context, same))
         again = np.concatenate(([False], (same[1:] == same[:-1]) & (h[1:] == h[:-1])))
-        out = [(did[again], cls[again], (pos - left)[again], (pos + right)[again], np.zeros(int(again.sum()), bool), same[again])]
+        out = [(did[again], cls[again], (pos - left)[again], (pos + right)[again])]
         one = ~again
-        h, did, cls, pos, left, right, context, same = (x[one] for x in (h, did, cls, pos, left, right, context, same))
+        order = np.flatnonzero(one)
+        order = order[np.lexsort((pos[order], cls[order], did[order], h[order]))]  # each anchor's first occurrence first
+        h, did, cls, pos, left, right, context = (x[order] for x in (h, did, cls, pos, left, right, context))
         start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         size = np.diff(np.append(start, len(h)))
         # most anchors have two contexts: one comparison of each pair
         a = start[size == 2]
         if len(a):
             b = a + 1
-            later = (did[a] > did[b]) | ((did[a] == did[b]) & ((cls[a] > cls[b]) | ((cls[a] == cls[b]) & (pos[a] > pos[b]))))
-            a, b = np.where(later, b, a), np.where(later, a, b)
             differ = context[a] != context[b]
             r = np.where(differ[:, side:].any(1), differ[:, side:].argmax(1), least)
             l = np.where(differ[:, :side].any(1), differ[:, side - 1 :: -1].argmax(1) if side else 0, side)
             r, l = np.minimum(r, np.minimum(right[a], right[b])), np.minimum(l, np.minimum(left[a], left[b]))
             fine = l + r >= least
             a, b, l, r = a[fine], b[fine], l[fine], r[fine]
-            for x, first in ((a, True), (b, False)):
-                out.append((did[x], cls[x], pos[x] - l, pos[x] + r, np.full(len(x), first), same[b]))
-        rows: list[tuple] = []
-        for i, n in zip(start[size > 2], size[size > 2], strict=True):
+            out.append((did[b], cls[b], pos[b] - l, pos[b] + r))
+        who, before_, after_ = array("q"), array("q"), array("q")
+        for i, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             packed = [context[x].tobytes() for x in range(i, i + n)]
             before = [c[side - left[i + x] : side][::-1] for x, c in enumerate(packed)]
             after = [c[side : side + right[i + x]] for x, c in enumerate(packed)]
-            for number, (l, r, own) in enumerate(maximal_repeats(before, after, least)):
-                own = [i + x for x in own]
-                head = min(own, key=lambda x: (did[x], cls[x], pos[x]))
-                group = int(same[head]) ^ (number + 1)
-                rows.extend((did[x], cls[x], pos[x] - l, pos[x] + r, x == head, group) for x in own)
-        if rows:
-            out.append(tuple(np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.int64, np.int64, np.int64, np.int64, bool, np.uint64), strict=True)))
-    did, cls, start, end, first, group = (np.concatenate(c) for c in zip(*out, strict=True))
-    names = ["part", "did", "cls", "start", "end", "first", "group"]
-    return pa.Table.from_batches([_dealt((textpack.mix(cls.view(np.uint64)) % np.uint64(parts)).astype(np.int64), [did, cls, start, end, first, group], names)])
+            for l, r, own in maximal_repeats(before, after, least):
+                head = min(own)
+                for x in own:
+                    if x != head:
+                        who.append(i + x)
+                        before_.append(l)
+                        after_.append(r)
+        who, l, r = (np.array(x, np.int64) for x in (who, before_, after_))
+        order = np.lexsort((-r, -l, who))
+        who, l, r = who[order], l[order], r[order]
+        if len(who):  # of one occurrence, what no wider repeat covers
+            seen = np.maximum.accumulate(r + who * 1024)
+            keep = np.concatenate(([True], (who[1:] != who[:-1]) | (r[1:] + who[1:] * 1024 > seen[:-1])))
+            who, l, r = who[keep], l[keep], r[keep]
+        out.append((did[who], cls[who], pos[who] - l, pos[who] + r))
+    did, cls, start, end = (np.concatenate(c) for c in zip(*out, strict=True))
+    names = ["part", "cls", "start", "end"]
+    return pa.Table.from_batches([_dealt((textpack.mix(cls.view(np.uint64)) % np.uint64(parts)).astype(np.int64), [cls, start, end], names)])
 
 
 def _spans(table: pa.Table) -> pa.Table:
     """(cls, starts, ends): the union of what later occurrences cover, by document."""
-    cls, start, end, first = (_gathered(table, c, t) for c, t in (("cls", "<i8"), ("start", "<i8"), ("end", "<i8"), ("first", "?")))
-    cls, start, end = cls[~first], start[~first], end[~first]
+    cls, start, end = (_gathered(table, c, "<i8") for c in ("cls", "start", "end"))
     if not len(cls):
         return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["cls", "starts", "ends"])
     order = np.lexsort((start, cls))
@@ -315,41 +331,59 @@ def _spans(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(cls[by]), pick(start), pick(ends)], names=["cls", "starts", "ends"])
 
 
+def _at_characters(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans shrunk to the character boundaries inside them."""
+    bounds = np.append(np.flatnonzero((text & 0xC0) != 0x80), len(text))
+    starts = bounds[np.searchsorted(bounds, starts, "left")]
+    ends = bounds[np.searchsorted(bounds, ends, "right") - 1]
+    return starts[starts < ends], ends[starts < ends]
+
+
 def find_repeats(docs: DataFrame, least: int = 100, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(base, staged, occurrences) of documents with columns doc_id and text.
 
-    base: doc_id, cls, n_bytes, first (whether the row is its class's first) of every row. staged: class,
-    text of the first of each class that holds a repeated anchor. occurrences: packed occurrences of repeats.
+    base: did (doc_id, the largest long for null), cls, n_bytes, sha and first (whether the row is its class's
+    first) of every row. staged: the first of each class that holds a repeated anchor, with its text.
+    occurrences: where later occurrences of repeats are, packed.
     """
     spark = docs.sparkSession
     did = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
     rows = docs.select(did.alias("did"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     rows = rows.select("did", F.xxhash64("text").alias("cls"), "text")
-    base = common.written(rows.select("did", "cls", F.octet_length("text").cast("long").alias("n_bytes")), "base")
+    base = common.written(rows.select("did", "cls", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "base")
     firsts = common.written(base.groupBy("cls").agg(F.min("did").alias("did")), "firsts")
     buckets = max(common.partitions(spark, 4), base.count() // 2000)
-    found = _anchor_postings(rows, gram, least, buckets).groupBy("bucket").applyInArrow(lambda t: _repeated(t, buckets, hot), "part int, h binary, cls binary, hot binary")
+    parts = max(8, buckets // 16)  # a row goes from each bucket to each part
+    found = _anchor_postings(rows, gram, least, buckets).groupBy("bucket").applyInArrow(lambda t: _repeated(t, parts, hot), "part int, h binary, cls binary, hot binary")
     found = found.groupBy("part").applyInArrow(_by_class, "cls long, h binary, hot binary")
     wanted = common.written(found.join(firsts, "cls"), "repeated")
     staged = common.written(rows.join(wanted, ["did", "cls"]).select("did", "cls", "text", "h", "hot"), "staged")
-    seen = _contexts(staged, gram, least, buckets).groupBy("kind", "bucket").applyInArrow(lambda t: _occurrences(t, gram, least, buckets), "part int, did binary, cls binary, start binary, end binary, first binary, group binary")
-    return base.join(firsts.withColumn("first", F.lit(True)), ["did", "cls"], "left").fillna(False, ["first"]), staged.select("cls", "text"), seen
+    common.drop_written(wanted)
+    seen = _contexts(staged, gram, least, buckets).groupBy("kind", "bucket").applyInArrow(lambda t: _occurrences(t, gram, least, parts), "part int, cls binary, start binary, end binary")
+    return base.join(firsts.withColumn("first", F.lit(True)), ["did", "cls"], "left").fillna(False, ["first"]), staged, seen
 
 
-def remove_repeats(docs: DataFrame, least: int = 100, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(did, cls, n_bytes, n_removed, n_spans, kept): a row for each text that loses or might lose bytes, kept is null where nothing is removed.
+def remove_repeats(docs: DataFrame, least: int = 100, gram: int = GRAM, hot: int = HOT, whole_characters: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All rows as (did, cls, n_bytes, sha, first), and the rows that lose bytes as (did, cls, n_removed, n_spans, kept, starts, ends).
+
+    did is doc_id, or the largest long for null. Of texts that occur more than
+    once only the first row is in the second table; the others, where `first`
+    is false, lose all their bytes if they have `least` or more.
 
     Every byte goes that a string of `least` bytes covers which also starts
     earlier: in a smaller doc_id, or earlier in the same document; judged on
     the input, not on what is left. Strings never cross documents.
 
+    With whole_characters a character stays unless all its bytes go, so that
+    what is kept is UTF-8 if the text was.
+
     Null texts count as empty. A null doc_id comes after all others. Rows
     equal in doc_id and text are one document and get one result; rows of one
     doc_id with other texts are ordered by a hash of the text. Other columns
     are not read. An empty table gives no rows.
     """
     base, staged, seen = find_repeats(docs, least, gram, hot)
-    spans = seen.groupBy("part").applyInArrow(_spans, "cls long, starts binary, ends binary")
+    spans = common.written(seen.groupBy("part").applyInArrow(_spans, "cls long, starts binary, ends binary"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,27 +392,43 @@ def remove_repeats(docs: DataFrame, least: int = 100, gram: int = GRAM, hot: int
                 for d, (starts, ends) in enumerate(zip(part.column("starts").to_pylist(), part.column("ends").to_pylist(), strict=True)):
                     text = buf[offs[d] : offs[d + 1]].tobytes()
                     starts, ends = np.frombuffer(starts, "<i8"), np.frombuffer(ends, "<i8")
+                    if whole_characters:
+                        starts, ends = _at_characters(buf[offs[d] : offs[d + 1]], starts, ends)
                     removed.append(int((ends - starts).sum()))
                     runs.append(len(starts))
                     kept.append(b"".join(text[i:j] for i, j in zip(np.append(0, ends), np.append(starts, len(text)), strict=True)))
-                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), part.column("starts"), part.column("ends")], names=["cls", "n_removed", "n_spans", "kept", "starts", "ends"])
+                yield pa.RecordBatch.from_arrays([part.column("did"), part.column("cls"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), part.column("starts"), part.column("ends")], names=["did", "cls", "n_removed", "n_spans", "kept", "starts", "ends"])
+
+    cleaned = staged.select("did", "cls", "text").join(spans, "cls").mapInArrow(run, "did long, cls long, n_removed long, n_spans long, kept binary, starts binary, ends binary")
+    return base, cleaned
+
 
-    cleaned = staged.join(spans, "cls").mapInArrow(run, "cls long, n_removed long, n_spans long, kept binary, starts binary, ends binary")
-    cleaned = cleaned.join(base.where("first").select("cls", "did").distinct(), "cls")
-    return base.join(cleaned, ["did", "cls"], "left").select("did", "cls", "n_bytes", "first", "n_removed", "n_spans", "kept", "starts", "ends")
+def cleaned_documents(docs: DataFrame, least: int = 100) -> DataFrame:
+    """docs with text and n_chars as they are without repeats, in whole characters; rows that lose all their text go. Other columns stay."""
+    base, cleaned = remove_repeats(docs, least, whole_characters=True)
+    gone = base.where(~F.col("first") & (F.col("n_bytes") >= least)).select("did", "cls", F.lit(b"").alias("kept"))
+    changes = cleaned.select("did", "cls", "kept").union(gone)
+    if base.count() > base.select("did", "cls").distinct().count():  # repeated rows are one document
+        changes = changes.dropDuplicates(["did", "cls"])
+    changes = changes.withColumnsRenamed({"did": "__did", "cls": "__cls", "kept": "__kept"})
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = docs.withColumns({"__did": F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "__cls": F.xxhash64(text)})
+    rows = rows.join(changes, ["__did", "__cls"], "left").where("__kept is null or octet_length(__kept) > 0")
+    rows = rows.withColumn("text", F.coalesce(F.col("__kept").cast("string"), F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return rows.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
-    found = remove_repeats(docs)
-    whole = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("did"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    whole = common.written(whole.select("did", F.xxhash64("text").alias("cls"), F.sha2("text", 256).alias("sha")).distinct(), "sha")
+    base, cleaned = remove_repeats(common.documents(spark, sf_dir))
+    cleaned = cleaned.select("did", "cls", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")).distinct()
     copy = ~F.col("first") & (F.col("n_bytes") >= 100)
-    out = found.join(whole, ["did", "cls"])
+    out = base.join(cleaned, ["did", "cls"], "left")
     return out.select(
         F.when(F.col("did") != (1 << 63) - 1, F.col("did")).alias("doc_id"),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce(F.sha2("kept", 256), "sha")).alias("kept_sha256"),
+        F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
