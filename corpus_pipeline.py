@@ -1,15 +1,71 @@
-"""The corpus pipeline: stages over documents, each written and read again by the caller."""
+"""The corpus pipeline: quality, near duplicates, repeated passages, mixture, tokens.
+
+Each stage takes all that the one before kept and returns the columns of
+documents, the last one tokens. The caller writes each result and reads it
+again; run() does so in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.llm import bpe, common, jaccard, mixing, quality, repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays, that with the least id."""
+    members, _ = jaccard.jaccard_join(docs)
+    others = members.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occurred before are cut out; documents without any other text go."""
+    return repeats.cleaned_documents(docs.select(*COLUMNS))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose expected tokens meet the targets of source, language and topic."""
+    return mixing.mixed_documents(docs.select(*COLUMNS)).where("sampled").select(*COLUMNS)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each whole text, and checksums of the ids and of what they decode to."""
+    vocabulary = bpe.load_vocabulary(bpe.vocabulary_path())
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text", "lang", "source"), vocabulary).drop("text"), vocabulary)
+    return coded.select(
+        "doc_id",
+        "lang",
+        "source",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "ids",
+    )
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeats", repeats_stage),
+    ("mixing", mixing_stage),
+    ("tokens", token_stage),
+]
 
-STAGES: list = []
+#: The first stage is a trained model, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -168,5 +168,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **
     return classify.scored(docs, lambda buf, offs: scores(model, buf, offs), threshold)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least the threshold; filtered where they are read, without a shuffle."""
+    model = train(docs, labels, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, offs in textpack.slices(batch, "text"):
+                yield part.filter(pa.array(scores(model, buf, offs) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
