@@ -20,8 +20,9 @@ Targets = Mapping[str, Mapping[str, float]]
 def n_tokens(text: Column | str) -> Column:
     """Words of a text: runs of bytes other than space and tab to carriage return; 0 for null."""
     text = F.col(text) if isinstance(text, str) else text
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[ \t-\r]+|[ \t-\r]+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"[ \t-\r]+"))).cast("long")
+    text = F.coalesce(text, F.lit(""))
+    edges = F.substring(text, 1, 1).rlike(r"^[ \t-\r]$").cast("int") + F.substring(text, -1, 1).rlike(r"^[ \t-\r]$").cast("int")
+    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, r"[ \t-\r]+")) - edges).cast("long")
 
 
 def length_topic(tokens: Column) -> Column:
@@ -110,13 +111,13 @@ ROUNDS = 25
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    tokens = n_tokens("text")
-    rows = docs.withColumn("__tokens", tokens)
+    rows = docs if "__tokens" in docs.columns else docs.withColumn("__tokens", n_tokens("text"))
     return mix(rows, {"source": F.col("source"), "lang": F.col("lang"), "topic": length_topic(F.col("__tokens"))}, TARGETS, F.col("__tokens"), ROUNDS).drop("__tokens")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixed_documents(common.documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))
+    rows = common.documents(spark, sf_dir).select("doc_id", "source", "lang", n_tokens("text").alias("__tokens"))
+    out = mixed_documents(common.written(rows, "tokens"))  # words are counted once
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 8).alias("weight"), F.round("probability", 8).alias("probability"), "sampled")
 
 
