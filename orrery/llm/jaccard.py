@@ -348,4 +348,4 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, hot
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = jaccard_join(common.documents(spark, sf_dir))
-    return members.select("doc_id", "n_shingles", "component_id", "class_id")
+    return members.select("doc_id", "n_shingles", "component_id")

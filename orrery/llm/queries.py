@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .bpe import op3_bpe
 from .jaccard import op8_jaccard_join
 from .lattice import op10_lattice_dedup
@@ -33,4 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": op1_sql(),
     "op6_lm_scoring": OP6_SQL,
+    "op8_jaccard_join": oracles.JACCARD_JOIN,
+    "op9_repeats": oracles.REPEATS,
+    "op10_lattice_dedup": oracles.LATTICE,
 }
