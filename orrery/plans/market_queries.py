@@ -103,7 +103,9 @@ QUERIES = {
     "d01_market_daily": bars, "d04_trimmed_daily": s_trimmed, "s14_calendar": lambda s, d: market.calendar(plain(s, d)), "s15_event_bars": event_days,
     "a01_baseline": baseline, "a04_symbol_summary": summary, "a05_totals": totals, "o02_busiest_years": busiest,
     "n11_windows": windows, "n22_runs": runs, "n16_smoothed": smoothed, "k18_screens": screens, "j13_aligned_strength": aligned,
-    "k16_momentum_spread": lambda s, d: indicators.momentum_spread(plain(s, d)), "k19_signals": signals, "k24_oscillators": lambda s, d: indicators.oscillators(plain(s, d)),
+    "k16_momentum_spread": lambda s, d: rounded_table(indicators.momentum_spread(plain(s, d)).select("symbol", "date", "spread", "rs", "smooth"), 3),
+    "k16_new_highs": lambda s, d: indicators.momentum_spread(plain(s, d)), "k19_signals": signals,
+    "k24_oscillators": lambda s, d: rounded_table(indicators.oscillators(plain(s, d)).select("symbol", "date", F.when(F.col("rsi9").isNotNull(), F.col("banker")).alias("banker"), F.when(F.col("rsi4").isNotNull(), F.col("hot_money")).alias("hot_money"), "line")),
     "k25_interval_extremes": lambda s, d: indicators.interval_extremes(plain(s, d)),
     "k15_chart_rows": lambda s, d: charts.chart_rows(bars(s, d), "1Y", AS_OF), "k15_statistics": lambda s, d: charts.statistics(plain(s, d), "1Y", AS_OF),
     "k15_statistics_ranged": lambda s, d: charts.statistics(plain(s, d), "1M", AS_OF, within_range=True),
@@ -119,7 +121,31 @@ _stat = lambda months, year: f"""WITH {sql.BARS}, r AS (SELECT *, coalesce(lag(c
  y AS (SELECT symbol, coalesce(max(nullif(high, 0)), 0) AS high_52w, coalesce(min(low), 0) AS low_52w FROM (SELECT * FROM {year} QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 252) GROUP BY 1)
  SELECT l.symbol, date, close, prev, floor((close - prev) * 100 + 0.5) / 100 AS change, floor(CASE WHEN prev > 0 THEN (close - prev) / prev * 100 ELSE 0 END * 100 + 0.5) / 100 AS change_pct, high_52w, low_52w FROM l LEFT JOIN y USING (symbol)"""
 _rma = lambda x, n: f"""(SELECT symbol, i, avg(x) AS v FROM (SELECT symbol, {n} AS i, {x} AS x FROM t WHERE {x} IS NOT NULL QUALIFY row_number() OVER ({_w}) <= {n}) GROUP BY 1, 2 HAVING count(*) = {n})"""
+
+
+def _wilder(name: str, x: str, n: int) -> str:
+    """Recursive smoothing of column x of table t (symbol, i, ...), from the mean of its first n values."""
+    first = f"SELECT symbol, i, {x} FROM t WHERE {x} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i) <= {n}"
+    seed = f"SELECT symbol, CAST(max(i) AS BIGINT) AS i, avg({x}) AS v FROM ({first}) GROUP BY 1 HAVING count(*) = {n}"
+    return f"{name} AS ({seed} UNION ALL SELECT {name}.symbol, t.i, {name}.v + (t.{x} - {name}.v) / {n} FROM {name} JOIN t ON t.symbol = {name}.symbol AND t.i = {name}.i + 1)"
+
+
+def _moves(c: str) -> str:
+    step = f"({c} - lag({c}) OVER ({_w}))"
+    return f"greatest({step}, 0) + {step} * 0 AS up, greatest(-{step}, 0) + {step} * 0 AS down"
+
+
+_rsi = lambda u, d: f"CASE WHEN {d}.v = 0 THEN 100.0 WHEN {u}.v = 0 THEN 0.0 ELSE 100 - 100 / (1 + {u}.v / {d}.v) END"
+_at = lambda *names: " ".join(f"LEFT JOIN {n} ON {n}.symbol = t.symbol AND {n}.i = t.i" for n in names)
 SQL = {
+    "k24_oscillators": f"""WITH RECURSIVE {sql.BARS}, t AS (SELECT symbol, date, row_number() OVER ({_w}) AS i, {_moves('close')} FROM bars),
+ {_wilder('u9', 'up', 9)}, {_wilder('d9', 'down', 9)}, {_wilder('u4', 'up', 4)}, {_wilder('d4', 'down', 4)},
+ x AS (SELECT t.symbol, t.date, {_rsi('u9', 'd9')} AS r9, {_rsi('u4', 'd4')} AS r4 FROM t {_at('u9', 'd9', 'u4', 'd4')})
+ SELECT symbol, date, round_even(CASE WHEN r9 IS NOT NULL THEN least(greatest(1.5 * (r9 - 61), 0), 50) END, 4) AS banker, round_even(CASE WHEN r4 IS NOT NULL THEN least(greatest(r4 - 15, 0), 50) END, 4) AS hot_money, round_even(r9 / 2, 4) AS line FROM x""",
+    "k16_momentum_spread": f"""WITH RECURSIVE {sql.BARS}, s AS (SELECT *, {_full('avg(close)', 10)} - {_full('avg(close)', 40)} AS spread FROM bars),
+ t AS (SELECT symbol, date, spread, row_number() OVER ({_w}) AS i, {_moves('spread')} FROM s), {_wilder('u', 'up', 5)}, {_wilder('d', 'down', 5)},
+ x AS (SELECT t.symbol, t.date, spread, {_rsi('u', 'd')} AS rs FROM t {_at('u', 'd')})
+ SELECT symbol, date, round_even(spread, 3) AS spread, round_even(rs, 3) AS rs, round_even(CASE WHEN count(rs) OVER ({_w} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 THEN avg(rs) OVER ({_w} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END, 3) AS smooth FROM x""",
     "d01_market_daily": f"WITH {sql.RET} SELECT * FROM ret",
     "d04_trimmed_daily": f"WITH {sql.RET} SELECT symbol, date, round_even(open, 2) AS open, round_even(high, 2) AS high, round_even(low, 2) AS low, round_even(close, 2) AS close, volume, daily_return, gap_pct, daily_range_pct FROM ret QUALIFY row_number() OVER ({_w}) > 1",
     "s14_calendar": f"WITH {sql.CAL} SELECT date FROM cal",
