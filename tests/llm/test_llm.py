@@ -306,3 +306,24 @@ def test_pipeline(spark):
             assert all(abs(len(left[i].encode()) - len(whole[i][3])) <= 3 * whole[i][2] for i in left)
         before = after
     assert before.count() > 0
+
+
+def test_null_ids_and_shared_ids(spark):
+    """Rows without an id, and other texts under one id, crash nothing and lose no row."""
+    texts = cases.texts(6, 12)
+    data = [(None if i % 5 == 0 else i // 2, t, None, None, None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(data, cases.SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    n = docs.count()
+    assert mixing.mixed_documents(docs).count() == n
+    assert bpe.digests(docs).count() == n
+    assert toxicity.score_toxicity(docs, labels).count() == n
+    assert quality.score_quality(docs, labels).count() == n
+    assert lmscore.score_documents(docs).count() == n
+    assert winnow.edited_fingerprints(docs).count() == n
+    members, _ = jaccard.jaccard_join(docs, hot=2)
+    assert members.count() == n
+    base, _ = repeats.remove_repeats(docs)
+    assert base.count() == n
+    assert sharding.interleave(docs, 4, F.col("source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).count() == n
+    assert repeats.cleaned_documents(docs).where("text is not null").count() < n
