@@ -20,7 +20,7 @@ from .jaccard import _dealt, _gathered
 
 BACKOFF = 0.4
 #: Bytes of text in a chunk, and in the chunks that ask one partition, about.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 5 << 20
 
 
 def _chunk(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
@@ -49,21 +49,35 @@ def _chunk(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, list[np
     return np.concatenate(docs), np.concatenate(grams), [len(x) for x in docs], count
 
 
+def _packed_counts(n: np.ndarray) -> bytes:
+    """One byte for each count; 255 marks those that follow in full, in order."""
+    large = n >= 255
+    return np.where(large, 255, n).astype("u1").tobytes() + n[large].astype("<u8").tobytes()
+
+
+def _unpacked_counts(data: bytes, many: int) -> np.ndarray:
+    n = np.frombuffer(data, "u1", many).astype(np.float64)
+    n[n == 255] = np.frombuffer(data, "<u8", offset=many)
+    return n
+
+
 def _asked(table: pa.Table, order: int, buckets: int) -> pa.Table:
     _, grams, _, _ = _chunk(table, order)
     h, n = np.unique(grams, return_counts=True)
     out = _dealt((textpack.mix(h) % np.uint64(buckets)).astype(np.int64), [h, n.astype("<u4")], ["bucket", "h", "n"])
+    out = out.set_column(2, "n", pa.array([_packed_counts(np.frombuffer(x, "<u4")) for x in out.column(2).to_pylist()], pa.binary()))
     chunk = pa.array(np.full(len(out), table.column("chunk")[0].as_py()), pa.int64())
     return pa.table([out.column(0), chunk, out.column(1), out.column(2)], names=["bucket", "chunk", "h", "n"])
 
 
 def _answered(table: pa.Table) -> pa.Table:
     """For each chunk, the total of each n-gram that it asked for, in its order."""
-    h, n = _gathered(table, "h", "<u8"), _gathered(table, "n", "<u4")
+    h = _gathered(table, "h", "<u8")
+    n = np.concatenate([_unpacked_counts(x, len(y) // 8) for x, y in zip(table.column("n").to_pylist(), table.column("h").to_pylist(), strict=True)])
     _, inverse = np.unique(h, return_inverse=True)
-    total = np.bincount(inverse, n).astype("<u8")[inverse]
+    total = np.bincount(inverse, n)[inverse]
     ends = np.cumsum([len(x) // 8 for x in table.column("h").to_pylist()])
-    totals = pa.array([x.tobytes() for x in np.split(total, ends[:-1])], pa.binary())
+    totals = pa.array([_packed_counts(x) for x in np.split(total, ends[:-1])], pa.binary())
     return pa.table([table.column("chunk"), table.column("bucket"), totals], names=["chunk", "bucket", "totals"])
 
 
@@ -78,7 +92,7 @@ def _scored(table: pa.Table, answers: pa.Table, order: int, buckets: int, own: b
     by = np.argsort(bucket, kind="stable")  # as _dealt orders what a chunk asks for
     at = np.searchsorted(bucket[by], np.arange(buckets + 1))
     for b, totals in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
-        total[by[at[b] : at[b + 1]]] = np.frombuffer(totals, "<u8")
+        total[by[at[b] : at[b + 1]]] = _unpacked_counts(totals, at[b + 1] - at[b])
     seen = total[inverse]
     if own:  # without the document's own counts
         pair = textpack.mix(grams + textpack.mix(doc.astype(np.uint64) + np.uint64(1)))
@@ -126,8 +140,8 @@ def score_documents(docs: DataFrame, order: int = 2, leave_out_own: bool = True)
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunks = max(common.partitions(spark, 4), size // CHUNK_BYTES)
-    buckets = max(common.partitions(spark, 4), size // (4 * CHUNK_BYTES))
+    chunks = max(common.partitions(spark, 2), size // CHUNK_BYTES)
+    buckets = max(common.partitions(spark), size // (4 * CHUNK_BYTES))  # a row goes from each chunk to each
     rows = docs.select("doc_id", text.alias("text"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     asked = rows.groupBy("chunk").applyInArrow(lambda t: _asked(_in_order(t), order, buckets), "bucket int, chunk long, h binary, n binary")

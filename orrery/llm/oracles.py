@@ -39,3 +39,30 @@ r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.c FROM r
 m AS (SELECT id, min(c) AS c FROM r GROUP BY 1)
 SELECT vec_id, coalesce(l.n, 0) AS n_links, m.c AS component_id, vec_id = m.c AS kept FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY 1) l ON l.a = vec_id JOIN m ON m.id = vec_id
 """
+
+
+def crc_table() -> list[int]:
+    """The 256 remainders of the reflected CRC-32 polynomial."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+def sharding(n_shards: int = 8, seed: int = 17) -> str:
+    """CRC-32 byte by byte, then the ranks and the cut as plain windows."""
+    table = "[" + ", ".join(f"CAST({x} AS BIGINT)" for x in crc_table()) + "]"
+    digit = lambda at: f"strpos('0123456789ABCDEF', substr(hx, {at}, 1)) - 1"
+    number = lambda text: f"CAST('0x' || substr(md5({text}), 1, 8) AS UBIGINT) / 4294967296.0"
+    return f"""
+WITH b AS MATERIALIZED (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+y AS (SELECT doc_id, i, ({digit('2 * i - 1')}) * 16 + {digit('2 * i')} AS byte FROM (SELECT doc_id, hx, unnest(range(1, length(hx) // 2 + 1)) AS i FROM b)),
+c AS (SELECT doc_id, xor(list_reduce(list(byte ORDER BY i), lambda c, x: xor(c >> 8, list_extract({table}, xor(c & 255, x) + 1)), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM y GROUP BY 1),
+d AS (SELECT b.doc_id, source, CAST(length(hx) // 2 + 1 AS BIGINT) AS size, coalesce(crc, 0) AS text_crc32, '=' || source AS s FROM b LEFT JOIN c USING (doc_id)),
+k AS (SELECT *, coalesce(s, '') AS g, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32) AS k FROM d),
+f AS (SELECT *, (row_number() OVER (PARTITION BY g ORDER BY k) - {number('g')}) / count(*) OVER (PARTITION BY g) AS f, count(*) OVER () AS n FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY f, k, g) - 1 AS p FROM f)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p * {n_shards} // n AS INTEGER) AS shard, p - (p * {n_shards} // n * n + {n_shards - 1}) // {n_shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM p
+"""

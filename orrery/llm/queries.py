@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": op1_sql(),
+    "op2_sharding": oracles.sharding(),
     "op6_lm_scoring": OP6_SQL,
     "op8_jaccard_join": oracles.JACCARD_JOIN,
     "op9_repeats": oracles.REPEATS,
