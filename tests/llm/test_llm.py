@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import cases  # noqa: E402
 
-from orrery.llm import bpe, common, jaccard, lattice, lmscore, mixing, quality, repeats, sharding, toxicity, winnow  # noqa: E402
+from orrery.llm import bpe, common, jaccard, lattice, lmscore, mixing, quality, queries, repeats, sharding, toxicity, winnow  # noqa: E402
 
 DATA = "/root/testdata/sf0.01"
 
@@ -274,12 +274,15 @@ def test_lattice_points():
         assert (((x - p) ** 2).sum(1) <= ((x - p - v) ** 2).sum(1) + 1e-9).all()
 
 
-def test_op1_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    small = DATA.replace("0.01", "0.001")
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
-    df = mixing.op1_mixing(spark, DATA)
+    for t in ("documents", "embeddings", "labels"):
+        con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, small)
     cols = sorted(df.columns)
-    rel = con.execute(mixing.op1_sql())
+    rel = con.execute(queries.ORACLE_SQL[name])
     at = [[c[0] for c in rel.description].index(c) for c in cols]
     assert sorted(rows(df.select(*cols)), key=str) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=str)
 
