@@ -138,6 +138,7 @@ def score_documents(docs: DataFrame, order: int = 2, leave_out_own: bool = True)
     gives no rows.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(common.partitions(spark, 2), size // CHUNK_BYTES)
