@@ -128,6 +128,7 @@ def _once(kind: str, broadcast, make):
 def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, work) -> DataFrame:
     """df with the binary column `target` made from the bytes of `source`, slice by slice."""
     df = df.drop(target)
+    common.small_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(target, kind)])
     arrow = pa.string() if isinstance(kind, T.StringType) else pa.binary()
 

@@ -146,6 +146,7 @@ def _feature_rows(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positives: int = MOST_POSITIVES, most_unlabelled: int = MOST_UNLABELLED) -> dict:
     """Trusted positives: bounded sample of training rows with quality 1. Unlabelled: bounded sample of the documents that are not held out, labels unseen."""
+    common.small_batches(docs.sparkSession)
     positives = classify.hash_sample(classify.training_labels(labels, "quality").where("label = 1"), most_positives)
     web = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~common.held_out("doc_id")).distinct()
     web = classify.hash_sample(web, most_unlabelled).withColumn("label", F.lit(0))

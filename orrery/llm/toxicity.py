@@ -98,6 +98,7 @@ def fit(cols: np.ndarray, offs: np.ndarray, y: np.ndarray, ratios: np.ndarray, s
 
 def train(docs: DataFrame, labels: DataFrame, most_texts: int = MOST_TEXTS, most_features: int = MOST_FEATURES) -> dict:
     """weights by bucket (float32, one for each of the 2**BITS buckets) and the intercept."""
+    common.small_batches(docs.sparkSession)
     ids = classify.hash_sample(classify.training_labels(labels, "toxic"), most_texts)
     texts = classify.texts_of(docs, ids).repartition(8)
     weights = np.zeros(1 << BITS, np.float32)
