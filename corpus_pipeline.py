@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from orrery.llm import bpe, common, jaccard, mixing, quality, repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Expected share of the tokens that the mixture keeps.
+KEPT = 0.9
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,8 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose expected tokens meet the targets of source, language and topic."""
-    return mixing.mixed_documents(docs.select(*COLUMNS)).where("sampled").select(*COLUMNS)
+    """A sample of KEPT of the tokens, weighted towards the targets of source, language and topic; every category keeps a part."""
+    return mixing.mixed_documents(docs.select(*COLUMNS), keep=KEPT, others=True).where("sampled").select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,38 +49,49 @@ def rake(cells: np.ndarray, mass: np.ndarray, targets: list[np.ndarray], rounds:
     return factor
 
 
-def mix(docs: DataFrame, margins: Mapping[str, Column], targets: Targets, tokens: Column, rounds: int = 25, budget: float | None = None, seed: int = 3) -> DataFrame:
+def mix(docs: DataFrame, margins: Mapping[str, Column], targets: Targets, tokens: Column, rounds: int = 25, budget: float | None = None, seed: int = 3, keep: float | None = None, others: bool = False) -> DataFrame:
     """docs with n_tokens, weight, probability and sampled (and a column for each margin, named as in `margins`).
 
     weight scales a document's tokens so that each margin's weighted share
     meets its target. probability is the weight times one constant, capped at
     1: by default the largest constant that needs no cap, so that the expected
     sample meets every margin exactly; with `budget`, expected tokens of the
-    sample, the constant is solved for with the caps in force. sampled compares
+    sample, the constant is solved for with the caps in force; `keep` gives the
+    budget as a share of the cells' tokens. sampled compares
     the probability with a hash of (seed, doc_id), so a document's fate depends
     on no other row's order.
 
     Only the cells' token sums reach the driver. Their number is at most the
     product of the given targets' sizes, checked against MOST_CELLS. Rows whose
-    category is null or has no target get weight 0 and are never sampled. Texts
+    category is null or has no target get weight 0 and are never sampled; with
+    `others` they are one more category of that margin, whose target is the
+    share of the tokens that it has, and the given targets share the rest. Texts
     without words carry no mass; they share their cell's weight. Equal doc_ids
     share their fate. Columns of the new names are replaced. An empty table
     gives no rows.
     """
     names = list(margins)
-    if np.prod([float(len(targets[m])) for m in names]) > MOST_CELLS:
+    if np.prod([float(len(targets[m]) + others) for m in names]) > MOST_CELLS:
         raise ValueError("too many cells; coarsen a margin")
     index = {m: {c: i for i, c in enumerate(sorted(targets[m]))} for m in names}
+    category = {m: F.when(F.col(m).isin(*index[m]), F.col(m)) if others else F.col(m) for m in names}
     docs = docs.drop("weight", "probability", "sampled")
     rows = docs.withColumns({**margins, "n_tokens": tokens})
-    wanted = rows.select(*names, "n_tokens")
+    wanted = rows.select(*(category[m].alias(m) for m in names), "n_tokens")
     for m in names:
-        wanted = wanted.where(F.col(m).isin(*index[m]))
+        if others:
+            index[m][None] = len(index[m])
+        else:
+            wanted = wanted.where(F.col(m).isin(*index[m]))
     sums = wanted.groupBy(*names).agg(F.sum("n_tokens").cast("double").alias("mass")).orderBy(*names).collect()
     cells = np.array([[index[m][r[m]] for m in names] for r in sums], np.int64).reshape(-1, len(names))
     mass = np.array([r["mass"] or 0.0 for r in sums])
     goals = [np.array([float(targets[m][c]) for c in sorted(targets[m])]) for m in names]
+    if others:
+        own = [mass[cells[:, k] == len(goal)].sum() / (mass.sum() or 1) for k, goal in enumerate(goals)]
+        goals = [np.append(goal * (1 - x) / (goal.sum() or 1), x) for goal, x in zip(goals, own, strict=True)]
     factor = rake(cells, mass, goals, rounds) if len(mass) else np.zeros(0)
+    budget = keep * mass.sum() if keep is not None else budget
     top = factor[mass > 0].max(initial=0.0)
     scale = 1 / top if top else 0.0
     if budget is not None and top:
@@ -96,7 +107,7 @@ def mix(docs: DataFrame, margins: Mapping[str, Column], targets: Targets, tokens
     fields = [T.StructField(f"__{m}", T.StringType()) for m in names]
     schema = T.StructType([*fields, T.StructField("weight", T.DoubleType()), T.StructField("probability", T.DoubleType())])
     weights = docs.sparkSession.createDataFrame(table, schema)
-    joined = rows.join(F.broadcast(weights), [F.col(m) == F.col(f"__{m}") for m in names], "left").drop(*[f"__{m}" for m in names])  # MOST_CELLS rows at most
+    joined = rows.join(F.broadcast(weights), [category[m].eqNullSafe(F.col(f"__{m}")) if others else F.col(m) == F.col(f"__{m}") for m in names], "left").drop(*[f"__{m}" for m in names])  # MOST_CELLS rows at most
     joined = joined.fillna(0.0, ["weight", "probability"])
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return joined.withColumn("sampled", draw < F.col("probability"))
@@ -110,9 +121,9 @@ TARGETS: Targets = {"source": SOURCES, "lang": LANGUAGES, "topic": TOPICS}
 ROUNDS = 25
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, keep: float | None = None, others: bool = False) -> DataFrame:
     rows = docs if "__tokens" in docs.columns else docs.withColumn("__tokens", n_tokens("text"))
-    return mix(rows, {"source": F.col("source"), "lang": F.col("lang"), "topic": length_topic(F.col("__tokens"))}, TARGETS, F.col("__tokens"), ROUNDS).drop("__tokens")
+    return mix(rows, {"source": F.col("source"), "lang": F.col("lang"), "topic": length_topic(F.col("__tokens"))}, TARGETS, F.col("__tokens"), ROUNDS, keep=keep, others=others).drop("__tokens")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,27 @@ def test_mixing_budget(spark):
     assert [r[0] for r in words] == [2, 0, 0, 0, 1, 2]
 
 
+def test_mixing_stage_keeps_most_of_every_category(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    kinds = [("src1", "en"), ("src2", "de"), (None, "en"), ("src3", None), ("elsewhere", "fr"), ("src1", "xx")]
+    data = [(i, "w " * rnd.choice([20, 200, 200, 900]), kinds[i % 6][1], kinds[i % 6][0], None) for i in range(1200)]
+    docs = spark.createDataFrame(data, cases.SCHEMA)
+    kept = corpus_pipeline.mixing_stage(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    total = sum(len(r[1]) for r in data)
+    assert sum(len(r["text"]) for r in got) / total == pytest.approx(corpus_pipeline.KEPT, abs=0.05)
+    assert {(r["source"], r["lang"]) for r in got} == set(kinds)
+    rest = mixing.mix(docs, {"source": F.col("source")}, {"source": {"src1": 0.5, "src2": 0.5}}, mixing.n_tokens("text"), others=True)
+    sums = rest.groupBy("source").agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("weight")))
+    now, then = zip(*((Counter({r[0]: r[1]}), Counter({r[0]: r[2]})) for r in sums.collect()), strict=True)
+    now, then = sum(now, Counter()), sum(then, Counter())
+    assert all(then[s] == pytest.approx(now[s]) for s in (None, "src3", "elsewhere")) and then["src1"] == pytest.approx(then["src2"])
+    assert corpus_pipeline.mixing_stage(spark, cases.empty(spark), DATA).isEmpty()
+
+
 @pytest.mark.parametrize("shards", [1, 8])
 def test_sharding(spark, shards):
     docs = cases.documents(spark)
