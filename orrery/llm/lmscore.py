@@ -141,8 +141,9 @@ def score_documents(docs: DataFrame, order: int = 2, leave_out_own: bool = True)
     common.small_batches(spark)
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunks = max(common.partitions(spark, 2), size // CHUNK_BYTES)
-    buckets = max(common.partitions(spark), size // (4 * CHUNK_BYTES))  # a row goes from each chunk to each
+    grams = size * (order + 1) // 3  # longer n-grams fill a chunk with less text
+    chunks = max(common.partitions(spark, 2), grams // CHUNK_BYTES)
+    buckets = max(common.partitions(spark), grams // (4 * CHUNK_BYTES))  # a row goes from each chunk to each
     rows = docs.select("doc_id", text.alias("text"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     asked = rows.groupBy("chunk").applyInArrow(lambda t: _asked(_in_order(t), order, buckets), "bucket int, chunk long, h binary, n binary")
@@ -160,6 +161,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), "backed_off")
 
 
+def op6_lm_scoring_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_documents(common.documents(spark, sf_dir), order=3)
+    return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), "backed_off")
+
+
 OP6_SQL = r"""
 WITH w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
@@ -179,3 +185,28 @@ v AS (SELECT doc_id, CASE WHEN two > 0 AND before > 0 THEN log10(two / before)
 SELECT d.doc_id, coalesce(count(v.l), 0) AS n_words, round(coalesce(sum(v.l), 0), 4) AS score, CAST(coalesce(sum(v.b), 0) AS BIGINT) AS backed_off
 FROM documents d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id
 """
+
+OP6_ORDER3_SQL = r"""
+WITH w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+p AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev, lag(word, 2) OVER (PARTITION BY doc_id ORDER BY i) AS far FROM w),
+c1 AS (SELECT word, count(*) AS n FROM p GROUP BY 1), o1 AS (SELECT doc_id, word, count(*) AS n FROM p GROUP BY 1, 2),
+c2 AS (SELECT prev, word, count(*) AS n FROM p WHERE prev IS NOT NULL GROUP BY 1, 2),
+o2 AS (SELECT doc_id, prev, word, count(*) AS n FROM p WHERE prev IS NOT NULL GROUP BY 1, 2, 3),
+c3 AS (SELECT far, prev, word, count(*) AS n FROM p WHERE far IS NOT NULL GROUP BY 1, 2, 3),
+o3 AS (SELECT doc_id, far, prev, word, count(*) AS n FROM p WHERE far IS NOT NULL GROUP BY 1, 2, 3, 4),
+t AS (SELECT count(*) AS n FROM p), s AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1),
+x AS (SELECT p.doc_id, CASE WHEN p.prev IS NULL THEN 0 WHEN p.far IS NULL THEN 1 ELSE 2 END AS most, t.n - s.n AS total,
+ c1.n - o1.n AS one, c2.n - o2.n AS two, b.n - ob.n AS before, c3.n - o3.n AS three, e.n - oe.n AS ahead
+ FROM p CROSS JOIN t JOIN s USING (doc_id) JOIN c1 ON c1.word = p.word JOIN o1 ON o1.doc_id = p.doc_id AND o1.word = p.word
+ LEFT JOIN c2 ON c2.prev = p.prev AND c2.word = p.word LEFT JOIN o2 ON o2.doc_id = p.doc_id AND o2.prev = p.prev AND o2.word = p.word
+ LEFT JOIN c1 b ON b.word = p.prev LEFT JOIN o1 ob ON ob.doc_id = p.doc_id AND ob.word = p.prev
+ LEFT JOIN c3 ON c3.far = p.far AND c3.prev = p.prev AND c3.word = p.word
+ LEFT JOIN o3 ON o3.doc_id = p.doc_id AND o3.far = p.far AND o3.prev = p.prev AND o3.word = p.word
+ LEFT JOIN c2 e ON e.prev = p.far AND e.word = p.prev LEFT JOIN o2 oe ON oe.doc_id = p.doc_id AND oe.prev = p.far AND oe.word = p.prev),
+y AS (SELECT *, CASE WHEN three > 0 AND ahead > 0 THEN 2 WHEN two > 0 AND before > 0 THEN 1 ELSE 0 END AS hit FROM x),
+v AS (SELECT doc_id, (most - hit) * log10(0.4) + CASE WHEN hit = 2 THEN log10(three / ahead) WHEN hit = 1 THEN log10(two / before)
+ WHEN one > 0 AND total > 0 THEN log10(one / total) ELSE log10(1.0 / (total + 1)) END AS l, CASE WHEN hit < most THEN 1 ELSE 0 END AS b FROM y)
+SELECT d.doc_id, coalesce(count(v.l), 0) AS n_words, round(coalesce(sum(v.l), 0), 4) AS score, CAST(coalesce(sum(v.b), 0) AS BIGINT) AS backed_off
+FROM documents d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id
+"""

@@ -10,7 +10,7 @@ from . import oracles
 from .bpe import op3_bpe
 from .jaccard import op8_jaccard_join
 from .lattice import op10_lattice_dedup
-from .lmscore import OP6_SQL, op6_lm_scoring
+from .lmscore import OP6_ORDER3_SQL, OP6_SQL, op6_lm_scoring, op6_lm_scoring_order3
 from .mixing import op1_mixing, op1_sql
 from .quality import op7_quality
 from .repeats import op9_repeats
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_winnowing": op5_winnowing,
+    "op6_lm_scoring_order3": op6_lm_scoring_order3,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_quality": op7_quality,
     "op8_jaccard_join": op8_jaccard_join,
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": op1_sql(),
     "op2_sharding": oracles.sharding(),
+    "op6_lm_scoring_order3": OP6_ORDER3_SQL,
     "op6_lm_scoring": OP6_SQL,
     "op8_jaccard_join": oracles.JACCARD_JOIN,
     "op9_repeats": oracles.REPEATS,

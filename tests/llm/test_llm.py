@@ -207,6 +207,14 @@ def test_lm_trigrams_by_brute_force(spark):
         assert math.isclose(score, want, abs_tol=1e-6)
 
 
+def test_a_registered_query_scores_trigrams(spark):
+    small = DATA.replace("0.01", "0.001")
+    got = queries.QUERIES["op6_lm_scoring_order3"](spark, small)
+    want = lmscore.score_documents(common.documents(spark, small), order=3).withColumn("score", F.round("score", 4))
+    assert sorted(rows(got)) == sorted(rows(want.select(*got.columns)))
+    assert sorted(rows(got)) != sorted(rows(queries.QUERIES["op6_lm_scoring"](spark, small).select(*got.columns)))
+
+
 @pytest.mark.parametrize("hot", [2, 32])
 def test_jaccard_join(spark, hot):
     docs = cases.documents(spark)
