@@ -23,10 +23,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays, that with the least id."""
+    """One document of each component of near duplicates stays, that with the least id.
+
+    A document is its id and text. Null ids come last, equal ids go by a hash
+    of the text, and of rows with equal id and text one stays. Texts without
+    words all stay.
+    """
     members, _ = jaccard.jaccard_join(docs)
-    others = members.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    each = members.where("n_shingles > 0").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("many"))
+    each = common.written(each, "members")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = each.groupBy("component").agg(F.min(rank).alias("first"))
+    each = each.join(first, "component").select("doc_id", "text_hash", "many", (rank == F.col("first")).alias("stays"))
+    others = each.where("not stays or many > 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "stays")
+    rows = docs.select(*COLUMNS).withColumn("text_hash", jaccard.text_hash("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    rest = rows.join(others, same, "left_anti").select(*COLUMNS)
+    repeated = rows.join(others.where("stays"), same, "left_semi").groupBy("doc_id", "text_hash")
+    return rest.union(repeated.agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*"))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

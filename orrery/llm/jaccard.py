@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, textpack
@@ -58,17 +58,23 @@ def _group(tokens: np.ndarray) -> tuple[int, np.ndarray]:
     return _set_hash(low, len(tokens), _B), low
 
 
+def text_hash(text: Column | str) -> Column:
+    """What tells apart the texts of one doc_id; null counts as empty."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, key, gid, n_low): set size, class, group and number of low shingles of every document."""
+    """(doc_id, text_hash, n, key, gid, n_low): set size, class, group and number of low shingles of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in textpack.slices(batch, "text"):
                 rows = [(len(s), _key(s), *((g, len(low)) if len(s) else (0, 0))) for s in _sets(buf, offs, k) for g, low in [_group(s)]]
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=["doc_id", "n", "key", "gid", "n_low"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=["doc_id", "text_hash", "n", "key", "gid", "n_low"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long, gid long, n_low long")
+    return docs.withColumn("text_hash", text_hash("text")).mapInArrow(run, "doc_id long, text_hash long, n long, key long, gid long, n_low long")
 
 
 def _dealt(bucket: np.ndarray, columns: list[np.ndarray], names: list[str], kind: int | None = None) -> pa.RecordBatch:
@@ -265,13 +271,14 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, n_shingles, class_id, component_id) and links (a, b) between classes.
+    """Members (doc_id, n_shingles, class_id, component_id, text_hash, component) and links (a, b) between classes.
 
     A set is the distinct k-word shingles of a text in lower case (A-Z); a text
     of fewer words is one shingle. Two documents link when
     den * |intersection| >= num * |union|. component_id is the least doc_id
     that links reach. Every link between classes joins members of one
-    component; the link table spans each component.
+    component; the link table spans each component. component is its least
+    class, which no other has, whatever ids they share.
 
     Null texts count as empty; texts without words have n_shingles 0, class
     null, link with nothing and are their own component. Rows of one doc_id
@@ -341,9 +348,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, hot
         parts = common.connected_components(links).withColumnRenamed("node", "key")
     whole = classes.select("key", "doc_id").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    whole = common.written(whole.join(least, "component").select("key", "component_id"), "components")
-    members = some.select("doc_id", "n", "key").join(whole, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_id"), "component_id")
-    members = members.union(sets.where("n = 0").select("doc_id", "n", F.lit(None).cast("long"), "doc_id"))
+    whole = common.written(whole.join(least, "component").select("key", "component_id", "component"), "components")
+    members = some.select("doc_id", "n", "key", "text_hash").join(whole, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_id"), "component_id", "text_hash", "component")
+    members = members.union(sets.where("n = 0").select("doc_id", "n", F.lit(None).cast("long"), "doc_id", "text_hash", F.lit(None).cast("long")))
     return members, links
 
 

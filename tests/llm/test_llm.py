@@ -340,6 +340,20 @@ def test_pipeline(spark):
     assert before.count() > 0
 
 
+def test_near_duplicate_stage_with_shared_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    a, b, c, d, e = (" ".join(str(rnd.random()) for _ in range(30)) for _ in range(5))
+    data = [(5, a), (9, a), (5, b), (2, b), (7, c), (7, c), (7, c), (None, d), (None, d), (5, e), (1, None), (3, " "), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in data], cases.SCHEMA)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(5, a), (2, b), (7, c), (None, d), (5, e), (1, None), (3, " ")], key=str)
+    assert corpus_pipeline.near_duplicate_stage(spark, cases.empty(spark), DATA).isEmpty()
+
+
 def test_null_ids_and_shared_ids(spark):
     """Rows without an id, and other texts under one id, crash nothing and lose no row."""
     texts = cases.texts(6, 12)
