@@ -14,8 +14,8 @@ from . import common, textpack
 
 #: Tables, E8 lattices in each, neighbouring cells probed, and how far projections are spread over the lattice.
 TABLES, LATTICES, PROBES, SCALE = 4, 2, 2, 3.0
-#: Rows of a cell that one task compares; larger cells are split into pairs of blocks.
-BLOCK = 256
+#: Rows of a cell that one task compares; a larger cell is split into blocks, and its rows go to each pair of blocks with their own.
+BLOCK = 2048
 
 
 def shortest_vectors() -> np.ndarray:
@@ -99,33 +99,26 @@ def _vectors(rows: list[bytes], kind: str) -> np.ndarray:
     return _unit(np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1))
 
 
-_SHIPPED = "cell long, t int, home boolean, key long, many long, vector binary"
-
-
-def _shipped(classes: DataFrame, options: tuple, kind: str) -> DataFrame:
-    """Each class of vectors once for each table and cell, its own and those probed."""
+def _with_cells(classes: DataFrame, options: tuple, kind: str) -> DataFrame:
+    """(key, lid, many, vector, cells): each class of vectors with its cells of all tables, its own before those probed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 part = batch.slice(i, 1000)
-                rows, label = part.column("vector").to_pylist(), np.array(part.column("label").to_pylist(), np.int64)
-                size = np.array([len(v) for v in rows])
+                rows = [np.array(v, kind).tobytes() for v in part.column("embedding").to_pylist()]
+                lid = part.column("lid").to_numpy()
+                size, cells = np.array([len(v) for v in rows]), [None] * len(rows)
                 for n in np.unique(size):
                     k = np.flatnonzero(size == n)
-                    x = _vectors([rows[j] for j in k], kind)
-                    cells = _lattice(x.shape[1], options).cells(x)
-                    cells = textpack.mix(cells.view(np.uint64) ^ textpack.mix(label[k].view(np.uint64) + np.uint64(1))[:, None, None]).view(np.int64)
-                    many = cells.shape[1] * cells.shape[2]
-                    t = np.tile(np.repeat(np.arange(cells.shape[1], dtype=np.int32), cells.shape[2]), len(k))
-                    home = np.tile(np.arange(cells.shape[2]) == 0, len(k) * cells.shape[1])
-                    at = pa.array(np.repeat(k, many))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cells.ravel()), pa.array(t), pa.array(home), part.column("key").take(at), part.column("many").take(at), pa.array([rows[j] for j in np.repeat(k, many)], pa.binary())],
-                        names=["cell", "t", "home", "key", "many", "vector"],
-                    )
+                    found = _lattice(int(n) // np.dtype(kind).itemsize, options).cells(_vectors([rows[j] for j in k], kind))
+                    found = textpack.mix(found.view(np.uint64) ^ textpack.mix(lid[k].view(np.uint64) + np.uint64(1))[:, None, None]).view(np.int64)
+                    for j, c in zip(k, found.reshape(len(k), -1), strict=True):
+                        cells[j] = c
+                columns = [*(part.column(c) for c in ("key", "lid", "many")), pa.array(rows, pa.binary()), pa.array(cells, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "lid", "many", "vector", "cells"])
 
-    return classes.mapInArrow(run, _SHIPPED)
+    return classes.mapInArrow(run, "key long, lid long, many long, vector binary, cells array<long>")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,20 +144,35 @@ def _links(table: pa.Table, cosine: float, options: tuple, kind: str) -> pa.Tabl
     order = np.lexsort((hi, lo, cell))
     cell, lo, hi = cell[order], lo[order], hi[order]
     cut = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
-    rows = table.column("vector").to_pylist()
-    block, key, many, home, t = (table.column(c).to_numpy()[order] for c in ("block", "key", "many", "home", "t"))
+    rows = table.column("vector")
+    block, key, lid, many, home, t = (table.column(c).to_numpy()[order] for c in ("block", "key", "lid", "many", "home", "t"))
     out = [(np.zeros(0, np.int64),) * 3]
     for i, j in zip(cut, np.append(cut[1:], len(cell)), strict=True):
-        own = [rows[k] for k in order[i:j]]
-        if j - i > 1 and home[i:j].any() and len({len(r) for r in own}) == 1:
-            out.append(_cell_links(_vectors(own, kind), block[i:j], key[i:j], many[i:j], home[i:j], int(t[i]), lo[i] != hi[i], cosine, options))
+        if j - i > 1 and home[i:j].any():
+            own = rows.take(pa.array(order[i:j])).to_pylist()
+            if len({len(r) for r in own}) == 1:
+                out.append(_cell_links(_vectors(own, kind), *(c[i:j] for c in (block, key, lid, many, home)), int(t[i]), lo[i] != hi[i], cosine, options))
     return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=list(_FOUND))
 
 
-def _cell_links(x, block, key, many, home, t: int, crossed: bool, cosine: float, options: tuple) -> tuple[np.ndarray, ...]:
+def _near(x: np.ndarray, cosine: float, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of rows near enough with i < first, a few rows at a time."""
+    found = [(np.zeros(0, np.int64),) * 2]
+    for s in range(0, first, 256):
+        i, j = np.nonzero(x[s : min(s + 256, first)] @ x[s:].T >= cosine)
+        found.append((i[i < j] + s, j[i < j] + s))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _cell_links(x, block, key, lid, many, home, t: int, crossed: bool, cosine: float, options: tuple) -> tuple[np.ndarray, ...]:
     none = (np.zeros(0, np.int64),) * 3
-    i, j = np.nonzero(np.triu(x @ x.T >= cosine, 1))
-    found = (home[i] | home[j]) & (key[i] != key[j]) & ((block[i] != block[j]) if crossed else True)
+    first = len(x)
+    if crossed:  # two blocks: only pairs between them, so one of them is enough for the left side
+        by = np.argsort(block, kind="stable")
+        x, block, key, lid, many, home = (c[by] for c in (x, block, key, lid, many, home))
+        first = int((block == block[0]).sum())
+    i, j = _near(x, cosine, first)
+    found = (home[i] | home[j]) & (key[i] != key[j]) & (lid[i] == lid[j]) & ((block[i] != block[j]) if crossed else True)
     i, j = i[found], j[found]
     if not len(i):
         return none
@@ -172,14 +180,18 @@ def _cell_links(x, block, key, many, home, t: int, crossed: bool, cosine: float,
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     used, inv = np.unique(np.concatenate([i, j]), return_inverse=True)
     cells = _lattice(x.shape[1], options).cells(x[used])
-    a, b = cells[inv[: len(i)]], cells[inv[len(i) :]]
-    from_b, from_a = (b == a[:, :, :1]).any(2), (a == b[:, :, :1]).any(2)  # b reaches a's home cell; a reaches b's
-    both = from_a | from_b
-    first = ~both[:, :t].any(1)
-    # in this table the pair counts in the first one's home cell if the second reaches it, else in the second's
-    at_a = home[i] & from_b[:, t]
-    first &= at_a | (home[j] & ~from_b[:, t])
-    i, j = i[first], j[first]
+    own, probed = cells[:, :, 0], cells[:, :, 1:]
+    i_, j_ = inv[: len(i)], inv[len(i) :]
+    keep = np.zeros(len(i), bool)
+    for s in range(0, len(i), 100_000):
+        a, b = i_[s : s + 100_000], j_[s : s + 100_000]
+        same = own[a] == own[b]
+        from_b = same | (probed[b] == own[a][:, :, None]).any(2)  # b reaches a's home cell
+        from_a = same | (probed[a] == own[b][:, :, None]).any(2)
+        # in this table the pair counts in the first one's home cell if the second reaches it, else in the second's
+        here = (home[i[s : s + 100_000]] & from_b[:, t]) | (home[j[s : s + 100_000]] & ~from_b[:, t])
+        keep[s : s + 100_000] = here & ~(from_a | from_b)[:, :t].any(1)
+    i, j = i[keep], j[keep]
     if not len(i):
         return none
     links = np.bincount(i, many[j], len(x)) + np.bincount(j, many[i], len(x))
@@ -188,6 +200,25 @@ def _cell_links(x, block, key, many, home, t: int, crossed: bool, cosine: float,
     return key[some], links[some].astype(np.int64), key[root[some]]
 
 
+def _numbered(rows: DataFrame, most_tries: int = 20) -> tuple[DataFrame, DataFrame]:
+    """rows with a number `key` for each (label, embedding) that is to be searched, and (key, lid, label, many, least, embedding) of these classes.
+
+    Numbers are hashes of the values; if two values share one, all are taken
+    again with another seed. So equal numbers mean equal values.
+    """
+    for seed in range(most_tries):
+        hashed = lambda *c, seed=seed: F.xxhash64(F.lit(seed), *c)
+        whole = rows.withColumn("key", F.when(F.col("sound"), hashed("label", "embedding")))
+        classes = whole.where("sound").groupBy("label", "embedding").agg(F.min("key").alias("key"), F.count("*").alias("many"), F.min("vec_id").alias("least"))
+        classes = common.written(classes.select("key", hashed("label").alias("lid"), "label", "many", "least", "embedding"), "vector-classes")
+        seen = classes.agg(F.count("*").alias("n"), F.countDistinct("key").alias("k")).first()
+        labels = classes.groupBy("label").agg(F.min("lid").alias("lid")).agg(F.count("*").alias("n"), F.countDistinct("lid").alias("k")).first()
+        if seen["n"] == seen["k"] and labels["n"] == labels["k"]:
+            return whole, classes
+        common.drop_written(classes)
+    raise RuntimeError("no seed tells all labels and vectors apart")
+
+
 def near_duplicates(
     df: DataFrame,
     cosine: float = 0.93,
@@ -207,9 +238,9 @@ def near_duplicates(
     size is compared by pairs of blocks: nothing is capped. For larger inputs
     raise `lattices` (finer cells) and with it `tables`.
 
-    Vectors that are null, empty, zero or hold null or non-finite components,
-    and rows without a label, link with nothing. Vectors of different length
-    never link. Repeated rows count as vectors of their own; component_id is
+    Labels of any type that can be grouped are compared as they are. Vectors
+    that are null, empty, zero or hold null or non-finite components, and rows
+    without a label, link with nothing. Vectors of different length never link. Repeated rows count as vectors of their own; component_id is
     the least vec_id that is not null. Other columns are not read. An empty
     table gives no rows.
     """
@@ -217,36 +248,30 @@ def near_duplicates(
     spark = df.sparkSession
     common.small_batches(spark)
     kind = "<f4" if dict(df.dtypes)["embedding"] == "array<float>" else "<f8"
-    rows = df.select("vec_id", F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    rows = df.select("vec_id", F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"), "label")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     sound = F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull()
-    rows = rows.withColumn("key", F.when(sound, F.xxhash64("label", "embedding")))
-    rows = common.written(rows, "vectors")
-    classes = rows.where("key is not null").groupBy("key", "label", "embedding").agg(F.count("*").alias("many"), F.min("vec_id").alias("least"))
-    classes = common.written(classes.select("key", "label", "many", "least", "embedding"), "vector-classes")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = [np.array(v, kind).tobytes() for v in batch.column("embedding").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "label", "many")), pa.array(vectors, pa.binary())], names=["key", "label", "many", "vector"])
-
-    packed = classes.select("key", "label", "many", "embedding").mapInArrow(pack, "key long, label long, many long, vector binary")
-    shipped = _shipped(packed, options, kind)
-    big = common.written(shipped.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "big-cells")
+    rows, classes = _numbered(rows.withColumn("sound", sound))
+    ids = common.written(rows.select("vec_id", "key"), "vectors")
+    hashed = common.written(_with_cells(classes.select("key", "lid", "many", "embedding"), options, kind), "cells")
+    big = hashed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    big = common.written(big.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "big-cells")
     few = big.count() <= 100_000
-    dealt = shipped.join(F.broadcast(big) if few else big, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    each = hashed.select("key", "lid", "many", "vector", F.posexplode("cells").alias("at", "cell"))
+    dealt = each.join(F.broadcast(big) if few else big, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.hash("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", "t", "home", "key", "many", "vector", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    dealt = dealt.withColumns({"t": F.expr(f"cast(at div {1 + probes} as int)"), "home": F.col("at") % (1 + probes) == 0})
+    dealt = dealt.select("cell", "t", "home", "key", "lid", "many", "vector", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     parts = max(common.partitions(spark, 4), classes.count() * tables * (1 + probes) // 4000)
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cell", "lo", "hi"), F.lit(parts)))
     found = dealt.groupBy("part").applyInArrow(lambda table: _links(table, cosine, options, kind), "key long, links long, other long")
     found = common.written(found, "cell-links")
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     parts = common.connected_components(found, "key", "other").withColumnRenamed("node", "key")
-    named = classes.drop("embedding").join(counts, "key", "left").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = classes.select("key", "many", "least").join(counts, "key", "left").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("key", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "key").join(common.written(named, "vector-components"), "key", "left")
+    out = ids.join(common.written(named, "vector-components"), "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
