@@ -215,14 +215,17 @@ def test_a_registered_query_scores_trigrams(spark):
     assert sorted(rows(got)) != sorted(rows(queries.QUERIES["op6_lm_scoring"](spark, small).select(*got.columns)))
 
 
-@pytest.mark.parametrize("hot", [2, 32])
+def linked(sets):
+    ids = sorted(sets)
+    return [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+
+
+@pytest.mark.parametrize("hot", [1, 32])
 def test_jaccard_join(spark, hot):
     docs = cases.documents(spark)
     docs = docs.union(docs.where("doc_id in (30, 33)"))
     sets = {r["doc_id"]: cases.shingles(r["text"]) for r in docs.collect()}
-    ids = sorted(sets)
-    linked = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
-    want = cases.components(ids, linked)
+    want = cases.components(sorted(sets), linked(sets))
     members, links = jaccard.jaccard_join(docs, hot=hot)
     got = members.collect()
     assert len(got) == docs.count()
@@ -231,6 +234,37 @@ def test_jaccard_join(spark, hot):
     assert jaccard.jaccard_join(cases.empty(spark))[0].isEmpty()
 
 
+def passages(seed):
+    """Texts made mostly of passages that many share: with few and many words of their own, cut, joined, varied, and templates."""
+    rnd = random.Random(seed)
+    own = lambda n: " ".join(f"o{rnd.randrange(10**6)}" for _ in range(n))
+    whole = [[f"{c}{i}" for i in range(90)] for c in "pqr"]
+    out = [" ".join(whole[0])]
+    for _ in range(60):
+        out.append(" ".join(whole[0]) + " " + own(24))
+        out.append(" ".join(whole[rnd.randrange(3)]) + " " + own(rnd.randint(0, 20)))
+        i = rnd.randrange(30)
+        out.append(" ".join(whole[0][i : i + rnd.randint(50, 80)]) + " " + own(rnd.randint(0, 12)))
+        a, b = rnd.sample(whole, 2)
+        out.append(" ".join(a) + " " + " ".join(b[: rnd.randint(5, 90)]) + " " + own(rnd.randint(0, 6)))
+        varied = list(whole[1])
+        varied[rnd.randrange(90)] = "v"
+        varied[rnd.randrange(90)] = own(1)
+        out.append(" ".join(varied))
+        out.append(f"order {own(1)} was shipped on day {rnd.randrange(9)} by the usual carrier")
+        out.append(own(rnd.randint(1, 3)))
+    return out
+
+
+@pytest.mark.parametrize("hot, seed", [(2, 1), (8, 2)])
+def test_jaccard_join_of_shared_passages(spark, hot, seed):
+    docs = cases.documents(spark, passages(seed), clash=False)
+    sets = {r["doc_id"]: cases.shingles(r["text"]) for r in docs.collect()}
+    want = cases.components(sorted(sets), linked(sets))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_join(docs, hot=hot)[0].collect()}
+    assert got == want
+
+
 def test_maximal_repeats():
     text = [b"xxabcdefyy", b"zxabcdefyw", b"qqabcdefqq", b"qqabcdeaaa"]
     at = 2  # the anchor "abcde"
