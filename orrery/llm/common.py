@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,37 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as make it unlike all columns (in any case) and one another."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def ordered_ids(docs: DataFrame, null_first: bool = False, column: str = "doc_id") -> tuple[Column, Callable[[Column], Column]]:
+    """A long for each id, in the ids' order, with null before or after all others; and the way back.
+
+    Null gets the extreme long. Where an id has that value, the ids between it
+    and a long that no row has are shifted by one to make room.
+    """
+    end = -(1 << 63) if null_first else (1 << 63) - 1
+    free, step = end, 0x9E3779B97F4A7C15 >> 2
+    while not docs.where(F.col(column) == F.lit(free)).isEmpty():
+        free = (free + step + (1 << 63)) % (1 << 64) - (1 << 63)
+    beyond = (lambda x: x < free) if null_first else (lambda x: x > free)
+    shift = 1 if null_first else -1
+    there = F.col(column)
+    there = F.coalesce(F.when(beyond(there), there + F.lit(shift)).otherwise(there), F.lit(end))
+    # a shifted id is next to its old value, so the free long itself is reached only by a shift
+    moved = (lambda x: x <= free) if null_first else (lambda x: x >= free)
+    back = lambda x: F.when(x != end, F.when(moved(x), x - F.lit(shift)).otherwise(x)) if free != end else F.when(x != end, x)
+    return there.cast("long"), back
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with the least node reachable, for every node of an edge table.
 

@@ -13,18 +13,21 @@ its occurrences. Every occurrence but the first covers bytes to remove.
 
 Equal texts are one class, of which only the first is searched. Equal contexts
 of an anchor are merged in the task that reads them, before any shuffle. An
-anchor in very many classes is not gathered at all: there each window of
-`least` bytes has its own key, of which each task keeps the first.
+anchor in very many classes is split: each window of `least` bytes over it, a
+leaf of its tree, is a group of its own, of which each task ships the first.
+Windows are told apart by 128 bits of hash, everything else by its bytes. An
+anchor that is frequent among the documents of one task is known to be split
+before any of its postings is shipped.
 """
 
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, textpack
@@ -32,8 +35,8 @@ from .jaccard import _dealt, _gathered
 
 #: Bytes of an anchor.
 GRAM = 32
-#: An anchor in more classes than this is keyed by whole windows.
-HOT = 2000
+#: An anchor in more classes than this is split into windows. LOCAL: or in more than this share of it in one task's chunk of CHUNK slices of text.
+HOT, LOCAL, CHUNK = 2000, 16, 16
 _LAST = (1 << 24) - 1
 _SEGMENT = 1 << 22
 
@@ -61,13 +64,26 @@ def anchors(buf: np.ndarray, offs: np.ndarray, gram: int, least: int) -> tuple[n
     return pos[keep], h[keep]
 
 
-def _anchor_postings(docs: DataFrame, gram: int, least: int, buckets: int) -> DataFrame:
-    """(bucket, h, cls, twice): each class's anchors, packed by hash bucket; `twice` if one text has the anchor more than once."""
-    names = ["bucket", "h", "cls", "twice"]
+def _anchor_postings(docs: DataFrame, gram: int, least: int, buckets: int, parts: int, hot: int) -> DataFrame:
+    """Kind 0: (bucket, h, cls, flag), packed by hash of the anchor; flag 1 if one text has it more than once, 2 if it is hot. Kind 1: hot anchors of one chunk, packed by class."""
+    names, most = ["kind", "bucket", "h", "cls", "flag"], max(1, hot // LOCAL)
 
-    def dealt(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        h, cls, twice = (np.concatenate(c) for c in zip(*held, strict=True))
-        return _dealt((textpack.mix(h) % np.uint64(buckets)).astype(np.int64), [h, cls, twice], names)
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        h, cls, flag = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((cls, h))
+        h, cls, flag = h[order], cls[order], flag[order]
+        new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]))))
+        h, cls, flag = h[new], cls[new], np.maximum.reduceat(flag, new)
+        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        size = np.diff(np.append(start, len(h)))
+        often = np.repeat(size > most, size)
+        flag[often] = 2
+        ship = ~often
+        ship[start] = True  # one posting tells the other tasks
+        yield _dealt((textpack.mix(h[ship]) % np.uint64(buckets)).astype(np.int64), [x[ship] for x in (h, cls, flag)], names, 0)
+        if often.any():
+            own = cls[often]
+            yield _dealt((textpack.mix(own.view(np.uint64)) % np.uint64(parts)).astype(np.int64), [h[often], own, flag[often]], names, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -85,36 +101,41 @@ def _anchor_postings(docs: DataFrame, gram: int, least: int, buckets: int) -> Da
                 h, doc = h[order], doc[order]
                 new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
                 twice = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
-                held.append((h[new], cls[doc[new]], twice))
-                if len(held) >= 8:
-                    yield dealt(held)
+                held.append((h[new], cls[doc[new]], twice.astype(np.int8)))
+                if len(held) >= CHUNK:
+                    yield from dealt(held)
                     held = []
         if held:
-            yield dealt(held)
+            yield from dealt(held)
 
-    return docs.select("cls", "text").mapInArrow(run, "bucket int, h binary, cls binary, twice binary")
+    return docs.select("cls", "text").mapInArrow(run, "kind int, bucket int, h binary, cls binary, flag binary")
 
 
 def _repeated(table: pa.Table, parts: int, hot: int) -> pa.Table:
     """(part, h, cls, hot) of the anchors that occur more than once, packed by class."""
-    h, cls, twice = (_gathered(table, c, t) for c, t in (("h", "<u8"), ("cls", "<i8"), ("twice", "?")))
+    names, place = ["part", "h", "cls", "hot"], lambda cls: (textpack.mix(cls.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    h, cls, flag = (_gathered(table, c, t) for c, t in (("h", "<u8"), ("cls", "<i8"), ("flag", "i1")))
+    if table.column("kind")[0].as_py() == 1:
+        return pa.Table.from_batches([_dealt(place(cls), [h, cls, flag > 0], names)])
     order = np.lexsort((cls, h))
-    h, cls, twice = h[order], cls[order], twice[order]
+    h, cls, flag = h[order], cls[order], flag[order]
     cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]))))
-    twice = np.logical_or.reduceat(twice, cut)
+    flag = np.maximum.reduceat(flag, cut)
     h, cls = h[cut], cls[cut]
     start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    size = np.diff(np.append(start, len(h)))
-    often = (size > 1) | np.logical_or.reduceat(twice, start)
-    keep, many = np.repeat(often, size), np.repeat(size > hot, size)
+    size, top = np.diff(np.append(start, len(h))), np.maximum.reduceat(flag, start)
+    often = (size > 1) | (top > 0)
+    keep, many = np.repeat(often, size), np.repeat((size > hot) | (top == 2), size)
     h, cls, many = h[keep], cls[keep], many[keep]
-    return pa.Table.from_batches([_dealt((textpack.mix(cls.view(np.uint64)) % np.uint64(parts)).astype(np.int64), [h, cls, many], ["part", "h", "cls", "hot"])])
+    return pa.Table.from_batches([_dealt(place(cls), [h, cls, many], names)])
 
 
 def _by_class(table: pa.Table) -> pa.Table:
     h, cls, hot = (_gathered(table, c, t) for c, t in (("h", "<u8"), ("cls", "<i8"), ("hot", "?")))
     order = np.lexsort((h, cls))
     h, cls, hot = h[order], cls[order], hot[order]
+    new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]))))
+    h, cls, hot = h[new], cls[new], np.logical_or.reduceat(hot, new)
     cut = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1])))
     ends = np.append(cut[1:], len(cls))
     pick = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())
@@ -122,6 +143,7 @@ def _by_class(table: pa.Table) -> pa.Table:
 
 
 _SENT = ["kind", "bucket", "h", "did", "cls", "pos", "left", "right", "context"]
+_SECOND = textpack._random(256, 13)
 
 
 def _hash_rows(m: np.ndarray) -> np.ndarray:
@@ -130,8 +152,8 @@ def _hash_rows(m: np.ndarray) -> np.ndarray:
     return textpack.mix((textpack.mix(m) * steps).sum(1, dtype=np.uint64))
 
 
-def _contexts(staged: DataFrame, gram: int, least: int, buckets: int) -> DataFrame:
-    """Kind 0: repeated anchors with their contexts. Kind 1: windows over hot anchors. Kind 2: occurrences that a task found on its own."""
+def _contexts(staged: DataFrame, gram: int, least: int, buckets: int, all_of_them: bool = False) -> DataFrame:
+    """Kind 0: repeated anchors with their contexts. Kind 1: windows over hot anchors, `left` their second hash. Kind 2: occurrences that a task found on its own, unless all_of_them are shipped."""
     side = least - gram
     width = -(-(side + least) // 8) * 8
 
@@ -164,7 +186,7 @@ def _contexts(staged: DataFrame, gram: int, least: int, buckets: int) -> DataFra
                     context[(step < -l[:, None]) | (step >= r[:, None])] = 0
                     same = _hash_rows(context) ^ textpack.mix(l.astype(np.uint64) * np.uint64(1000) + r.astype(np.uint64)) ^ h[k]
                     order = np.lexsort((p, clss[d], dids[d], same))
-                    again = np.concatenate(([False], same[order][1:] == same[order][:-1]))
+                    again = _again(same[order], h[k][order], l[order], r[order], context[order]) & (not all_of_them)
                     x, y = order[again], order[~again]
                     if len(x):
                         base = offs[d[x]]
@@ -181,9 +203,11 @@ def _contexts(staged: DataFrame, gram: int, least: int, buckets: int) -> DataFra
                     s = np.flatnonzero(np.cumsum(over)[:-1] > 0)
                     total = textpack.prefix_hash(buf)
                     w = textpack.mix((total[s + least] - total[s]) * textpack.powers(len(buf))[1][s])
+                    total = textpack.prefix_hash(buf, _SECOND)
+                    w2 = textpack.mix((total[s + least] - total[s]) * textpack.powers(len(buf))[1][s])
                     d = np.searchsorted(offs, s, "right") - 1
-                    order = np.lexsort((s, clss[d], dids[d], w))
-                    again = np.concatenate(([False], w[order][1:] == w[order][:-1]))
+                    order = np.lexsort((s, clss[d], dids[d], w2, w))
+                    again = np.concatenate(([False], (w[order][1:] == w[order][:-1]) & (w2[order][1:] == w2[order][:-1]))) & (not all_of_them)
                     x, y = order[again], order[~again]
                     if len(x):
                         x = np.sort(x)
@@ -192,13 +216,23 @@ def _contexts(staged: DataFrame, gram: int, least: int, buckets: int) -> DataFra
                         base = offs[d[first]]
                         yield local(dids[d[first]], clss[d[first]], s[first] - base, s[last] + least - base, w[first])
                     none = np.zeros(len(y), np.int8)
-                    cols = [w[y], dids[d[y]], clss[d[y]], s[y] - offs[d[y]], none, none, none]
+                    cols = [w[y], dids[d[y]], clss[d[y]], s[y] - offs[d[y]], w2[y], none, none]
                     yield _dealt((textpack.mix(cols[0]) % np.uint64(buckets)).astype(np.int64), cols, _SENT, 1)
 
     kinds = "kind int, bucket int, h binary, did binary, cls binary, pos binary, left binary, right binary, context binary"
     return staged.select("did", "cls", "text", "h", "hot").mapInArrow(run, kinds)
 
 
+def _again(same: np.ndarray, *values: np.ndarray) -> np.ndarray:
+    """Whether a row equals the one before: by hash first, then by all its values."""
+    out = np.concatenate(([False], same[1:] == same[:-1]))
+    k = np.flatnonzero(out)
+    for v in values:
+        equal = v[k] == v[k - 1]
+        out[k] &= equal.all(1) if v.ndim > 1 else equal
+    return out
+
+
 def prefix_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
     """(depth, first, last) of each interval of a sorted list of strings that shares `depth` >= least leading bytes, from lcp[i] between strings i and i + 1, by one scan with a stack."""
     stack: list[tuple[int, int]] = []
@@ -238,8 +272,6 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int) -> Iterat
     for r, i, j in prefix_intervals(lcp, 1):
         members = sorted(order[i : j + 1], key=left.__getitem__)
         back = [_common(left[a], left[b]) for a, b in zip(members, members[1:], strict=False)]
-        if r >= least:
-            back = [max(x, 0) for x in back]
         found = list(prefix_intervals(back, max(1, least - r)))
         if r >= least and (not found or min(back) == 0):
             found.append((0, 0, len(members) - 1))
@@ -258,9 +290,10 @@ def _occurrences(table: pa.Table, gram: int, least: int, parts: int) -> pa.Table
     if kind == 2:
         out = [(did, cls, pos, _gathered(table, "left", "<i8"))]
     elif kind == 1:
-        order = np.lexsort((pos, cls, did, h))
-        h, did, cls, pos = h[order], did[order], cls[order], pos[order]
-        again = np.concatenate(([False], h[1:] == h[:-1]))
+        second = _gathered(table, "left", "<u8")
+        order = np.lexsort((pos, cls, did, second, h))
+        h, second, did, cls, pos = h[order], second[order], did[order], cls[order], pos[order]
+        again = np.concatenate(([False], (h[1:] == h[:-1]) & (second[1:] == second[:-1])))
         out = [(did[again], cls[again], pos[again], pos[again] + least)]
     else:
         left, right = (_gathered(table, c, "<i2").astype(np.int64) for c in ("left", "right"))
@@ -268,7 +301,7 @@ def _occurrences(table: pa.Table, gram: int, least: int, parts: int) -> pa.Table
         same = _hash_rows(context) ^ textpack.mix((left * 1000 + right).astype(np.uint64)) ^ h
         order = np.lexsort((pos, cls, did, same, h))
         h, did, cls, pos, left, right, context, same = (x[order] for x in (h, did, cls, pos, left, right, context, same))
-        again = np.concatenate(([False], (same[1:] == same[:-1]) & (h[1:] == h[:-1])))
+        again = _again(same, h, left, right, context)
         out = [(did[again], cls[again], (pos - left)[again], (pos + right)[again])]
         one = ~again
         order = np.flatnonzero(one)
@@ -276,7 +309,7 @@ def _occurrences(table: pa.Table, gram: int, least: int, parts: int) -> pa.Table
         h, did, cls, pos, left, right, context = (x[order] for x in (h, did, cls, pos, left, right, context))
         start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         size = np.diff(np.append(start, len(h)))
-        # most anchors have two contexts: one comparison of each pair
+        # most anchors have two contexts, a tree of two leaves: all pairs are compared at once
         a = start[size == 2]
         if len(a):
             b = a + 1
@@ -312,6 +345,45 @@ def _occurrences(table: pa.Table, gram: int, least: int, parts: int) -> pa.Table
     return pa.Table.from_batches([_dealt((textpack.mix(cls.view(np.uint64)) % np.uint64(parts)).astype(np.int64), [cls, start, end], names)])
 
 
+_GROUPS = pa.schema([("grp", pa.int64()), ("length", pa.int64()), ("did", pa.int64()), ("cls", pa.int64()), ("start", pa.int64())])
+
+
+def _groups(table: pa.Table, gram: int, least: int) -> pa.Table:
+    """(grp, length, did, cls, start) of all occurrences of each maximal repeat in these contexts."""
+    h, did, cls, pos = (_gathered(table, c, t) for c, t in (("h", "<u8"), ("did", "<i8"), ("cls", "<i8"), ("pos", "<i8")))
+    side, grp, length, who, start = least - gram, [], [], [], []
+    if table.column("kind")[0].as_py() == 1:
+        second = _gathered(table, "left", "<u8")
+        order = np.lexsort((second, h))
+        cut = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (second[order][1:] != second[order][:-1]))))
+        for i, j in zip(cut, np.append(cut[1:], len(h)), strict=True):
+            if j - i > 1:
+                own = order[i:j]
+                grp += [int(h[own[0]].view(np.int64))] * len(own)
+                length += [least] * len(own)
+                who += own.tolist()
+                start += pos[own].tolist()
+    else:
+        left, right = (_gathered(table, c, "<i2").astype(np.int64) for c in ("left", "right"))
+        context = _gathered(table, "context", "u1").reshape(len(h), -1)
+        order = np.lexsort((pos, cls, did, h))
+        cut = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+        for i, j in zip(cut, np.append(cut[1:], len(h)), strict=True):
+            own = order[i:j]
+            packed = [context[x].tobytes() for x in own]
+            before = [c[side - left[x] : side][::-1] for x, c in zip(own, packed, strict=True)]
+            after = [c[side : side + right[x]] for x, c in zip(own, packed, strict=True)]
+            for l, r, members in maximal_repeats(before, after, least):
+                x = own[members]
+                text = np.frombuffer(before[members[0]][:l][::-1] + after[members[0]][:r], np.uint8)
+                grp += [int(textpack.mix(textpack.prefix_hash(text)[-1:])[0].view(np.int64))] * len(x)
+                length += [l + r] * len(x)
+                who += x.tolist()
+                start += (pos[x] - l).tolist()
+    who = np.array(who, np.int64)
+    return pa.table([pa.array(grp, pa.int64()), pa.array(length, pa.int64()), pa.array(did[who]), pa.array(cls[who]), pa.array(start, pa.int64())], schema=_GROUPS)
+
+
 def _spans(table: pa.Table) -> pa.Table:
     """(cls, starts, ends): the union of what later occurrences cover, by document."""
     cls, start, end = (_gathered(table, c, "<i8") for c in ("cls", "start", "end"))
@@ -339,35 +411,67 @@ def _at_characters(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return starts[starts < ends], ends[starts < ends]
 
 
-def find_repeats(docs: DataFrame, least: int = 100, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(base, staged, occurrences) of documents with columns doc_id and text.
+def _classed(docs: DataFrame, most_tries: int = 20) -> tuple[DataFrame, DataFrame, DataFrame, Column, Callable[[Column], Column]]:
+    """(did, cls, text), base and firsts, the column that gives cls, and the way from did back to doc_id. If two texts share a hash, all are hashed again with another seed."""
+    did, back = common.ordered_ids(docs)
+    for seed in range(most_tries):
+        cls = F.xxhash64(F.lit(seed), F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+        rows = docs.select(did.alias("did"), cls.alias("cls"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+        base = common.written(rows.select("did", "cls", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "base")
+        firsts = common.written(base.groupBy("cls").agg(F.min("did").alias("did"), F.min("sha").alias("sha"), F.max("sha").alias("other")), "firsts")
+        if firsts.where("sha <> other").isEmpty():
+            return rows, base, firsts.select("cls", "did"), cls, back
+        common.drop_written(base)
+    raise RuntimeError("no seed tells all texts apart")
 
-    base: did (doc_id, the largest long for null), cls, n_bytes, sha and first (whether the row is its class's
+
+def find_repeats(docs: DataFrame, least: int = 100, gram: int = GRAM, hot: int = HOT, groups: bool = False) -> dict:
+    """What is found in documents with columns doc_id and text, by name.
+
+    base: did (a long for doc_id, in its order), cls, n_bytes, sha and first (whether the row is its class's
     first) of every row. staged: the first of each class that holds a repeated anchor, with its text.
-    occurrences: where later occurrences of repeats are, packed.
+    found: where later occurrences of repeats are, packed; with `groups`, the rows of repeat_groups().
+    cls, back: the column that gives a row's class, and the way from did to doc_id.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    did = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-    rows = docs.select(did.alias("did"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    rows = rows.select("did", F.xxhash64("text").alias("cls"), "text")
-    base = common.written(rows.select("did", "cls", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "base")
-    firsts = common.written(base.groupBy("cls").agg(F.min("did").alias("did")), "firsts")
+    rows, base, firsts, cls, back = _classed(docs)
     buckets = max(common.partitions(spark, 4), base.count() // 2000)
     parts = max(8, buckets // 16)  # a row goes from each bucket to each part
-    found = _anchor_postings(rows, gram, least, buckets).groupBy("bucket").applyInArrow(lambda t: _repeated(t, parts, hot), "part int, h binary, cls binary, hot binary")
+    found = _anchor_postings(rows, gram, least, buckets, parts, hot).groupBy("kind", "bucket").applyInArrow(lambda t: _repeated(t, parts, hot), "part int, h binary, cls binary, hot binary")
     found = found.groupBy("part").applyInArrow(_by_class, "cls long, h binary, hot binary")
     wanted = common.written(found.join(firsts, "cls"), "repeated")
     staged = common.written(rows.join(wanted, ["did", "cls"]).select("did", "cls", "text", "h", "hot"), "staged")
     common.drop_written(wanted)
-    seen = _contexts(staged, gram, least, buckets).groupBy("kind", "bucket").applyInArrow(lambda t: _occurrences(t, gram, least, parts), "part int, cls binary, start binary, end binary")
-    return base.join(firsts.withColumn("first", F.lit(True)), ["did", "cls"], "left").fillna(False, ["first"]), staged, seen
+    sent = _contexts(staged, gram, least, buckets, groups).groupBy("kind", "bucket")
+    if groups:
+        seen = sent.applyInArrow(lambda t: _groups(t, gram, least), "grp long, length long, did long, cls long, start long")
+    else:
+        seen = sent.applyInArrow(lambda t: _occurrences(t, gram, least, parts), "part int, cls binary, start binary, end binary")
+    base = base.join(firsts.withColumn("first", F.lit(True)), ["did", "cls"], "left").fillna(False, ["first"])
+    return {"base": base, "staged": staged, "found": seen, "cls": cls, "back": back}
+
+
+def repeat_groups(docs: DataFrame, least: int = 100, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(grp, length, doc_id, start): occurrences, the first included, of repeats of `least` bytes or more; start counts bytes, grp is a hash of the string.
+
+    A repeat is maximal in what is looked at around an anchor: `least` - gram
+    bytes before it and `least` from it on. So a longer passage comes as the
+    overlapping groups of its anchors, and over an anchor that is split as one
+    group for each window. Any two occurrences of a string of `least` bytes
+    are together in some group that covers it, and a group of just `least`
+    bytes lists all; of a longer one, those around which the same anchor is
+    chosen. Of equal texts only the first, by doc_id, is listed.
+    Nulls, ties and repeated rows are taken as by remove_repeats().
+    """
+    found = find_repeats(docs, least, gram, hot, groups=True)
+    return found["found"].select("grp", "length", found["back"](F.col("did")).alias("doc_id"), "start").distinct()
 
 
-def remove_repeats(docs: DataFrame, least: int = 100, gram: int = GRAM, hot: int = HOT, whole_characters: bool = False) -> tuple[DataFrame, DataFrame]:
-    """All rows as (did, cls, n_bytes, sha, first), and the rows that lose bytes as (did, cls, n_removed, n_spans, kept, starts, ends).
+def remove_repeats(docs: DataFrame, least: int = 100, gram: int = GRAM, hot: int = HOT, whole_characters: bool = False) -> tuple[DataFrame, DataFrame, dict]:
+    """All rows as (did, cls, n_bytes, sha, first), the rows that lose bytes as (did, cls, n_removed, n_spans, kept, starts, ends), and what find_repeats() gave.
 
-    did is doc_id, or the largest long for null. Of texts that occur more than
+    did is a long in the order of doc_id. Of texts that occur more than
     once only the first row is in the second table; the others, where `first`
     is false, lose all their bytes if they have `least` or more.
 
@@ -383,8 +487,9 @@ def remove_repeats(docs: DataFrame, least: int = 100, gram: int = GRAM, hot: int
     doc_id with other texts are ordered by a hash of the text. Other columns
     are not read. An empty table gives no rows.
     """
-    base, staged, seen = find_repeats(docs, least, gram, hot)
-    spans = common.written(seen.groupBy("part").applyInArrow(_spans, "cls long, starts binary, ends binary"), "spans")
+    found = find_repeats(docs, least, gram, hot)
+    base, staged = found["base"], found["staged"]
+    spans = common.written(found["found"].groupBy("part").applyInArrow(_spans, "cls long, starts binary, ends binary"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,33 +506,33 @@ def remove_repeats(docs: DataFrame, least: int = 100, gram: int = GRAM, hot: int
                 yield pa.RecordBatch.from_arrays([part.column("did"), part.column("cls"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), part.column("starts"), part.column("ends")], names=["did", "cls", "n_removed", "n_spans", "kept", "starts", "ends"])
 
     cleaned = staged.select("did", "cls", "text").join(spans, "cls").mapInArrow(run, "did long, cls long, n_removed long, n_spans long, kept binary, starts binary, ends binary")
-    return base, cleaned
+    return base, cleaned, found
 
 
 def cleaned_documents(docs: DataFrame, least: int = 100) -> DataFrame:
     """docs with text and n_chars as they are without repeats, in whole characters; rows that lose all their text go. Other columns stay."""
-    base, cleaned = remove_repeats(docs, least, whole_characters=True)
+    base, cleaned, found = remove_repeats(docs, least, whole_characters=True)
     gone = base.where(~F.col("first") & (F.col("n_bytes") >= least)).select("did", "cls", F.lit(b"").alias("kept"))
     changes = cleaned.select("did", "cls", "kept").union(gone)
     if base.count() > base.select("did", "cls").distinct().count():  # repeated rows are one document
         changes = changes.dropDuplicates(["did", "cls"])
-    changes = changes.withColumnsRenamed({"did": "__did", "cls": "__cls", "kept": "__kept"})
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    rows = docs.withColumns({"__did": F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "__cls": F.xxhash64(text)})
-    rows = rows.join(changes, ["__did", "__cls"], "left").where("__kept is null or octet_length(__kept) > 0")
-    rows = rows.withColumn("text", F.coalesce(F.col("__kept").cast("string"), F.col("text")))
+    did, cls, kept = common.free_names(docs.columns, "did", "cls", "kept")
+    changes = changes.withColumnsRenamed({"did": did, "cls": cls, "kept": kept})
+    rows = docs.withColumns({did: common.ordered_ids(docs)[0], cls: found["cls"]})
+    rows = rows.join(changes, [did, cls], "left").where(F.col(kept).isNull() | (F.octet_length(kept) > 0))
+    rows = rows.withColumn("text", F.coalesce(F.col(kept).cast("string"), F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        rows = rows.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return rows.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, cleaned = remove_repeats(common.documents(spark, sf_dir))
+    base, cleaned, found = remove_repeats(common.documents(spark, sf_dir))
     cleaned = cleaned.select("did", "cls", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")).distinct()
     copy = ~F.col("first") & (F.col("n_bytes") >= 100)
     out = base.join(cleaned, ["did", "cls"], "left")
     return out.select(
-        F.when(F.col("did") != (1 << 63) - 1, F.col("did")).alias("doc_id"),
+        found["back"](F.col("did")).alias("doc_id"),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),

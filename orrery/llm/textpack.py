@@ -73,7 +73,7 @@ def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, offs[-1])[offs[0] :], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch whose text has at most `most` bytes (a longer text has its own), with their packs."""
     buf, offs = packed(batch.column(column))
     i, n = 0, len(offs) - 1

@@ -274,11 +274,11 @@ def test_maximal_repeats():
     assert list(repeats.prefix_intervals([3, 1, 2], 1)) == [(3, 0, 1), (2, 2, 3), (1, 0, 3)]
 
 
-@pytest.mark.parametrize("hot", [1, 2000])
+@pytest.mark.parametrize("hot", [1, 40, 2000])
 def test_repeats(spark, hot):
     docs = cases.documents(spark)
     want = cases.removed([(r["doc_id"], r["text"]) for r in docs.collect()])
-    base, cleaned = repeats.remove_repeats(docs, hot=hot)
+    base, cleaned, _ = repeats.remove_repeats(docs, hot=hot)
     kept = {r["did"]: r for r in cleaned.collect()}
     for r in base.collect():
         n, gone, spans, rest = want[r["did"]]
@@ -293,6 +293,42 @@ def test_repeats(spark, hot):
     assert repeats.remove_repeats(cases.empty(spark))[0].isEmpty()
 
 
+@pytest.mark.parametrize("hot", [1, 2000])
+def test_repeat_groups_hold_all_occurrences(spark, hot):
+    docs = cases.documents(spark, clash=False)
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    firsts = {}
+    for d in sorted(text):
+        firsts.setdefault(text[d], d)
+    groups = {}
+    for r in repeats.repeat_groups(docs, hot=hot).collect():
+        groups.setdefault((r["grp"], r["length"]), []).append((r["doc_id"], r["start"]))
+    cover = {d: bytearray(len(t)) for d, t in text.items()}
+    for (_, n), places in groups.items():
+        strings = {text[d][i : i + n] for d, i in places}
+        assert n >= 100 and len(strings) == 1 and len(places) > 1
+        string = strings.pop()
+        everywhere = {(d, i) for t, d in firsts.items() for i in range(len(t) - n + 1) if t.startswith(string, i)}
+        assert set(places) <= everywhere and (n > 100 or set(places) == everywhere)
+        for d, i in sorted(places)[1:]:
+            cover[d][i : i + n] = b"\1" * n
+    want = cases.removed([(d, t.decode()) for t, d in firsts.items()])
+    assert all(sum(cover[d]) == want[d][1] for d in want)
+
+
+def test_ids_at_both_ends(spark):
+    low, high = -(2**63), 2**63 - 1
+    text = "a passage of more than one hundred bytes that two documents share, so that the later of the two has to lose it: " * 2
+    docs = spark.createDataFrame([(None, text, None, None, None), (high, text, None, None, None), (high, None, None, None, None), (low, "x", None, None, None), (low + 1, "y", None, None, None), (None, "z", None, None, None)], cases.SCHEMA)
+    got = sorted(((r["doc_id"], r["text"]) for r in repeats.cleaned_documents(docs).collect()), key=str)
+    assert got == sorted([(high, text[: len(text) // 2]), (high, None), (low, "x"), (low + 1, "y"), (None, "z")], key=str)
+    for first in (False, True):
+        there, back = common.ordered_ids(docs, null_first=first)
+        ids = [r[0] for r in docs.select("doc_id", there.alias("at")).orderBy("at").select(back(F.col("at"))).collect()]
+        real = sorted(x for x in ids if x is not None)
+        assert ids == ([None, None, *real] if first else [*real, None, None]) and real == [low, low + 1, high, high]
+
+
 def test_cleaned_documents_are_whole_characters(spark):
     docs = cases.documents(spark, ["é" * 90 + "x" * 40, "y" + "é" * 90 + "z" * 40, "é" * 90 + "x" * 40, None, ""])
     got = {r["doc_id"]: r for r in repeats.cleaned_documents(docs).collect()}
@@ -416,7 +452,7 @@ def test_null_ids_and_shared_ids(spark):
     assert winnow.edited_fingerprints(docs).count() == n
     members, _ = jaccard.jaccard_join(docs, hot=2)
     assert members.count() == n
-    base, _ = repeats.remove_repeats(docs)
+    base, *_ = repeats.remove_repeats(docs)
     assert base.count() == n
     assert sharding.interleave(docs, 4, F.col("source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).count() == n
     assert repeats.cleaned_documents(docs).where("text is not null").count() < n
