@@ -1,14 +1,21 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
+Grams have a rolling hash: each byte has a random number, and the hash of a
+gram is that of the gram before, shifted by one bit, xor the number of the new
+byte, without that of the old one. An array of all of them is built by spans,
+each from those a few times shorter: hash(ab) = hash(a) << |b| xor hash(b).
+
 A fingerprint is an array of long numbers, one for each chosen k-gram of UTF-8
-bytes, by position: the upper half is a 32-bit hash of the gram, the lower
-half counts down with its byte position. So the least number of a window is
+bytes, by position: the upper half is the upper half of the gram's hash, the
+lower half counts down with its byte position. So the least number of a window is
 its least hash, the rightmost of equals. Any `grams + k - 1` bytes that two
 texts share hold a gram that both fingerprints have.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +33,25 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _spread(width: int, offsets: list[int], join):
+    """An array of what join() makes of an array's elements at these offsets from each place; width is the last offset."""
+
+    def of(a: Column) -> Column:
+        return F.transform(F.slice(a, 1, F.greatest(F.size(a) - width, F.lit(0))), lambda x, i: join([x, *(F.get(a, i + o) for o in offsets[1:])]))
+
+    return of
+
+
 def _grams(part: Column, start: Column, k: int) -> Column:
     """A number for each gram of `part`, whose first byte is at byte `start` of the text."""
-    return F.transform(F.sequence(F.lit(1), F.octet_length(part) - k + 1), lambda p: F.xxhash64(F.substring(part, p, F.lit(k))).bitwiseOR(F.lit(_LOW)) - start - (p - 1))
+    a = F.transform(F.sequence(F.lit(1), F.octet_length(part)), lambda p: F.xxhash64(F.substring(part, p, F.lit(1))))
+    width = 1
+    while width < k:
+        times = next((f for f in (4, *range(2, k + 1)) if k // width % f == 0))
+        shift = (lambda w: lambda xs: reduce(lambda u, v: F.shiftleft(u, w).bitwiseXOR(v), xs))(width)
+        a = _let(a, _spread(width * (times - 1), [width * j for j in range(times)], shift))
+        width *= times
+    return F.transform(a, lambda x, i: x.bitwiseOR(F.lit(_LOW)) - start - i)
 
 
 def _runs(a: Column) -> Column:
@@ -36,22 +59,21 @@ def _runs(a: Column) -> Column:
     return F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
 
 
-def _shifted_least(step: int):
-    return lambda x: F.zip_with(x, F.slice(x, step + 1, 1 << 30), lambda u, v: F.least(u, v))
-
-
 def _window_minima(a: Column, grams: int, windows) -> Column:
-    """The least of each `grams` numbers in a row, by doubling spans, and each run of equal minima once."""
+    """The least of each `grams` numbers in a row, by spans four times longer each, and each run of equal minima once."""
     width = 1
     while width < grams:
-        step = min(width, grams - width)
-        a = _let(a, _shifted_least(step))
-        width += step
+        longer = min(4 * width, grams)
+        offsets = [*range(0, longer - width, width), longer - width]
+        a = _let(a, _spread(longer - width, offsets, lambda xs: F.least(*xs)))
+        width = longer
     return _let(F.slice(a, 1, windows), _runs)
 
 
 def windowed(text: Column, k: int = K, grams: int = WINDOW) -> Column:
-    """Chosen grams of all whole windows of a binary text; none if it is shorter than one."""
+    """Chosen grams of all whole windows of a binary text; none if it is shorter than one. k is 1 to 32: each byte of a gram reaches the upper half of its hash."""
+    if not 1 <= k <= 32:
+        raise ValueError("grams have 1 to 32 bytes")
     span = k + grams - 1
 
     def chunk(b: Column, start: Column) -> Column:
@@ -141,8 +163,9 @@ def edited_fingerprints(docs: DataFrame, k: int = K, grams: int = WINDOW) -> Dat
     document is its own next. Other columns are not read. An empty table gives
     no rows.
     """
-    span, lowest = k + grams - 1, F.lit(-(1 << 63)).cast("long")
-    rows = docs.select(F.coalesce("doc_id", lowest).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    span = k + grams - 1
+    did, back = common.ordered_ids(docs, null_first=True)
+    rows = docs.select(did.alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("did", F.xxhash64("text").alias("h"), "text")
     ids = rows.select("did", "h", F.length("text").cast("long").alias("n_chars"))
     order = common.written(neighbours(ids.distinct(), common.partitions(docs.sparkSession)), "order")
@@ -169,7 +192,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, grams: int = WINDOW) -> Dat
     edited_fp = F.when(at + F.octet_length("taken") < span, winnowed(edited, k, grams)).otherwise(_let(joined, _runs))
     both = both.withColumns({"edited_fp": edited_fp, "edited_sha256": F.sha2(edited, 256), "own": hashes(F.col("fp"))})
     return both.select(
-        F.when(F.col("did") != lowest, F.col("did")).alias("doc_id"),
+        back(F.col("did")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         shown(F.col("fp")).alias("fingerprint"),

@@ -166,12 +166,51 @@ def test_winnowing(spark):
         assert got[d]["n_chars"] == len(t)
         assert got[d]["edited_sha256"] == hashlib.sha256(edited[d].encode()).hexdigest()
         assert 0 <= got[d]["near_edited"] <= 1 and 0 <= got[d]["near_next"] <= 1
-    both = [(d, which, bytearray(t.encode())) for which, ts in (("fingerprint", text), ("edited_fingerprint", edited)) for d, t in ts.items()]
-    grams = "transform(sequence(1, greatest(octet_length(b) - 15, 1)), p -> xxhash64(if(octet_length(b) < 16, b, substring(b, p, 16))))"
-    for r in spark.createDataFrame(both, "d long, which string, b binary").select("d", "which", "b", F.expr(grams).alias("h")).collect():
-        want = winnowed(bytes(r["b"]), [h >> 32 for h in r["h"]])
-        assert got[r["d"]][r["which"]] == " ".join(f"{h & 0xFFFFFFFF:X}@{p:X}" for h, p in want)
+    byte = spark.createDataFrame([(i, bytearray([i])) for i in range(256)], "i int, b binary").select("i", F.xxhash64("b"), "b").collect()
+    byte = {r[0]: r[1] for r in byte}
+    tiny = {r[0]: r[1] >> 32 for r in spark.createDataFrame([(t,) for t in [*text.values(), *edited.values()] if 0 < len(t.encode()) < 16], "t string").select("t", F.xxhash64("t")).collect()}
+
+    def grams(t, k=16):
+        b, h, out = t.encode(), 0, []
+        for i, x in enumerate(b):
+            h = (h << 1 ^ byte[x]) & (1 << 64) - 1
+            if i >= k:
+                h ^= byte[b[i - k]] << k & (1 << 64) - 1
+            if i >= k - 1:
+                out.append((h >> 32) - (h >> 63 << 32))
+        return out or [tiny.get(t)]
+
+    chosen = {}
+    for which, ts in (("fingerprint", text), ("edited_fingerprint", edited)):
+        for d, t in ts.items():
+            chosen[which, d] = winnowed(t.encode(), grams(t))
+            assert got[d][which] == " ".join(f"{h & 0xFFFFFFFF:X}@{p:X}" for h, p in chosen[which, d])
+
+    def likeness(x, y):
+        x, y = {h for h, _ in x}, {h for h, _ in y}
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    for i, d in enumerate(order):
+        own = chosen["fingerprint", d]
+        assert got[d]["near_edited"] == pytest.approx(likeness(own, chosen["edited_fingerprint", d]))
+        assert got[d]["near_next"] == pytest.approx(likeness(own, chosen["fingerprint", order[(i + 1) % len(order)]]))
     assert winnow.edited_fingerprints(cases.empty(spark)).isEmpty()
+    ends = spark.createDataFrame([(-(2**63), "a", "", "", 1), (2**63 - 1, "b", "", "", 1), (None, "c", "", "", 1), (0, "ddd", "", "", 3)], cases.SCHEMA)
+    got = {r["doc_id"]: r["edited_sha256"] for r in winnow.edited_fingerprints(ends).collect()}
+    assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in ((-(2**63), "a"), (2**63 - 1, "b"), (None, "c"), (0, "dda"))}
+
+
+@pytest.mark.parametrize("k, grams", [(5, 7), (12, 1), (1, 33)])
+def test_windows_of_other_sizes(spark, k, grams):
+    texts = ["abcdefghij" * 5, "".join(random.Random(k).choice("ab") for _ in range(700))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", winnow.winnowed(F.col("t").cast("binary"), k, grams)).collect()
+    number = {t: h >> 32 for t, h in zip("abcdefghij", spark.createDataFrame([(c,) for c in "abcdefghij"], "c string").select(F.xxhash64("c")).toPandas().iloc[:, 0])} if k == 1 else None
+    for t, fp in rows:
+        at = [0xFFFFFFFF - (x & 0xFFFFFFFF) for x in fp]
+        assert at == sorted(set(at)) and all(b - a <= grams for a, b in zip(at, at[1:])) and at[0] < grams and at[-1] >= len(t) - k - grams + 1
+        same = {}
+        assert all(same.setdefault(t[p : p + k], x >> 32) == x >> 32 for p, x in zip(at, fp))
+        assert number is None or all(number[t[p]] == x >> 32 for p, x in zip(at, fp))
 
 
 def test_lm_scores_equal_sql(spark):
