@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from . import common, textpack
 
-#: How many pieces of text a Python worker keeps the ids of.
-CACHED_PIECES = 200_000
+#: How many pieces of text a Python worker keeps the ids of, and up to which length: some 50 MB at most.
+CACHED_PIECES, CACHED_LENGTH = 200_000, 24
 #: Splits text before any merge; white space is Unicode's White_Space property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -34,9 +34,16 @@ def byte_letters() -> dict[str, int]:
 
 
 def load_vocabulary(path: str) -> dict:
-    """Bytes by id, merges in order of rank as id triples, and the special strings of a tokenizer file."""
+    """Bytes by id, merges in order of rank as id triples, and the special strings of a tokenizer file.
+
+    Raises ValueError for a file that splits, normalises or merges in another way than is built here.
+    """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", False)
+    if not plain or spec.get("normalizer") or model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
     letters, vocab = byte_letters(), spec["model"]["vocab"]
     special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     size = max([*vocab.values(), *special.values()]) + 1
@@ -67,9 +74,11 @@ class Encoder(dict):
         self.cut = regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.cached:
-            self.clear()
-        out = self[piece] = array("I", self.merged(piece.encode())).tobytes()
+        out = array("I", self.merged(piece.encode())).tobytes()
+        if len(piece) <= CACHED_LENGTH:
+            if len(self) >= self.cached:
+                self.clear()
+            self[piece] = out
         return out
 
     def merged(self, data: bytes) -> list[int]:
@@ -177,7 +186,7 @@ def vocabulary_path() -> str:
 
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, null and empty texts with 0 tokens; repeated rows and ids stay, other columns are not read, an empty table gives no rows."""
     vocabulary = load_vocabulary(path or vocabulary_path())
     coded = decode(encode(df.select("doc_id", "text"), vocabulary).select("doc_id", "ids"), vocabulary)
     return coded.select(

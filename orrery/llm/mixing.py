@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -13,6 +14,8 @@ from . import common
 
 #: No more cells than this are raked; it bounds what the driver holds.
 MOST_CELLS = 1_000_000
+#: Raking ends when every share is so near its target; a share further off than MISSED is reported.
+SETTLED, MISSED = 1e-15, 1e-6
 
 Targets = Mapping[str, Mapping[str, float]]
 
@@ -30,11 +33,12 @@ def length_topic(tokens: Column) -> Column:
     return F.when(tokens < 128, "short").when(tokens < 512, "medium").otherwise("long")
 
 
-def rake(cells: np.ndarray, mass: np.ndarray, targets: list[np.ndarray], rounds: int = 25) -> np.ndarray:
-    """Factors of the cells (rows of category numbers, one column a margin) that bring the mass of every margin to its target.
+def rake(cells: np.ndarray, mass: np.ndarray, targets: list[np.ndarray], rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Factors of the cells (rows of category numbers, one column a margin) that bring the mass of every margin to its target, and how far off a category's share still is at most.
 
-    Iterative proportional fitting: each round scales every margin in turn.
-    A category without mass cannot be met; its share goes to the others.
+    Iterative proportional fitting: each round scales every margin in turn,
+    until all are met to SETTLED or the rounds are over. A category without
+    mass cannot be met; its share goes to the others.
     """
     factor = np.ones(len(mass))
     goals = []
@@ -42,14 +46,19 @@ def rake(cells: np.ndarray, mass: np.ndarray, targets: list[np.ndarray], rounds:
         there = np.bincount(cells[:, k], mass, len(target)) > 0
         goal = np.where(there, target, 0)
         goals.append(goal / goal.sum() if goal.sum() else goal)
+    off = 0.0
     for _ in range(rounds):
         for k, goal in enumerate(goals):
             now = np.bincount(cells[:, k], mass * factor, len(goal))
             factor = factor * np.divide(goal * mass.sum(), now, out=np.zeros(len(goal)), where=now > 0)[cells[:, k]]
-    return factor
+        shares = [np.bincount(cells[:, k], mass * factor, len(goal)) / (mass.sum() or 1) for k, goal in enumerate(goals)]
+        off = max((float(np.abs(share - goal).max()) for share, goal in zip(shares, goals, strict=True)), default=0.0)
+        if off < SETTLED:
+            break
+    return factor, off
 
 
-def mix(docs: DataFrame, margins: Mapping[str, Column], targets: Targets, tokens: Column, rounds: int = 25, budget: float | None = None, seed: int = 3, keep: float | None = None, others: bool = False) -> DataFrame:
+def mix(docs: DataFrame, margins: Mapping[str, Column], targets: Targets, tokens: Column, rounds: int = 25, budget: float | None = None, seed: int = 3, keep: float | None = None, others: bool = False, strict: bool = False) -> DataFrame:
     """docs with n_tokens, weight, probability and sampled (and a column for each margin, named as in `margins`).
 
     weight scales a document's tokens so that each margin's weighted share
@@ -67,14 +76,17 @@ def mix(docs: DataFrame, margins: Mapping[str, Column], targets: Targets, tokens
     `others` they are one more category of that margin, whose target is the
     share of the tokens that it has, and the given targets share the rest. Texts
     without words carry no mass; they share their cell's weight. Equal doc_ids
-    share their fate. Columns of the new names are replaced. An empty table
-    gives no rows.
+    share their fate. Columns of the new names are replaced, all others stay.
+    An empty table gives no rows. Targets that contradict each other on these
+    cells, so that a share is off by more than MISSED after all rounds, give a
+    warning that says by how much, with `strict` a ValueError.
     """
     names = list(margins)
     if np.prod([float(len(targets[m]) + others) for m in names]) > MOST_CELLS:
         raise ValueError("too many cells; coarsen a margin")
     index = {m: {c: i for i, c in enumerate(sorted(targets[m]))} for m in names}
     category = {m: F.when(F.col(m).isin(*index[m]), F.col(m)) if others else F.col(m) for m in names}
+    keys = dict(zip(names, common.free_names([*docs.columns, *names], *names), strict=True))
     docs = docs.drop("weight", "probability", "sampled")
     rows = docs.withColumns({**margins, "n_tokens": tokens})
     wanted = rows.select(*(category[m].alias(m) for m in names), "n_tokens")
@@ -90,7 +102,11 @@ def mix(docs: DataFrame, margins: Mapping[str, Column], targets: Targets, tokens
     if others:
         own = [mass[cells[:, k] == len(goal)].sum() / (mass.sum() or 1) for k, goal in enumerate(goals)]
         goals = [np.append(goal * (1 - x) / (goal.sum() or 1), x) for goal, x in zip(goals, own, strict=True)]
-    factor = rake(cells, mass, goals, rounds) if len(mass) else np.zeros(0)
+    factor, off = rake(cells, mass, goals, rounds) if len(mass) else (np.zeros(0), 0.0)
+    if off > MISSED:
+        if strict:
+            raise ValueError(f"targets cannot be met together: a share is off by {off:.2g} after {rounds} rounds")
+        warnings.warn(f"a share is off its target by {off:.2g} after {rounds} rounds", stacklevel=2)
     budget = keep * mass.sum() if keep is not None else budget
     top = factor[mass > 0].max(initial=0.0)
     scale = 1 / top if top else 0.0
@@ -104,10 +120,10 @@ def mix(docs: DataFrame, margins: Mapping[str, Column], targets: Targets, tokens
                 break
         scale = max(scale, 0.0)
     table = [(*(r[m] for m in names), float(x), float(min(1.0, x * scale))) for r, x in zip(sums, factor, strict=True)]
-    fields = [T.StructField(f"__{m}", T.StringType()) for m in names]
+    fields = [T.StructField(keys[m], T.StringType()) for m in names]
     schema = T.StructType([*fields, T.StructField("weight", T.DoubleType()), T.StructField("probability", T.DoubleType())])
     weights = docs.sparkSession.createDataFrame(table, schema)
-    joined = rows.join(F.broadcast(weights), [category[m].eqNullSafe(F.col(f"__{m}")) if others else F.col(m) == F.col(f"__{m}") for m in names], "left").drop(*[f"__{m}" for m in names])  # MOST_CELLS rows at most
+    joined = rows.join(F.broadcast(weights), [category[m].eqNullSafe(F.col(keys[m])) if others else F.col(m) == F.col(keys[m]) for m in names], "left").drop(*keys.values())  # MOST_CELLS rows at most
     joined = joined.fillna(0.0, ["weight", "probability"])
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return joined.withColumn("sampled", draw < F.col("probability"))
@@ -121,14 +137,21 @@ TARGETS: Targets = {"source": SOURCES, "lang": LANGUAGES, "topic": TOPICS}
 ROUNDS = 25
 
 
-def mixed_documents(docs: DataFrame, keep: float | None = None, others: bool = False) -> DataFrame:
-    rows = docs if "__tokens" in docs.columns else docs.withColumn("__tokens", n_tokens("text"))
-    return mix(rows, {"source": F.col("source"), "lang": F.col("lang"), "topic": length_topic(F.col("__tokens"))}, TARGETS, F.col("__tokens"), ROUNDS, keep=keep, others=others).drop("__tokens")
+def mixed_documents(docs: DataFrame, keep: float | None = None, others: bool = False, targets: Targets = TARGETS, tokens: Column | None = None, strict: bool = False) -> DataFrame:
+    """mix() of documents by source, lang and length class (column topic), to `targets`; tokens, if given, are counted already.
+
+    Nulls, empty and long texts, ties, repeated rows, empty tables and other columns are treated as mix() says.
+    """
+    n, topic = common.free_names([*docs.columns, "source", "lang", "topic"], "words", "class")
+    rows = docs.withColumn(n, n_tokens("text") if tokens is None else tokens).withColumn(topic, length_topic(F.col(n)))
+    out = mix(rows, {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(topic)}, targets, F.col(n), ROUNDS, keep=keep, others=others, strict=strict)
+    return out.drop(n, topic)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = common.documents(spark, sf_dir).select("doc_id", "source", "lang", n_tokens("text").alias("__tokens"))
-    out = mixed_documents(common.written(rows, "tokens"))  # words are counted once
+    """Weights and the sample of all documents; as mixed_documents() says."""
+    rows = common.documents(spark, sf_dir).select("doc_id", "source", "lang", n_tokens("text").alias("words"))
+    out = mixed_documents(common.written(rows, "tokens"), tokens=F.col("words"))  # words are counted once
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 8).alias("weight"), F.round("probability", 8).alias("probability"), "sampled")
 
 

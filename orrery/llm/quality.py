@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classify, common, textpack
 
-#: At most so many trusted positives and unlabelled texts are learnt from.
-MOST_POSITIVES, MOST_UNLABELLED = 20_000, 40_000
+#: At most so many trusted positives and unlabelled texts are rows of the fit. The class prior is estimated from the scores of all other documents.
+MOST_POSITIVES, MOST_UNLABELLED = 6_000, 12_000
+#: Hash buckets of words, whose shares are features too.
+WORD_BUCKETS = 256
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "digit": b"0123456789",
@@ -24,16 +26,17 @@ _CLASSES = {
     "symbol": b"#$%&*+/<=>@[\\]^_`{}~",
     "high": bytes(range(128, 256)),
 }
+SURFACE = len(_CLASSES) + 6
 _SHARES = np.zeros((len(_CLASSES), 256), bool)
 for _row, _members in zip(_SHARES, _CLASSES.values(), strict=True):
     _row[list(_members)] = True
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A row for each text: shares of kinds of bytes, size, length of words, repeated and distinct words. All 0 for an empty text."""
+    """A row for each text: shares of kinds of bytes, size, length of words, repeated and distinct words, then the square root of each word bucket's share. All 0 for an empty text."""
     n = len(offs) - 1
     size = np.diff(offs)
-    out = np.zeros((n, len(_CLASSES) + 6))
+    out = np.zeros((n, SURFACE + WORD_BUCKETS), np.float32)
     full = size > 0
     if not full.any():
         return out
@@ -57,71 +60,117 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     out[some, k + 3] = (distinct / words)[some]
     out[some, k + 4] = np.log1p(distinct[some]) / np.log1p(count[some])
     out[:, k + 5] = full
+    bucket = np.repeat(np.arange(n), count) * WORD_BUCKETS + (h % np.uint64(WORD_BUCKETS)).astype(np.int64)
+    many = np.bincount(bucket, minlength=n * WORD_BUCKETS).reshape(n, -1)
+    out[:, SURFACE:] = np.sqrt(many / words[:, None])
     return out
 
 
 def expand(x: np.ndarray) -> np.ndarray:
-    """Square roots beside the features: small shares count too."""
-    return np.hstack([x, np.sqrt(np.maximum(x, 0)), np.ones((len(x), 1))])
+    """Square roots beside the surface features, since small shares count too, and a constant."""
+    return np.hstack([x, np.sqrt(np.maximum(x[:, :SURFACE], 0)), np.ones((len(x), 1), np.float32)])
 
 
 def _adam(grad, n: int, steps: int, rate: float) -> np.ndarray:
-    w, m, v = np.zeros(n), np.zeros(n), np.zeros(n)
+    w, m, v = (np.zeros(n, np.float32) for _ in range(3))
     for t in range(1, steps + 1):
         g = grad(w, t)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     return w
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, steps: int = 300, delta: float = 0.1) -> float:
-    """Best-bin estimate of the positives' share of the unlabelled rows.
+def positive_against_unlabelled(pos: np.ndarray, unl: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Weights of a logistic classifier of positives against unlabelled rows."""
 
-    A classifier of positives against unlabelled rows is fitted on one half.
-    On the other half, for each score c, the unlabelled rows above c bound the
-    share from above, (unlabelled rows above) / (positives above); the bin with
-    the least upper confidence bound gives the estimate.
+    def grad(w, _):
+        return (-((1 - classify.sigmoid(pos @ w)) @ pos) / len(pos) + (classify.sigmoid(unl @ w) @ unl) / len(unl)) + 1e-3 * w
+
+    return _adam(grad, pos.shape[1], steps, 0.05)
+
+
+def best_bin(cuts: np.ndarray, above_p: np.ndarray, n_p: int, above_u: np.ndarray, n_u: int, delta: float = 0.1) -> float:
+    """The positives' share of the unlabelled rows, from the rows of either kind whose score is at least each cut.
+
+    Positives above a cut are no more than the unlabelled rows above it, so
+    (unlabelled share above) / (positive share above) bounds the share from
+    above; the cut with the least upper confidence bound gives the estimate.
     """
-    a, b = pos[::2], unl[::2]
-    if not len(pos[1::2]) or not len(unl[1::2]):
+    if not n_p or not n_u:
         return 0.5
-
-    def grad(w, _):
-        return (-((1 - classify.sigmoid(a @ w))[:, None] * a).mean(0) + (classify.sigmoid(b @ w)[:, None] * b).mean(0)) + 1e-4 * w
-
-    w = _adam(grad, pos.shape[1], steps, 0.05)
-    p, u = np.sort(pos[1::2] @ w), np.sort(unl[1::2] @ w)
-    cuts = np.quantile(p, np.linspace(0, 0.98, 200))
-    over = lambda s: 1 - np.searchsorted(s, cuts, "left") / len(s)
-    qp, qu = over(p), over(u)
-    slack = np.sqrt(np.log(4 / delta) / 2 / len(u)) + np.sqrt(np.log(4 / delta) / 2 / len(p))
+    qp, qu = above_p / n_p, above_u / n_u
+    slack = np.sqrt(np.log(4 / delta) / 2 / n_u) + np.sqrt(np.log(4 / delta) / 2 / n_p)
     best = np.argmin((qu + slack) / np.maximum(qp, 1e-9))
     return float(np.clip(qu[best] / max(qp[best], 1e-9), 0.02, 0.98))
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> dict:
+def _cuts(scores_p: np.ndarray) -> np.ndarray:
+    return np.unique(np.quantile(scores_p, np.linspace(0, 0.98, 200)))
+
+
+def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """best_bin() of rows in memory: the classifier learns from one half of either kind, the other half is counted."""
+    if not len(pos[1::2]) or not len(unl[1::2]):
+        return 0.5
+    w = positive_against_unlabelled(pos[::2], unl[::2])
+    p, u = pos[1::2] @ w, unl[1::2] @ w
+    cuts = _cuts(p)
+    return best_bin(cuts, (p[:, None] >= cuts).sum(0), len(p), (u[:, None] >= cuts).sum(0), len(u))
+
+
+def corpus_prior(docs: DataFrame, pos: np.ndarray, unl: np.ndarray, half: Column) -> float:
+    """best_bin() with the scores of every document of the half that `unl` is not of; only the counts between cuts leave the tasks."""
+    if len(pos) < 2 or not len(unl):
+        return 0.5
+    both = np.vstack([pos, unl])
+    centre, scale = both.mean(0), both.std(0) + 1e-3
+    centre[-1], scale[-1] = 0, 1
+    p = (pos - centre) / scale
+    w = positive_against_unlabelled(p[::2], (unl - centre) / scale)
+    cuts = _cuts(p[1::2] @ w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(cuts) + 1, np.int64)
+        for batch in batches:
+            for _, buf, offs in textpack.slices(batch, "text"):
+                score = (expand(features(buf, offs)) - centre) / scale @ w
+                total += np.bincount(np.searchsorted(cuts, score, "right"), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["bin", "n"])
+
+    rows = docs.where(half).select(F.col("text").cast("binary").alias("text"))
+    bins = rows.mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # 201 rows at most
+    count = np.zeros(len(cuts) + 1)
+    for r in bins:
+        count[r["bin"]] = r["n"]
+    p = p[1::2] @ w
+    above = count[::-1].cumsum()[::-1][1:]
+    return best_bin(cuts, (p[:, None] >= cuts).sum(0), len(p), above, int(count.sum()))
+
+
+def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> dict:
     """Minimise  prior * R+(positives)  +  max(0, R-(unlabelled) - prior * R-(positives))  of the logistic loss.
 
     When the second term, which no real risk can make negative, is negative,
-    the step ascends on it instead. Without positives or unlabelled rows every
+    the step ascends on that term alone. Without positives or unlabelled rows every
     score is one half.
     """
     p, u = expand(pos), expand(unl)
-    centre, scale = (np.vstack([p, u]).mean(0), np.vstack([p, u]).std(0) + 1e-3) if len(pos) and len(unl) else (np.zeros(p.shape[1]), np.ones(p.shape[1]))
+    centre, scale = (np.vstack([p, u]).mean(0), np.vstack([p, u]).std(0) + 1e-3) if len(pos) and len(unl) else (np.zeros(p.shape[1], np.float32), np.ones(p.shape[1], np.float32))
     centre[-1], scale[-1] = 0, 1
     if not len(pos) or not len(unl):
         return {"w": np.zeros(p.shape[1]), "centre": centre, "scale": scale, "prior": 0.5}
     p, u = (p - centre) / scale, (u - centre) / scale
     prior = estimate_prior(p, u) if prior is None else prior
 
-    def grad(w, _):
-        fp, fu = classify.sigmoid(p @ w), classify.sigmoid(u @ w)
-        plus = -((1 - fp)[:, None] * p).mean(0)
-        minus_u, minus_p = (fu[:, None] * u).mean(0), (fp[:, None] * p).mean(0)
-        risk = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
-        return prior * plus + (minus_u - prior * minus_p if risk >= 0 else -(minus_u - prior * minus_p)) + decay * w
+    return {"w": _adam(lambda w, _: non_negative_gradient(p, u, w, prior) + decay * w, p.shape[1], steps, rate), "centre": centre, "scale": scale, "prior": prior}
+
 
-    return {"w": _adam(grad, p.shape[1], steps, rate), "centre": centre, "scale": scale, "prior": prior}
+def non_negative_gradient(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float) -> np.ndarray:
+    """Step direction of the non-negative risk at w."""
+    fp, fu = classify.sigmoid(p @ w), classify.sigmoid(u @ w)
+    second = (fu @ u) / len(u) - prior * (fp @ p) / len(p)
+    risk = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
+    return second - prior * ((1 - fp) @ p) / len(p) if risk >= 0 else -second
 
 
 def scores(model: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -129,31 +178,37 @@ def scores(model: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _feature_rows(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a bounded sample, gathered on the driver: some 130 bytes a text."""
+    """Features and labels of a bounded sample, gathered on the driver: about 1 KB a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in textpack.slices(batch, "text"):
-                x = features(buf, offs).astype("<f8")
+                x = features(buf, offs).astype("<f4")
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column("label").cast(pa.int32())], names=["x", "label"])
 
     rows = texts.select(F.col("text").cast("binary").alias("text"), "label").mapInArrow(run, "x binary, label int").toArrow()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), "<f8").reshape(len(rows), -1) if len(rows) else np.zeros((0, len(_CLASSES) + 6))
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), "<f4").reshape(len(rows), -1) if len(rows) else np.zeros((0, SURFACE + WORD_BUCKETS), np.float32)
     y = np.array(rows.column("label").to_pylist(), int)
-    order = np.lexsort([*x.T, y])  # the order that rows arrive in shall not matter
+    order = np.lexsort([*x[:, :SURFACE].T, y])  # the order that rows arrive in shall not matter
     return x[order], y[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positives: int = MOST_POSITIVES, most_unlabelled: int = MOST_UNLABELLED) -> dict:
-    """Trusted positives: bounded sample of training rows with quality 1. Unlabelled: bounded sample of the documents that are not held out, labels unseen."""
+    """Trusted positives: bounded sample of training rows with quality 1. Unlabelled: bounded sample of the documents that are not held out, labels unseen, so that some are positives too.
+
+    The class prior comes from one half of the documents that are not held
+    out, all of them, scored by a classifier that learns from the other half.
+    """
     common.small_batches(docs.sparkSession)
-    positives = classify.hash_sample(classify.training_labels(labels, "quality").where("label = 1"), most_positives)
-    web = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~common.held_out("doc_id")).distinct()
-    web = classify.hash_sample(web, most_unlabelled).withColumn("label", F.lit(0))
-    pos, _ = _feature_rows(classify.texts_of(docs, positives))
-    unl, _ = _feature_rows(classify.texts_of(docs, web))
+    positives = classify.hash_sample(classify.training_labels(labels, "quality").where("label = 1").join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), most_positives)
+    open_ = F.col("doc_id").isNotNull() & ~common.held_out("doc_id")
+    other = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")), F.lit(2)) == 1
+    web = classify.hash_sample(docs.select("doc_id").where(open_).distinct(), most_unlabelled).withColumn("label", other.cast("int"))
     mixed = np.random.Generator(np.random.PCG64(7))
-    return fit(mixed.permutation(pos), mixed.permutation(unl), prior)
+    pos, unl, half = mixed.permutation(_feature_rows(classify.texts_of(docs, positives))[0]), *_feature_rows(classify.texts_of(docs, web))
+    if prior is None:
+        prior = corpus_prior(docs, expand(pos), expand(unl[half == 0]), open_ & other)
+    return fit(pos, mixed.permutation(unl), prior)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
@@ -163,14 +218,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **
     texts get the model's score for all-zero features. Rows with a null doc_id
     are scored, never learnt from. Equal texts get equal scores. An empty
     table gives no rows; without usable labels every score is one half. Other
-    columns are not read.
+    columns are not read. At most `most_positives` and `most_unlabelled` texts
+    are rows of the fit.
     """
     model = train(docs, labels, **options)
     return classify.scored(docs, lambda buf, offs: scores(model, buf, offs), threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """The rows of docs, all columns, whose score is at least the threshold; filtered where they are read, without a shuffle."""
+    """The rows of docs, all columns, whose score is at least the threshold; filtered where they are read, without a shuffle. Rows are scored as by score_quality()."""
     model = train(docs, labels, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,41 +30,42 @@ def interleave(
     Nulls: a null stratum is a stratum of its own. Ties in order_key follow
     the row's other columns' hash; rows equal in all columns are
     interchangeable. An empty table gives an empty result. Existing columns
-    shard and slot are replaced; helper columns start with "__".
+    shard and slot are replaced; helper columns have names that no column has.
     """
     df = df.drop("shard", "slot")
     cols = df.columns
     n = df.count()
+    s_, k_, t_, b_, c_, before_, n_, f_, g_, p_ = common.free_names([*cols, "shard", "slot"], "s", "k", "t", "b", "c", "before", "n", "f", "g", "p")
     digits = 3 if n <= 4096 * rows_per_bucket else 5  # 4,096 or 1,048,576 hash buckets
     fine = min(1 << 20, max(256, n // rows_per_bucket))
-    rows = df.withColumns({"__s": stratum, "__k": order_key, "__t": F.xxhash64(*[F.col(f"`{c}`") for c in cols])})
-    rows = rows.withColumns({"__b": F.conv(F.substring("__k", 1, digits), 16, 10).cast("int"), "__s": F.coalesce(F.concat(F.lit("="), F.col("__s").cast("string")), F.lit(""))})
-    counts = rows.groupBy("__s", "__b").agg(F.count("*").alias("__c"))
-    of = Window.partitionBy("__s")
+    rows = df.withColumns({s_: stratum, k_: order_key, t_: F.xxhash64(*[F.col(f"`{c}`") for c in cols])})
+    rows = rows.withColumns({b_: F.conv(F.substring(k_, 1, digits), 16, 10).cast("int"), s_: F.coalesce(F.concat(F.lit("="), F.col(s_).cast("string")), F.lit(""))})
+    counts = rows.groupBy(s_, b_).agg(F.count("*").alias(c_))
+    of = Window.partitionBy(s_)
     counts = counts.withColumns({
-        "__before": F.sum("__c").over(of.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
-        "__n": F.sum("__c").over(of),
-    }).fillna(0, ["__before"]).drop("__c")
-    rows = rows.join(counts.hint("shuffle_hash"), ["__s", "__b"])
-    rank = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__k", "__t")) + F.col("__before")
+        before_: F.sum(c_).over(of.orderBy(b_).rowsBetween(Window.unboundedPreceding, -1)),
+        n_: F.sum(c_).over(of),
+    }).fillna(0, [before_]).drop(c_)
+    rows = rows.join(counts.hint("shuffle_hash"), [s_, b_])
+    rank = F.row_number().over(Window.partitionBy(s_, b_).orderBy(k_, t_)) + F.col(before_)
     # each stratum is shifted by a part of a rank of its own, so that small strata do not all fall into the middle
-    shift = F.conv(F.substring(F.md5("__s"), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    rows = rows.withColumn("__f", (rank - shift) / F.col("__n")).drop("__b", "__before", "__n")
-    rows = rows.withColumn("__g", F.least(F.floor(F.col("__f") * fine), F.lit(fine - 1)).cast("int"))
-    starts = rows.groupBy("__g").agg(F.count("*").alias("__c"))
-    starts = starts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
-    rows = rows.join(starts.hint("shuffle_hash"), "__g")
-    at = F.row_number().over(Window.partitionBy("__g").orderBy("__f", "__k", "__s", "__t")) - 1 + F.col("__before")
-    rows = rows.withColumn("__p", at.cast("long"))
-    rows = rows.withColumn("shard", F.expr(f"cast(__p * {n_shards} div {max(n, 1)} as int)"))
-    return rows.withColumn("slot", F.expr(f"__p - (cast(shard as bigint) * {n} + {n_shards - 1}) div {n_shards}")).select(*[f"`{c}`" for c in cols], "shard", "slot")
+    shift = F.conv(F.substring(F.md5(s_), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    rows = rows.withColumn(f_, (rank - shift) / F.col(n_)).drop(b_, before_, n_)
+    rows = rows.withColumn(g_, F.least(F.floor(F.col(f_) * fine), F.lit(fine - 1)).cast("int"))
+    starts = rows.groupBy(g_).agg(F.count("*").alias(c_))
+    starts = starts.withColumn(before_, F.coalesce(F.sum(c_).over(Window.orderBy(g_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(c_)
+    rows = rows.join(starts.hint("shuffle_hash"), g_)
+    at = F.row_number().over(Window.partitionBy(g_).orderBy(f_, k_, s_, t_)) - 1 + F.col(before_)
+    rows = rows.withColumn(p_, at.cast("long"))
+    rows = rows.withColumn("shard", F.expr(f"cast({p_} * {n_shards} div {max(n, 1)} as int)"))
+    return rows.withColumn("slot", F.expr(f"{p_} - (cast(shard as bigint) * {n} + {n_shards - 1}) div {n_shards}")).select(*[f"`{c}`" for c in cols], "shard", "slot")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 8, seed: int = 17) -> DataFrame:
     """All documents in shards by the law `rows`; only ids, sizes and checksums are shuffled, never the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = common.documents(spark, sf_dir).select("doc_id", F.octet_length(text).cast("long").alias("__bytes"), F.crc32(text).alias("text_crc32"), "source")
-    rows = rows.select("doc_id", (F.col("__bytes") + 1).alias("size"), "text_crc32", "source")
+    rows = common.documents(spark, sf_dir).select("doc_id", F.octet_length(text).cast("long").alias("bytes"), F.crc32(text).alias("text_crc32"), "source")
+    rows = rows.select("doc_id", (F.col("bytes") + 1).alias("size"), "text_crc32", "source")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")))
     out = interleave(rows, n_shards, F.col("source"), key)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from . import classify, common, textpack
 
-#: At most so many labelled texts are learnt from, and so many n-gram buckets kept.
-MOST_TEXTS, MOST_FEATURES = 10_000, 20_000
+#: At most so many labelled texts of either label are the rows of the logistic fit. The ratios are counted over all labelled texts.
+MOST_TEXTS = 1_500
 SIZES = (3, 4, 5, 6)
+#: Every one of the 2**BITS hash buckets of n-grams whose ratio is more than chance is a feature.
 BITS = 20
+#: Up to so many labels (some 16 MB) are broadcast to the documents, more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,70 +55,88 @@ def class_counts(texts: DataFrame) -> DataFrame:
         some = np.flatnonzero(count.any(0))
         for i in range(0, len(some), 50_000):
             k = some[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in (k, count[1, k], count[0, k])], names=["bucket", "pos", "neg"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, count[1, k], count[0, k])], names=["bucket", "pos", "neg"])
 
-    return texts.mapInArrow(run, "bucket int, pos int, neg int").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return texts.mapInArrow(run, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def log_count_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, smooth: float = 1.0) -> np.ndarray:
     return np.log((pos + smooth) / (n_pos + 2 * smooth)) - np.log((neg + smooth) / (n_neg + 2 * smooth))
 
 
-def _rows(texts: DataFrame, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of the sample over the kept buckets, gathered on the driver: bounded by texts times buckets present."""
+def shrunk(ratios: np.ndarray, pos: np.ndarray, neg: np.ndarray, errors: float = 3.0) -> np.ndarray:
+    """Ratios less what chance can make of them: r * max(0, 1 - (errors * standard error / r)**2)."""
+    error = 1 / (pos + 1) + 1 / (neg + 1)
+    return ratios * np.maximum(0, 1 - errors**2 * error / np.maximum(ratios**2, 1e-12))
+
+
+def _rows(texts: DataFrame, used: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Used buckets of each text of the sample and its label, gathered on the driver: 4 bytes for each distinct bucket of MOST_TEXTS texts a label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in _texts(batch.column("text")):
-                k = np.unique(index[buckets(text)])
-                out.append(k[k >= 0].astype("<u2").tobytes())
+                k = buckets(text)
+                out.append(np.unique(k[used[k]]).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column("label").cast(pa.int32())], names=["x", "label"])
 
-    table = texts.mapInArrow(run, "x binary, label int").orderBy("label", F.md5("x")).toArrow()
-    x = [np.frombuffer(r, "<u2") for r in table.column("x").to_pylist()]
-    return np.concatenate([*x, np.zeros(0, "<u2")]).astype(np.int32), np.concatenate(([0], np.cumsum([len(r) for r in x]))).astype(np.int64), np.array(table.column("label").to_pylist(), float)
-
-
-def fit(cols: np.ndarray, offs: np.ndarray, y: np.ndarray, ratios: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
-    """Weights of the buckets (with the ratios multiplied in) and the intercept, by logistic regression on the scaled features."""
-    if not len(y):  # no document of the sample is there
-        return np.zeros(len(ratios)), 0.0
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(offs))
-    r = ratios[cols].astype(np.float32)
-    prior = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    w, b = np.zeros(len(ratios)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, steps + 1):
-        f = np.bincount(row, r * w.astype(np.float32)[cols], len(y)) + b
-        e = (classify.sigmoid(f) - y) / len(y)
-        g = np.append(np.bincount(cols, r * e.astype(np.float32)[row], len(w)) + decay * w / 10, e.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w * ratios, b
-
-
-def train(docs: DataFrame, labels: DataFrame, most_texts: int = MOST_TEXTS, most_features: int = MOST_FEATURES) -> dict:
-    """weights by bucket (float32, one for each of the 2**BITS buckets) and the intercept."""
+    table = texts.mapInArrow(run, "x binary, label int").toArrow()
+    x = [np.frombuffer(r, "<u4") for r in table.column("x").to_pylist()]
+    y = np.array(table.column("label").to_pylist(), float)
+    order = sorted(range(len(x)), key=lambda i: (y[i], x[i].tobytes()))  # the order that rows arrive in shall not matter
+    return [x[i] for i in order], y[order]
+
+
+def fit(x: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, share: float, epochs: int = 12, size: int = 100, rate: float = 0.03, decay: float = 3e-5) -> tuple[np.ndarray, float]:
+    """Weights of the buckets (with the ratios multiplied in) and the intercept, by logistic regression on the scaled features.
+
+    Rows are weighted so that label 1 has `share` of the weight, whatever its
+    part of the sample. Batches of `size` rows, so that a batch is all that is
+    unpacked.
+    """
+    w, b = np.zeros(len(ratios), np.float32), float(np.log(share / (1 - share)))
+    m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
+    if not len(y):
+        return w, b
+    r = ratios.astype(np.float32)
+    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+    mixed, t = np.random.Generator(np.random.PCG64(11)), 0
+    for _ in range(epochs):
+        order = mixed.permutation(len(y))
+        for s in range(0, len(y), size):
+            k, t = order[s : s + size], t + 1
+            cols = np.concatenate([x[i] for i in k])
+            row = np.repeat(np.arange(len(k)), [len(x[i]) for i in k])
+            f = np.bincount(row, (r * w)[cols], len(k)) + b
+            e = (weight[k] * (classify.sigmoid(f) - y[k]) / len(k)).astype(np.float32)
+            g = np.append(r * np.bincount(cols, e[row], len(w)).astype(np.float32) + decay * w, e.sum()).astype(np.float32)
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            w, b = w - step[:-1], b - float(step[-1])
+    return w * r, b
+
+
+def train(docs: DataFrame, labels: DataFrame, most_texts: int = MOST_TEXTS) -> dict:
+    """weights by bucket (float32, one for each of the 2**BITS buckets) and the intercept. Labels whose documents are absent count for nothing."""
     common.small_batches(docs.sparkSession)
-    ids = classify.hash_sample(classify.training_labels(labels, "toxic"), most_texts)
-    texts = classify.texts_of(docs, ids).repartition(8)
-    weights = np.zeros(1 << BITS, np.float32)
-    n = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    ids = classify.training_labels(labels, "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id")
+    n = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     if not n_pos or not n_neg:
-        return {"weights": weights, "intercept": float(np.log((n_pos + 1) / (n_neg + 1)))}
-    texts = common.written(texts, "toxic-sample")
-    p, q = F.col("pos") / n_pos, F.col("neg") / n_neg
-    shift = F.abs(p - q) / F.sqrt((F.col("pos") + F.col("neg") + 1) / (n_pos + n_neg))
-    kept = class_counts(texts).where("pos + neg >= 3").orderBy(shift.desc(), "bucket").limit(min(most_features, 65_000)).toArrow()
-    bucket, pos, neg = (np.array(kept.column(c).to_pylist(), np.int64) for c in ("bucket", "pos", "neg"))
-    index = np.full(1 << BITS, -1, np.int32)
-    index[bucket] = np.arange(len(bucket))
-    w, b = fit(*_rows(texts, index), log_count_ratios(pos, neg, n_pos, n_neg))
-    common.drop_written(texts)
-    weights[bucket] = w
+        return {"weights": np.zeros(1 << BITS, np.float32), "intercept": float(np.log((n_pos + 1) / (n_neg + 1)))}
+    counts = class_counts(texts.select("text", "label")).toArrow()  # 2**BITS rows at most
+    bucket, pos, neg = (counts.column(c).to_numpy() for c in ("bucket", "pos", "neg"))
+    ratios = np.zeros(1 << BITS)
+    ratios[bucket] = shrunk(log_count_ratios(pos, neg, n_pos, n_neg), pos, neg)
+    there = texts.select("doc_id", "label").distinct()
+    some = [classify.hash_sample(there.where(F.col("label") == y), most_texts) for y in (0, 1)]
+    x, y = _rows(classify.texts_of(docs, some[0].union(some[1])).repartition(8), ratios != 0)
+    used = np.flatnonzero(ratios)
+    w, b = fit([np.searchsorted(used, k) for k in x], y, ratios[used], n_pos / (n_pos + n_neg))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = w
     return {"weights": weights, "intercept": b}
 
 
@@ -125,7 +146,7 @@ def scores(model: dict, texts: Iterator[str]) -> list[float]:
     out = []
     for text in texts:
         k = buckets(text)
-        k = np.unique(k[used[k]])
+        k = np.unique(k[used[k]])  # a bucket counts once
         out.append(b + float(weights[k].sum(dtype=np.float64)))
     return classify.sigmoid(np.array(out, float))
 
@@ -137,7 +158,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
     texts get the score of a text without n-grams. Rows with a null doc_id are
     scored, never learnt from. Equal texts get equal scores. An empty table
     gives no rows; if one label is missing every score is the labels' smoothed
-    share. Other columns are not read.
+    share. Other columns are not read. The logistic fit has at most `most_texts`
+    rows of either label; the ratios that scale its features are counted over
+    all texts that may be learnt from.
     """
     model = train(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the input

@@ -7,7 +7,7 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use themselves.
-CLASH = {"shard": "1", "slot": "2", "weight": "3", "probability": "4", "sampled": "5", "ids": "6", "n": "7", "key": "8", "cls": "9", "did": "10", "chunk": "11", "label": "12", "score": "13"}
+CLASH = {"shard": "1", "slot": "2", "weight": "3", "probability": "4", "sampled": "5", "ids": "6", "n": "7", "key": "8", "cls": "9", "did": "10", "chunk": "11", "label": "12", "score": "13", "__tokens": "14", "__lang": "15", "__s": "16", "__k": "17", "__did": "18", "words": "19", "_did": "20", "_s": "21", "s": "22", "topic_": "23"}
 
 
 def texts(seed=1, many=60, base=None):

@@ -56,6 +56,25 @@ def test_mixing_budget(spark):
     assert [r[0] for r in words] == [2, 0, 0, 0, 1, 2]
 
 
+def test_targets_that_contradict(spark):
+    docs = spark.createDataFrame([(i, "en" if i % 2 else "de", "a" if i % 2 else "b", "w " * 10) for i in range(40)], "doc_id long, lang string, source string, text string")
+    margins, targets = {"lang": F.col("lang"), "source": F.col("source")}, {"lang": {"en": 0.5, "de": 0.5}, "source": {"a": 0.9, "b": 0.1}}
+    with pytest.raises(ValueError, match="off by"):
+        mixing.mix(docs, margins, targets, mixing.n_tokens("text"), strict=True)
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.mix(docs, margins, targets, mixing.n_tokens("text"))
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    docs = cases.documents(spark, cases.texts(9, 10))
+    out = mixing.mixed_documents(docs).select("doc_id", "text", "n_tokens", "__tokens", "__lang").collect()
+    assert all((r["n_tokens"], r["__tokens"], r["__lang"]) == (len(cases.WORDS.findall(r["text"] or "")), "14", "15") for r in out)
+    cut = sharding.interleave(docs, 4, F.col("source"), F.md5(F.col("doc_id").cast("string")))
+    assert {(r["s"], r["__s"], r["_s"], r["__k"]) for r in cut.collect()} == {("22", "16", "21", "17")}
+    left = repeats.cleaned_documents(docs)
+    assert left.columns == docs.columns and {(r["did"], r["_did"], r["cls"], r["__did"]) for r in left.collect()} == {("10", "20", "9", "18")}
+
+
 def test_mixing_stage_keeps_most_of_every_category(spark):
     import corpus_pipeline
 
@@ -110,6 +129,18 @@ def test_bpe_equals_the_library(spark):
     assert bpe.digests(cases.empty(spark)).isEmpty()
 
 
+def test_other_kinds_of_vocabulary_are_refused(tmp_path):
+    import json
+
+    with open(bpe.vocabulary_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="plain byte-level"):
+            bpe.load_vocabulary(str(path))
+
+
 @pytest.mark.parametrize("score, target", [(toxicity.score_toxicity, "toxic"), (quality.score_quality, "quality")])
 def test_held_out_accuracy(spark, score, target):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
@@ -129,6 +160,40 @@ def test_classifiers_on_odd_tables(spark, score, target):
     assert score(cases.empty(spark), some).isEmpty()
 
 
+def test_log_count_ratios():
+    pos, neg = np.array([9, 0, 4]), np.array([0, 9, 4])
+    r = toxicity.log_count_ratios(pos, neg, 10, 10)
+    assert r == pytest.approx([math.log(10 / 1), -math.log(10 / 1), 0])
+    small = toxicity.shrunk(r, pos, neg, 1.0)
+    assert small[0] == pytest.approx(r[0] * (1 - (1 / 10 + 1) / r[0] ** 2)) and small[1] == -small[0] and small[2] == 0
+    assert (toxicity.shrunk(r, pos, neg) == 0).all()  # ten texts prove nothing at three errors
+
+
+def test_labels_without_documents_count_for_nothing(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
+    absent = spark.range(10_000_000, 10_020_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    got, want = (toxicity.train(docs, x) for x in (labels.union(absent), labels))
+    assert (got["weights"] == want["weights"]).all() and got["intercept"] == want["intercept"]
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_of_known_mixtures(share):
+    rng = np.random.default_rng(1)
+    draw = lambda n, at: np.hstack([rng.normal(at, 1, (n, 3)), np.ones((n, 1))]).astype(np.float32)
+    pos, n = draw(4000, 2.0), int(8000 * share)
+    unl = np.vstack([draw(n, 2.0), draw(8000 - n, -2.0)])
+    assert quality.estimate_prior(pos, rng.permutation(unl)) == pytest.approx(share, abs=0.05)
+
+
+def test_non_negative_step():
+    p, u, w = np.array([[1.0], [2.0]]), np.array([[-1.0], [0.5]]), np.array([0.3])
+    s = lambda x: 1 / (1 + math.exp(-0.3 * x))
+    second = lambda prior: (s(-1) * -1 + s(0.5) * 0.5) / 2 - prior * (s(1) * 1 + s(2) * 2) / 2
+    first = lambda prior: -prior * ((1 - s(1)) * 1 + (1 - s(2)) * 2) / 2
+    assert quality.non_negative_gradient(p, u, w, 0.1)[0] == pytest.approx(first(0.1) + second(0.1))
+    assert quality.non_negative_gradient(p, u, w, 0.95)[0] == pytest.approx(-second(0.95))  # its risk is negative
+
+
 def test_keep_good_keeps_columns(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     kept = quality.keep_good(docs, labels)
