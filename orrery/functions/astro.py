@@ -1,8 +1,8 @@
-"""Column rules on sidereal longitudes."""
+"""Column rules on sidereal longitudes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.rounding import rounded
@@ -81,5 +81,24 @@ def aspect(diff: Column) -> Column:
     return out
 
 
+# Elements of the signs, in order, again and again; kinds of bodies.
+ELEMENTS = ["Fire", "Earth", "Air", "Water"]
+CLASSICAL = ["Sun", "Moon", "Mars", "Mercury", "Jupiter", "Venus", "Saturn"]
+NODES = ["Rahu", "Ketu"]
+
+
+def category(planet: Column) -> Column:
+    """D30."""
+    return F.when(planet.isin(CLASSICAL), "classical").when(planet.isin(NODES), "node").otherwise("outer")
+
+
+def spans(spark: SparkSession) -> DataFrame:
+    """Kind, id, name, element, start_deg and end_deg of the 27 nakshatras (four digits) and 12 signs (one digit)."""
+    nak = spark.createDataFrame(list(enumerate(NAKSHATRAS)), "i long, name string")
+    nak = nak.select(F.lit("nakshatra").alias("kind"), (F.col("i") + 1).alias("id"), "name", F.lit(None).cast("string").alias("element"), *[rounded((F.col("i") + k) * SPAN, 4).alias(c) for k, c in ((0, "start_deg"), (1, "end_deg"))])
+    signs = spark.createDataFrame([(i, n, ELEMENTS[i % 4]) for i, n in enumerate(SIGNS)], "i long, name string, element string")
+    return nak.unionByName(signs.select(F.lit("sign").alias("kind"), (F.col("i") + 1).alias("id"), "name", "element", *[rounded((F.col("i") + k) * 30.0, 1).alias(c) for k, c in ((0, "start_deg"), (1, "end_deg"))]))
+
+
 def exact(orb: Column) -> Column:
     return orb <= 1.0

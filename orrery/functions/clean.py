@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from orrery.functions.rounding import rounded
 
 
-def parse_float(c: Column, zero_is_null: bool = True) -> Column:
-    """Trimmed, without commas; '', text and NaN are null, and so is 0 unless told otherwise."""
+def parse_float(c: Column, zero_is_null: bool = True, keep_nan: bool = False) -> Column:
+    """Trimmed, without commas; '' and text are null, and so are 0 and NaN unless told otherwise."""
     x = F.regexp_replace(F.trim(c), ",", "").try_cast("double")
-    x = F.when(~F.isnan(x), x)
+    x = x if keep_nan else F.when(~F.isnan(x), x)
     return F.nullif(x, F.lit(0.0)) if zero_is_null else x
 
 

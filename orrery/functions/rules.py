@@ -51,12 +51,13 @@ def half_up(x: Column, digits: int = 2) -> Column:
     return F.floor(x * 10**digits + 0.5) / 10**digits
 
 
-def explanation(score: Column, regime_: Column, factors: Column, most: int = 3) -> Column:
-    """factors: array of struct(name, points, place), points above 0. The largest by points, then by place."""
-    ranked = F.slice(F.sort_array(F.transform(factors, lambda f: F.struct((-f["points"]).alias("k"), f["place"], f["name"], f["points"]))), 1, most)
-    shown = F.array_join(F.transform(ranked, lambda f: F.format_string("%s (+%s)", f["name"], F.regexp_replace(F.format_number(f["points"], 1), r"\.0$", ""))), ", ")
-    total = F.regexp_replace(F.format_number(score, 1), r"\.0$", "")
-    return F.when(F.size(factors) > 0, F.format_string("Risk %s/100 (%s). Key factors: %s", total, regime_, shown)).otherwise(F.format_string("Risk %s/100 (%s). No significant factors", total, regime_))
+def explanation(score: Column, regime_: Column, factors: Column, broken: Column, most: int = 3) -> Column:
+    """factors: array of struct(name, points, place, whole), points above 0. The largest by points, then by place. Numbers that are not whole by rule have one digit; `broken` says so of the score."""
+    number = lambda x, whole: F.when(whole, x.cast("int").cast("string")).otherwise(x.cast("decimal(10,1)").cast("string"))
+    ranked = F.slice(F.sort_array(F.transform(factors, lambda f: F.struct((-f["points"]).alias("k"), f["place"], f["name"], f["points"], f["whole"]))), 1, most)
+    shown = F.array_join(F.transform(ranked, lambda f: F.concat(f["name"], F.lit(" (+"), number(f["points"], f["whole"]), F.lit(")"))), ", ")
+    start = F.concat(F.lit("Risk "), number(score, ~broken), F.lit("/100 ("), regime_, F.lit("). "))
+    return F.concat(start, F.when(F.size(factors) > 0, F.concat(F.lit("Key factors: "), shown)).otherwise(F.lit("No significant risk factors active.")))
 
 
 def string_hash(text: Column) -> Column:
@@ -66,5 +67,15 @@ def string_hash(text: Column) -> Column:
     return F.abs(F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, c: wrap(h * 31 + c)))
 
 
+def demo_factors(date_: Column, symbol: Column) -> Column:
+    """Struct of four demonstration factors that share out the seeded score of (date, symbol), halves rounded up."""
+    joined = lambda tail: string_hash(F.concat_ws("-", date_.cast("string"), symbol, F.lit(tail)))
+    total, s = demo_score(joined("")), joined("f")
+    raw = [F.pmod(F.shiftright(s, n), F.lit(25)) for n in (0, 4, 8, 12)]
+    whole = raw[0] + raw[1] + raw[2] + raw[3]
+    share = lambda x: F.floor(x / F.when(whole == 0, 1).otherwise(whole) * total + 0.5).cast("bigint")
+    return F.struct(*[share(x).alias(n) for x, n in zip(raw, ("structural", "momentum", "volatility", "deception"), strict=True)])
+
+
 def demo_score(seed: Column) -> Column:
     return F.least(F.lit(100), F.greatest(F.lit(5), F.pmod(seed, F.lit(70)) + 5 + F.when(F.pmod(seed, F.lit(17)) > 12, 20).otherwise(0))).cast("bigint")

@@ -12,8 +12,7 @@ def momentum_spread(bars: DataFrame, fast: int = 10, slow: int = 40, period: int
     """RSI of the spread of two averages, smoothed; four kinds of new high; divergence of price and RSI(14)."""
     w = s.by("symbol")
     df = bars.withColumn("spread", s.sma("close", w, fast) - s.sma("close", w, slow))
-    df = s.with_rsi(df, "spread", period, "rs")
-    df = s.with_rsi(df, "close", 14, "rsi")
+    df = s.smoothed(df, {"rs": ("spread", period), "rsi": ("close", 14)})
     df = df.withColumn("smooth", s.sma("rs", w, 3))
     record, past = s.record_before("smooth", w), s.highest("smooth", w, look_back, 1)
     below = F.col("close") < s.highest("close", w, look_back)
@@ -41,6 +40,9 @@ def relative_strength(bars: DataFrame, bench: DataFrame, long: int = 144, ma: in
     return df.withColumn("zone_value", zone_value(F.col("zone")))
 
 
+ZONES = ["Strong Bull", "Mild Bull", "Strong Bear", "Mild Bear", "Neutral"]
+
+
 def zone_value(zone: Column) -> Column:
     return F.when(zone == "Strong Bull", 2).when(zone == "Mild Bull", 1).when(zone == "Strong Bear", -2).when(zone == "Mild Bear", -1).otherwise(0).cast("bigint")
 
@@ -63,19 +65,24 @@ def screens(bars: DataFrame, weeks: int = 8) -> DataFrame:
 
 
 def signals(df: DataFrame) -> DataFrame:
-    """K19 to K22 on columns of relative_strength and screens: agreement, label, five-bar momentum, alerts."""
+    """K19 to K23 on columns of relative_strength and screens: agreement, label, five-bar momentum with its strength, alerts, a flag for each zone."""
     w = s.by("symbol")
     bull = F.coalesce(F.col("strength") > F.col("average"), F.lit(False))
     df = df.withColumn("bull", bull)
     score = F.when(bull & F.col("emd"), 2).otherwise(0) + F.when(bull & F.col("ca"), 1).otherwise(0) + F.when(F.col("vmac"), 1).otherwise(0)
     df = df.withColumn("agreement", score.cast("bigint"))
     back = F.lag("strength", 5).over(w)
+    moved = F.abs(F.col("strength") - back)
+    flags = {f"is_{z.lower().replace(' ', '_')}": (F.col("zone") == z).cast("int") for z in ZONES}  # K23
     far = F.coalesce(F.col("diff") > F.col("threshold"), F.lit(False))
     side = F.signum(F.col("strength") - F.col("average"))
     return df.withColumns({
         "agreement_status": F.when(score >= 4, "Excellent").when(score >= 3, "Strong").when(score >= 2, "Moderate").otherwise("Weak"),
         "signal": F.when(bull & (F.col("score") >= 3) & far, "Perfect Entry").when(bull & (F.col("score") >= 2) & (F.col("diff") > F.col("threshold") * 0.5), "Strong Entry").when(~bull & (F.col("score") <= 1), "Caution/Exit").otherwise("Wait"),
         "direction": F.when(F.col("strength") > back, "Up").when(F.col("strength") < back, "Down").otherwise("Flat"),
+        "momentum": moved,
+        "momentum_label": F.when(moved > 2, "Strong").when(moved > 1, "Moderate").otherwise("Weak"),
+        **flags,
         "crossed": F.coalesce(side * F.lag(side).over(w) < 0, F.lit(False)),
         "moved_far": F.coalesce(far & (F.lag("diff").over(w) <= F.col("threshold")), F.lit(False)),
         "zone_changed": F.coalesce(F.col("zone") != F.lag("zone").over(w), F.lit(False)),
@@ -86,8 +93,7 @@ def signals(df: DataFrame) -> DataFrame:
 
 def oscillators(bars: DataFrame) -> DataFrame:
     """Two clamped RSI lines and half of an RSI."""
-    df = s.with_rsi(bars, "close", 9, "rsi9")
-    df = s.with_rsi(df, "close", 4, "rsi4")
+    df = s.smoothed(bars, {"rsi9": ("close", 9), "rsi4": ("close", 4)})
     clamp = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(50.0))
     return df.withColumns({"banker": clamp(1.5 * (F.col("rsi9") - 61)), "hot_money": clamp(1.0 * (F.col("rsi4") - 15)), "line": F.col("rsi9") / 2})
 

@@ -21,7 +21,7 @@ def day_factors(dates: DataFrame, positions: DataFrame, pair_aspects: DataFrame,
     hard = pair_aspects.where(F.col("aspect_type").isin(sky.HARD))
     used = [("saturn", "rahu"), ("jupiter", "saturn"), ("mars", "saturn"), ("mars", "rahu"), ("mercury", "rahu")]
     near = hard.groupBy("date").agg(
-        *[F.min(F.when(pair(a.title(), b.title()), F.struct("orb", "exact"))).alias(f"{a}_{b}") for a, b in used],
+        *[F.min(F.when(pair(a.title(), b.title()), F.struct("orb", "exact", "aspect_type"))).alias(f"{a}_{b}") for a, b in used],
         F.sum((F.col("planet_1").isin(sky.MALEFIC) & F.col("planet_2").isin(sky.MALEFIC)).cast("int")).cast("bigint").alias("malefic"),
     )
     at = moon.where("time_ist = '09:15'").select("date", F.col("nakshatra_name").alias("moon_nakshatra"), "gandanta")
@@ -33,24 +33,30 @@ def day_factors(dates: DataFrame, positions: DataFrame, pair_aspects: DataFrame,
     }).drop("daily_nakshatra")
 
 
-def factor_points() -> list[tuple[str, str, Column]]:
-    """(dimension, name, points) of every factor, in the order that breaks ties."""
-    flag = lambda c, p: F.when(F.coalesce(F.col(c), F.lit(False)), float(p)).otherwise(0.0)
-    asp = lambda c, p: rules.aspect_score(F.col(c)["orb"], p, F.col(c)["exact"])
+def factor_points() -> list[tuple[str, Column, Column, Column]]:
+    """(dimension, name, points, whole) of every factor, in the order that breaks ties; whole: the points are a whole number by rule."""
+    yes, no = F.lit(True), F.lit(False)
+    flag = lambda d, n, c, p: (d, F.lit(n), F.when(F.coalesce(F.col(c), no), float(p)).otherwise(0.0), yes)
+
+    def pair(d: str, a: str, b: str, most: int) -> tuple[str, Column, Column, Column]:
+        c = F.col(f"{a}_{b}".lower())
+        return d, F.concat(F.lit(f"{a}-{b} "), c["aspect_type"]), rules.aspect_score(c["orb"], most, c["exact"]), F.coalesce(c["exact"], no)
+
+    malefic = F.col("malefic").cast("string")
     return [
-        ("structural", "Saturn Retrograde", flag("saturn_r", 8)),
-        ("structural", "Jupiter Retrograde", flag("jupiter_r", 5)),
-        ("structural", "Saturn-Rahu hard aspect", asp("saturn_rahu", 7)),
-        ("structural", "Jupiter-Saturn hard aspect", asp("jupiter_saturn", 5)),
-        ("momentum", "Mars Retrograde", flag("mars_r", 10)),
-        ("momentum", "Mars-Saturn hard aspect", asp("mars_saturn", 10)),
-        ("momentum", "Mars-Rahu hard aspect", asp("mars_rahu", 8)),
-        ("volatility", "Moon in a high-risk nakshatra", F.when(F.col("moon_nakshatra").isin(sky.RISKY), 10.0).otherwise(0.0)),
-        ("volatility", "Moon Gandanta", flag("gandanta", 8)),
-        ("volatility", "Malefic aspects", F.when(F.col("malefic") >= 3, 7.0).when(F.col("malefic") == 2, 4.0).otherwise(0.0)),
-        ("deception", "Mercury Retrograde", flag("mercury_r", 12)),
-        ("deception", "Mercury-Rahu hard aspect", asp("mercury_rahu", 10)),
-        ("deception", "Venus Retrograde", flag("venus_r", 3)),
+        flag("structural", "Saturn Retrograde", "saturn_r", 8),
+        flag("structural", "Jupiter Retrograde", "jupiter_r", 5),
+        pair("structural", "Saturn", "Rahu", 7),
+        pair("structural", "Jupiter", "Saturn", 5),
+        flag("momentum", "Mars Retrograde", "mars_r", 10),
+        pair("momentum", "Mars", "Saturn", 10),
+        pair("momentum", "Mars", "Rahu", 8),
+        ("volatility", F.concat(F.lit("Moon in "), "moon_nakshatra"), F.when(F.col("moon_nakshatra").isin(sky.RISKY), 10.0).otherwise(0.0), yes),
+        flag("volatility", "Moon Gandanta", "gandanta", 8),
+        ("volatility", F.concat(malefic, F.when(F.col("malefic") >= 3, " malefic aspects clustering").otherwise(" malefic aspects")), F.when(F.col("malefic") >= 3, 7.0).when(F.col("malefic") == 2, 4.0).otherwise(0.0), yes),
+        flag("deception", "Mercury Retrograde", "mercury_r", 12),
+        pair("deception", "Mercury", "Rahu", 10),
+        flag("deception", "Venus Retrograde", "venus_r", 3),
     ]
 
 
@@ -60,13 +66,16 @@ DIMENSIONS = ("structural", "momentum", "volatility", "deception")
 def risk_scores(factors: DataFrame, symbol: str | None = None) -> DataFrame:
     """date, composite_score, its four dimensions, regime and explanation; the symbol only tags the rows."""
     points = factor_points()
-    df = factors.withColumns({f"__p{i}": p for i, (_, _, p) in enumerate(points)})
-    total = lambda d: sum((F.col(f"__p{i}") for i, (x, _, _) in enumerate(points) if x == d), F.lit(0.0))
+    df = factors.withColumns({f"__p{i}": p for i, (_, _, p, _) in enumerate(points)})
+    total = lambda d: sum((F.col(f"__p{i}") for i, (x, *_) in enumerate(points) if x == d), F.lit(0.0))
     df = df.withColumns({d: rules.capped(total(d)) for d in DIMENSIONS})
     df = df.withColumn("composite_score", rounded(sum((F.col(d) for d in DIMENSIONS), F.lit(0.0)), 1))
-    parts = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"__p{i}").alias("points"), F.lit(i).alias("place")) for i, (_, n, _) in enumerate(points)])
+    parts = F.array(*[F.struct(n.alias("name"), F.col(f"__p{i}").alias("points"), F.lit(i).alias("place"), whole.alias("whole")) for i, (_, n, _, whole) in enumerate(points)])
+    # a total is written with a digit if a fading aspect is in it; a dimension at its cap is a whole number
+    in_part = lambda d: sum(((~whole & (F.col(f"__p{i}") > 0)).cast("int") for i, (x, _, _, whole) in enumerate(points) if x == d), F.lit(0)) > 0
+    broken = [in_part(d) & (total(d) <= rules.CAP) for d in DIMENSIONS]
     df = df.withColumn("regime", rules.regime(F.col("composite_score")))
-    df = df.withColumn("explanation", rules.explanation(F.col("composite_score"), F.col("regime"), F.filter(parts, lambda f: f["points"] > 0)))
+    df = df.withColumn("explanation", rules.explanation(F.col("composite_score"), F.col("regime"), F.filter(parts, lambda f: f["points"] > 0), broken[0] | broken[1] | broken[2] | broken[3]))
     return df.select("date", *([F.lit(symbol).alias("symbol")] if symbol else []), "composite_score", *DIMENSIONS, "regime", "explanation")
 
 

@@ -52,8 +52,8 @@ def record_before(c: str, w) -> Column:
     return F.greatest(F.lit(0.0), F.coalesce(F.max(c).over(_rows(w, Window.unboundedPreceding, -1)), F.lit(0.0)))
 
 
-def rma(df: DataFrame, sources: dict[str, str], n: int, key: str = "symbol", order: str = "date") -> DataFrame:
-    """Wilder smoothing of each source column (new name to source): the mean of the first n values, then prev + (x - prev) / n.
+def rma(df: DataFrame, sources: dict[str, tuple[str, int]], key: str = "symbol", order: str = "date") -> DataFrame:
+    """Wilder smoothing of source columns (new name to source and n), all in one pass: the mean of the first n values, then prev + (x - prev) / n.
 
     The recursion runs along one key's rows, which are a few numbers a day; keys go to tasks of their own.
     """
@@ -62,7 +62,7 @@ def rma(df: DataFrame, sources: dict[str, str], n: int, key: str = "symbol", ord
 
     def smooth(pdf):
         pdf = pdf.sort_values(order, kind="stable")
-        for new, source in sources.items():
+        for new, (source, n) in sources.items():
             out, seed, last = [], [], None
             for x in pdf[source].tolist():
                 if x is None or x != x:
@@ -84,17 +84,28 @@ def rsi_of(up: Column, down: Column) -> Column:
     return F.when(down == 0, 100.0).when(up == 0, 0.0).otherwise(100 - 100 / (1 + F.try_divide(up, down)))
 
 
+def smoothed(df: DataFrame, rsi: dict[str, tuple[str, int]] | None = None, atr: dict[str, int] | None = None, key: str = "symbol", order: str = "date") -> DataFrame:
+    """RSIs (name to source and n) and ATRs (name to n) of each key's rows, all from one pass of rma()."""
+    w, sources, rsi = by(key, order=order), {}, rsi or {}
+    for i, (source, n) in enumerate(rsi.values()):
+        step = F.col(source) - F.lag(source).over(w)
+        df = df.withColumns({f"__up{i}": F.greatest(step, F.lit(0.0)) + step * 0, f"__down{i}": F.greatest(-step, F.lit(0.0)) + step * 0})
+        sources |= {f"__u{i}": (f"__up{i}", n), f"__d{i}": (f"__down{i}", n)}
+    if atr:
+        prev = F.lag("close").over(w)
+        df = df.withColumn("__tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
+        sources |= {name: ("__tr", n) for name, n in atr.items()}
+    out = rma(df, sources, key, order)
+    out = out.withColumns({name: rsi_of(F.col(f"__u{i}"), F.col(f"__d{i}")) for i, name in enumerate(rsi)}) if rsi else out
+    return out.drop("__tr", *[f"__{c}{i}" for i in range(len(rsi)) for c in ("up", "down", "u", "d")])
+
+
 def with_rsi(df: DataFrame, source: str, n: int, name: str, key: str = "symbol", order: str = "date") -> DataFrame:
-    step = F.col(source) - F.lag(source).over(by(key, order=order))
-    df = df.withColumns({"__up": F.greatest(step, F.lit(0.0)) + step * 0, "__down": F.greatest(-step, F.lit(0.0)) + step * 0})
-    df = rma(df, {"__u": "__up", "__d": "__down"}, n, key, order)
-    return df.withColumn(name, rsi_of(F.col("__u"), F.col("__d"))).drop("__up", "__down", "__u", "__d")
+    return smoothed(df, {name: (source, n)}, None, key, order)
 
 
 def with_atr(df: DataFrame, n: int, name: str = "atr", key: str = "symbol") -> DataFrame:
-    prev = F.lag("close").over(by(key))
-    reach = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
-    return rma(df.withColumn("__tr", reach), {name: "__tr"}, n, key).drop("__tr")
+    return smoothed(df, None, {name: n}, key)
 
 
 def run_lengths(df: DataFrame, state: str, name: str, key: str = "symbol") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Aspects, events and factors from position tables."""
+"""Aspects, events and factors from position tables."""
 
 from __future__ import annotations
 
@@ -57,3 +57,16 @@ def factor_dates(positions: DataFrame, pair_aspects: DataFrame, moon: DataFrame)
     at = moon.where("time_ist = '09:15'").select(F.concat(F.lit("Moon in "), "nakshatra_name").alias("factor"), "date")
     edge = moon.where("gandanta").select(F.lit("Moon Gandanta").alias("factor"), "date")
     return retro.unionByName(hard).unionByName(at).unionByName(edge).distinct()
+
+
+def event_dates(events_: DataFrame, kind: str, planet: str, factor: str) -> DataFrame:
+    """(factor, date): dates of one planet's events of one type."""
+    return events_.where((F.col("event_type") == kind) & (F.col("planet") == planet)).select(F.lit(factor).alias("factor"), F.col("event_date").alias("date")).distinct()
+
+
+def speed_transitions(positions: DataFrame, most: int = 1000) -> DataFrame:
+    """planet, date, direction, old_speed and speed where a planet's speed changes its sign within its first `most` dates."""
+    w = Window.partitionBy("planet").orderBy("date")
+    rows = positions.withColumns({"place": F.row_number().over(w), "old_speed": F.lag("speed").over(w)}).where(F.col("place") <= most)
+    turn = F.when(F.col("speed") < 0, "DIRECT to RETRO").otherwise("RETRO to DIRECT")
+    return rows.where((F.col("old_speed") < 0) != (F.col("speed") < 0)).select("planet", "date", turn.alias("direction"), "old_speed", "speed")

@@ -1,4 +1,4 @@
-"""Write semantics as table operators (W01 to W12): no keys are enforced by files, so they are here."""
+"""Write semantics as table operators (W01 to W12, W05, W07, W08 and W11 among them): no keys are enforced by files, so they are here."""
 
 from __future__ import annotations
 
@@ -37,3 +37,28 @@ def merge_columns(old: DataFrame, new: DataFrame, key: Sequence[str], order: str
     renamed = fresh.select(*key, "__new", *[F.col(c).alias(f"__{c}") for c in supplied])
     both = old.join(renamed, list(key), "full")
     return both.select(*[F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in supplied else F.col(c) for c in old.columns])
+
+
+def patch_rows(old: DataFrame, new: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """Columns of `new` overwrite those of existing rows of the key, the last one wins; keys that `old` lacks are ignored."""
+    supplied = [c for c in new.columns if c not in key and c != order and c in old.columns]
+    fresh = last_wins(new, key, order).select(*key, F.lit(True).alias("__new"), *[F.col(c).alias(f"__{c}") for c in supplied])
+    both = old.join(fresh, list(key), "left")
+    return both.select(*[F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in supplied else F.col(c) for c in old.columns])
+
+
+def migrated(old: DataFrame, source: DataFrame, names: dict[str, str], key: Sequence[str], order: str, not_null: str) -> DataFrame:
+    """Rows of `source` that have `not_null`, under new names, inserted where the key is free. names: column of old to column of source."""
+    rows = source.where(F.col(not_null).isNotNull()).select(F.col(order).alias("__order"), *[F.col(s).alias(t) for t, s in names.items()])
+    fresh = first_wins(rows, key, "__order").join(old.select(*key), list(key), "left_anti")
+    return old.unionByName(fresh.drop("__order"), allowMissingColumns=True)
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Rows are added to a Parquet table; the writer deals them to files, none shows before all are written."""
+    df.write.mode("append").parquet(path)
+
+
+def dump_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON objects, one a line, nulls included."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)

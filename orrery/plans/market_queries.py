@@ -77,7 +77,7 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 
 def smoothed(spark: SparkSession, d: str) -> DataFrame:
     """RSI(9) and ATR(14)."""
-    df = series.with_atr(series.with_rsi(plain(spark, d), "close", 9, "rsi"), 14)
+    df = series.smoothed(plain(spark, d), {"rsi": ("close", 9)}, {"atr": 14})
     return df.select("symbol", "date", rounded("rsi", 4).alias("rsi"), rounded("atr", 4).alias("atr"))
 
 
@@ -90,7 +90,8 @@ def screens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
-    return indicators.signals(indicators.screens(indicators.relative_strength(plain(spark, d), bench(spark, d))))
+    df = indicators.signals(indicators.screens(indicators.relative_strength(plain(spark, d), bench(spark, d))))
+    return df.select("symbol", "date", *[rounded(c, 4).alias(c) for c in ("strength", "average", "threshold", "momentum")], "zone", "zone_value", "agreement", "agreement_status", "signal", "direction", "momentum_label", *[c for c in df.columns if c.startswith("is_")], "crossed", "moved_far", "zone_changed", "perfect", "ultimate")
 
 
 def aligned(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +105,7 @@ QUERIES = {
     "a01_baseline": baseline, "a04_symbol_summary": summary, "a05_totals": totals, "o02_busiest_years": busiest,
     "n11_windows": windows, "n22_runs": runs, "n16_smoothed": smoothed, "k18_screens": screens, "j13_aligned_strength": aligned,
     "k16_momentum_spread": lambda s, d: rounded_table(indicators.momentum_spread(plain(s, d)).select("symbol", "date", "spread", "rs", "smooth"), 3),
-    "k16_new_highs": lambda s, d: indicators.momentum_spread(plain(s, d)), "k19_signals": signals,
+    "k16_new_highs": lambda s, d: indicators.momentum_spread(plain(s, d)).select("symbol", "date", "new_high", "range_high", "new_high_before_price", "range_high_before_price", "bearish", "bullish"), "k19_signals": signals,
     "k24_oscillators": lambda s, d: rounded_table(indicators.oscillators(plain(s, d)).select("symbol", "date", F.when(F.col("rsi9").isNotNull(), F.col("banker")).alias("banker"), F.when(F.col("rsi4").isNotNull(), F.col("hot_money")).alias("hot_money"), "line")),
     "k25_interval_extremes": lambda s, d: indicators.interval_extremes(plain(s, d)),
     "k15_chart_rows": lambda s, d: charts.chart_rows(bars(s, d), "1Y", AS_OF), "k15_statistics": lambda s, d: charts.statistics(plain(s, d), "1Y", AS_OF),
@@ -137,7 +138,32 @@ def _moves(c: str) -> str:
 
 _rsi = lambda u, d: f"CASE WHEN {d}.v = 0 THEN 100.0 WHEN {u}.v = 0 THEN 0.0 ELSE 100 - 100 / (1 + {u}.v / {d}.v) END"
 _at = lambda *names: " ".join(f"LEFT JOIN {n} ON {n}.symbol = t.symbol AND {n}.i = t.i" for n in names)
+_lag = lambda c, n=1: f"lag({c}, {n}) OVER ({_w})"
+_mean = lambda c, n: f"CASE WHEN count({c}) OVER ({_w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN avg({c}) OVER ({_w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END"
+_signals = f"""WITH RECURSIVE {sql.BARS}, {_bench}, j AS (SELECT b.*, last_value(bench IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bench FROM bars b LEFT JOIN bench USING (date)),
+ a1 AS (SELECT *, close / bench AS rs FROM j), a2 AS (SELECT *, (rs / ({_mean('rs', 144)}) - 1) * 100 AS strength FROM a1), a3 AS (SELECT *, {_mean('strength', 60)} AS average FROM a2),
+ t AS (SELECT *, row_number() OVER ({_w}) AS i, greatest(high - low, abs(high - {_lag('close')}), abs(low - {_lag('close')})) AS tr FROM a3), {_wilder('atr', 'tr', 14)},
+ b1 AS (SELECT t.*, atr.v AS atr FROM t LEFT JOIN atr ON atr.symbol = t.symbol AND atr.i = t.i), b2 AS (SELECT *, 6 * (atr / ({_mean('atr', 100)})) AS threshold, abs(strength - average) AS diff FROM b1),
+ b3 AS (SELECT *, CASE WHEN strength > average THEN CASE WHEN diff > threshold * 1.5 THEN 'Strong Bull' WHEN diff > threshold THEN 'Mild Bull' ELSE 'Neutral' END ELSE CASE WHEN diff > threshold * 1.5 THEN 'Strong Bear' WHEN diff > threshold THEN 'Mild Bear' ELSE 'Neutral' END END AS zone FROM b2),
+ s AS (SELECT *, {_lag('close', 40)} AS p40, {_full('max(high)', 40)} AS h40, {_full('avg(volume)', 20)} AS v20, {_full('avg(close)', 21)} AS s21, {_full('avg(close)', 50)} AS s50, {_full('avg(close)', 200)} AS s200 FROM b3),
+ m AS (SELECT *, CASE WHEN p40 > 0 THEN (close - p40) / p40 * 100 ELSE 0 END >= 100 AS emd, CASE WHEN h40 > 0 THEN (h40 - close) / h40 * 100 ELSE 0 END BETWEEN 0 AND 20 AS ca, coalesce(volume >= v20 * 1.5, FALSE) AND ({_near(21)} OR {_near(50)} OR {_near(200)}) AS vmac, coalesce(strength > average, FALSE) AS bull, coalesce(diff > threshold, FALSE) AS far, sign(strength - average) AS side, {_lag('strength', 5)} AS back FROM s),
+ g AS (SELECT *, CAST(emd AS BIGINT) + CAST(ca AS BIGINT) + CAST(vmac AS BIGINT) AS score, CASE WHEN bull AND emd THEN 2 ELSE 0 END + CASE WHEN bull AND ca THEN 1 ELSE 0 END + CASE WHEN vmac THEN 1 ELSE 0 END AS agreement FROM m)
+ SELECT symbol, date, round_even(strength, 4) AS strength, round_even(average, 4) AS average, round_even(threshold, 4) AS threshold, round_even(abs(strength - back), 4) AS momentum, zone,
+ CAST(CASE zone WHEN 'Strong Bull' THEN 2 WHEN 'Mild Bull' THEN 1 WHEN 'Strong Bear' THEN -2 WHEN 'Mild Bear' THEN -1 ELSE 0 END AS BIGINT) AS zone_value, CAST(agreement AS BIGINT) AS agreement,
+ CASE WHEN agreement >= 4 THEN 'Excellent' WHEN agreement >= 3 THEN 'Strong' WHEN agreement >= 2 THEN 'Moderate' ELSE 'Weak' END AS agreement_status,
+ CASE WHEN bull AND score >= 3 AND far THEN 'Perfect Entry' WHEN bull AND score >= 2 AND diff > threshold * 0.5 THEN 'Strong Entry' WHEN NOT bull AND score <= 1 THEN 'Caution/Exit' ELSE 'Wait' END AS signal,
+ CASE WHEN strength > back THEN 'Up' WHEN strength < back THEN 'Down' ELSE 'Flat' END AS direction, CASE WHEN abs(strength - back) > 2 THEN 'Strong' WHEN abs(strength - back) > 1 THEN 'Moderate' ELSE 'Weak' END AS momentum_label,
+ CAST(zone = 'Strong Bull' AS INTEGER) AS is_strong_bull, CAST(zone = 'Mild Bull' AS INTEGER) AS is_mild_bull, CAST(zone = 'Strong Bear' AS INTEGER) AS is_strong_bear, CAST(zone = 'Mild Bear' AS INTEGER) AS is_mild_bear, CAST(zone = 'Neutral' AS INTEGER) AS is_neutral,
+ coalesce(side * {_lag('side')} < 0, FALSE) AS crossed, coalesce(far AND {_lag('diff')} <= threshold, FALSE) AS moved_far, coalesce(zone <> {_lag('zone')}, FALSE) AS zone_changed, coalesce(score >= 3 AND {_lag('score')} < 3, FALSE) AS perfect, bull AND score >= 3 AND far AS ultimate FROM g"""
+_spread = f"""WITH RECURSIVE {sql.BARS}, s AS (SELECT *, {_full('avg(close)', 10)} - {_full('avg(close)', 40)} AS spread FROM bars),
+ t AS (SELECT *, row_number() OVER ({_w}) AS i, {_moves('spread')}, greatest(close - {_lag('close')}, 0) + (close - {_lag('close')}) * 0 AS cup, greatest({_lag('close')} - close, 0) + (close - {_lag('close')}) * 0 AS cdown FROM s),
+ {_wilder('u', 'up', 5)}, {_wilder('d', 'down', 5)}, {_wilder('u14', 'cup', 14)}, {_wilder('d14', 'cdown', 14)},
+ x AS (SELECT t.*, {_rsi('u', 'd')} AS rs, {_rsi('u14', 'd14')} AS rsi FROM t {_at('u', 'd', 'u14', 'd14')}), y AS (SELECT *, {_mean('rs', 3)} AS smooth FROM x),
+ z AS (SELECT *, smooth > greatest(0, coalesce(max(smooth) OVER ({_w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS new_high, smooth > {_full('max(smooth)', 20, 1)} AS range_high, close < {_full('max(close)', 20)} AS below FROM y)
+ SELECT symbol, date, new_high, range_high, new_high AND below AS new_high_before_price, range_high AND below AS range_high_before_price,
+ {_full('max(high)', 20)} = high AND rsi < {_full('max(rsi)', 20)} AS bearish, {_full('min(low)', 20)} = low AND rsi > {_full('min(rsi)', 20)} AS bullish FROM z"""
 SQL = {
+    "k19_signals": _signals, "k16_new_highs": _spread,
     "k24_oscillators": f"""WITH RECURSIVE {sql.BARS}, t AS (SELECT symbol, date, row_number() OVER ({_w}) AS i, {_moves('close')} FROM bars),
  {_wilder('u9', 'up', 9)}, {_wilder('d9', 'down', 9)}, {_wilder('u4', 'up', 4)}, {_wilder('d4', 'down', 4)},
  x AS (SELECT t.symbol, t.date, {_rsi('u9', 'd9')} AS r9, {_rsi('u4', 'd4')} AS r4 FROM t {_at('u9', 'd9', 'u4', 'd4')})

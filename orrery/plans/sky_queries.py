@@ -9,7 +9,7 @@ from orrery.functions.rounding import rounded
 
 from orrery.functions import rules
 from orrery.operators import risk, series, sky
-from orrery.plans import sql
+from orrery.plans import sample_sky, sql
 from orrery.sources import market
 
 
@@ -18,15 +18,15 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def days(spark: SparkSession, d: str) -> DataFrame:
-    return market.calendar(market.trade_bars(market.table(spark, d, "lineitem")))
+    return market.trading_span(market.table(spark, d, "lineitem"))
 
 
 def positions(spark: SparkSession, d: str) -> DataFrame:
-    return market.positions(days(spark, d))
+    return market.positions(sample_sky.raw_positions(days(spark, d)))
 
 
 def moon(spark: SparkSession, d: str) -> DataFrame:
-    return market.moon_intraday(days(spark, d))
+    return market.moon_intraday(sample_sky.raw_moon(days(spark, d)))
 
 
 def aspects(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def factor_dates(spark: SparkSession, d: str) -> DataFrame:
 
 def day_factors(spark: SparkSession, d: str) -> DataFrame:
     p = positions(spark, d)
-    return risk.day_factors(bars(spark, d).select("date").distinct(), p, sky.aspects(p), moon(spark, d))
+    return risk.day_factors(market.table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date")).distinct(), p, sky.aspects(p), moon(spark, d))
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +135,16 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
     return scores(spark, d).select("date", "composite_score", F.struct(*risk.DIMENSIONS).alias("factors"), "regime", "explanation").join(b, "date")
 
 
+def moon_changes(spark: SparkSession, d: str) -> DataFrame:
+    return sky.event_dates(events(spark, d), "nakshatra_change", "Moon", "Moon Nakshatra Change")
+
+
+def transitions(spark: SparkSession, d: str) -> DataFrame:
+    return sky.speed_transitions(positions(spark, d).where("planet = 'Mercury'"))
+
+
 QUERIES = {
+    "f06_moon_changes": moon_changes, "n06_speed_transitions": transitions,
     "k01_positions": positions, "k02_aspects": aspects, "k03_events": events, "k04_moon_intraday": moon, "k05_day_factors": k05,
     "k10_risk_scores": k10, "d21_explanation": d21, "k12_factor_dates": factor_dates,
     "a02_factor_stats": factor_stats, "k13_report": lambda s, d: risk.report(factor_stats(s, d)),
@@ -152,6 +161,9 @@ _stats = f"""stats AS (SELECT f.factor AS factor_type, f.symbol AS index_symbol,
  FROM (SELECT symbol, factor, {sql.STATS} FROM ret JOIN fac USING (date) WHERE daily_return IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5) f JOIN {_base} b ON b.symbol = f.symbol)"""
 _count = lambda kind: f"count(*) FILTER (event_type = '{kind}') AS {kind}"
 SQL = {
+    "d21_explanation": f"{sql.ALL}{sql.TEXT} SELECT date, explanation FROM said",
+    "f06_moon_changes": f"WITH {sql.POS}{sql.EVT} SELECT DISTINCT 'Moon Nakshatra Change' AS factor, event_date AS date FROM evt WHERE event_type = 'nakshatra_change' AND planet = 'Moon'",
+    "n06_speed_transitions": f"WITH {sql.POS} SELECT planet, date, CASE WHEN speed < 0 THEN 'DIRECT to RETRO' ELSE 'RETRO to DIRECT' END AS direction, old_speed, speed FROM (SELECT *, lag(speed) OVER (ORDER BY date) AS old_speed FROM (SELECT * FROM pos WHERE planet = 'Mercury' ORDER BY date LIMIT 1000)) WHERE (old_speed < 0) <> (speed < 0)",
     "k01_positions": f"WITH {sql.POS} SELECT * FROM pos",
     "k02_aspects": f"WITH {sql.POS}{sql.ASP} SELECT * FROM asp",
     "k03_events": f"WITH {sql.POS}{sql.EVT} SELECT * FROM evt",

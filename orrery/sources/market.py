@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.rounding import rounded
@@ -31,6 +31,11 @@ def trade_bars(trades: DataFrame) -> DataFrame:
     )
 
 
+def trading_span(trades: DataFrame) -> DataFrame:
+    """One row (date) for each day from the first to the last trade: the calendar of the bars, from the least and largest date alone."""
+    return calendar(trades.select(F.col("l_shipdate").cast("date").alias("date")))
+
+
 def event_bars(events: DataFrame) -> DataFrame:
     """Daily bars of event values by type, for intraday data."""
     e = events.select("event_type", F.col("ts").cast("date").alias("date"), "value", F.struct("ts", "event_id").alias("k"))
@@ -42,45 +47,19 @@ def calendar(bars: DataFrame) -> DataFrame:
     return bars.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("date"))
 
 
-# Public mean elements at 2000-01-01 12:00: mean longitude, degrees a day, distance to the Sun (earth's is 1).
-BODIES = [
-    ("Sun", 280.460, 0.9856474, 0.0), ("Moon", 218.316, 13.176396, 0.0), ("Mars", 355.433, 0.5240208, 1.523688), ("Mercury", 252.251, 4.0923344, 0.387098),
-    ("Jupiter", 34.351, 0.0830853, 5.202560), ("Venus", 181.980, 1.6021305, 0.723330), ("Saturn", 50.077, 0.0334442, 9.554747), ("Rahu", 125.045, -0.0529538, 0.0),
-]
-AYANAMSA = 24.0
-#: Label of each intraday time and its hour, UTC.
-TIMES = [("09:15", 3.75), ("12:30", 7.0), ("14:45", 9.25), ("15:30", 10.0)]
-DAILY_HOUR = 5.5
-
-
-def longitude_sql(d: str) -> str:
-    """Synthetic sidereal longitude (circular orbits in one plane) of columns (l0, rate, r) at d days; the same in Spark and other SQL."""
-    turn = lambda x: f"({x} - 360 * floor(({x}) / 360))"
-    own, earth = f"radians(l0 + rate * {d})", f"radians(100.460 + 0.9856474 * {d})"
-    seen = f"degrees(atan2(r * sin({own}) - sin({earth}), r * cos({own}) - cos({earth})))"
-    return f"(CASE WHEN r = 0 THEN {turn(f'l0 + rate * {d} - {AYANAMSA}')} ELSE {turn(f'{seen} - {AYANAMSA}')} END)"
-
-
-def bodies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BODIES, "planet string, l0 double, rate double, r double")
-
-
-def _moved(d: str) -> str:
-    now, then = longitude_sql(d), longitude_sql(f"({d} + 1)")
-    step = f"({then} - {now} + 540)"
-    return f"({step} - 360 * floor({step} / 360) - 180)"
-
+def positions(raw: DataFrame) -> DataFrame:
+    """Sign, nakshatra, pada, direction and combustion of any provider's (date, planet, longitude, speed).
 
-def positions(days: DataFrame) -> DataFrame:
-    """Nine bodies a day; the eight of the model and Ketu, opposite to Rahu. Other providers of (date, planet, longitude, speed) fit in its place."""
-    spark = days.sparkSession
-    d = f"(datediff(date, DATE'2000-01-01') - 0.5 + {DAILY_HOUR / 24!r})"
-    raw = days.crossJoin(F.broadcast(bodies(spark))).select("date", "planet", F.expr(longitude_sql(d)).alias("lon"), F.expr(_moved(d)).alias("v"))  # eight rows
-    raw = raw.select("date", "planet", "lon", rounded("lon", 6).alias("longitude"), rounded("v", 6).alias("speed"))
-    ketu = raw.where("planet = 'Rahu'").select("date", F.lit("Ketu").alias("planet"), F.expr("longitude + 180 - 360 * floor((longitude + 180) / 360)").alias("lon"), (-F.col("speed")).alias("speed"))
-    ketu = ketu.select("date", "planet", "lon", rounded("lon", 6).alias("longitude"), "speed")
+    Ketu, where the provider has none on a date, is put opposite to Rahu.
+    Longitudes are sidereal, in degrees from 0 to 360; places are judged before they are rounded to six digits.
+    """
+    raw = raw.select("date", "planet", F.col("longitude").alias("lon"), rounded("speed", 6).alias("speed")).withColumn("longitude", rounded("lon", 6))
+    there = raw.where("planet = 'Ketu'").select("date")
+    ketu = raw.where("planet = 'Rahu'").join(there, "date", "left_anti")
+    ketu = ketu.select("date", F.lit("Ketu").alias("planet"), F.expr("longitude + 180 - 360 * floor((longitude + 180) / 360)").alias("lon"), (-F.col("speed")).alias("speed"))
+    ketu = ketu.select("date", "planet", "lon", "speed", rounded("lon", 6).alias("longitude"))
     sun = raw.where("planet = 'Sun'").select("date", F.col("longitude").alias("sun"))
-    out = raw.unionByName(ketu).join(sun, "date")
+    out = raw.unionByName(ketu).join(sun, "date", "left")
     lon = F.col("lon")
     return out.select(
         "date", "planet", "longitude", "speed",
@@ -91,15 +70,11 @@ def positions(days: DataFrame) -> DataFrame:
     )
 
 
-def moon_intraday(days: DataFrame) -> DataFrame:
-    """The Moon at four times a day."""
-    spark = days.sparkSession
-    grid = days.crossJoin(F.broadcast(spark.createDataFrame(TIMES, "time_ist string, hour double")))  # four rows
-    grid = grid.crossJoin(F.broadcast(bodies(spark).where("planet = 'Moon'")))  # one row
-    d = "(datediff(date, DATE'2000-01-01') - 0.5 + hour / 24)"
-    lon = F.col("lon")
-    return grid.select("date", "time_ist", F.expr(longitude_sql(d)).alias("lon"), F.lit(13.176396).alias("speed")).select(
-        "date", "time_ist", rounded("lon", 6).alias("longitude"), "speed", astro.sign(lon).alias("sign"), astro.sign_name(lon).alias("sign_name"),
+def moon_intraday(raw: DataFrame) -> DataFrame:
+    """Places of any provider's (date, time_ist, longitude, speed) of the Moon."""
+    lon = F.col("longitude")
+    return raw.select(
+        "date", "time_ist", rounded("longitude", 6).alias("longitude"), "speed", astro.sign(lon).alias("sign"), astro.sign_name(lon).alias("sign_name"),
         astro.nakshatra(lon).alias("nakshatra"), astro.nakshatra_name(lon).alias("nakshatra_name"), astro.pada(lon).alias("nakshatra_pada"), astro.gandanta(lon).alias("gandanta"),
     )
 
@@ -110,6 +85,30 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
+def index_files(spark: SparkSession, files: list[tuple[int, str]], name: str = "SYMBOL") -> DataFrame:
+    """Rows of index files with category, file, place (0 is the index itself, the others its members) and index_name.
+
+    files: (rank of the category, path). Of files with one index name the first by category, then by file name, stays; the others go with their members.
+    """
+    out = None
+    for category, path in files:
+        part = read_csv(spark, path, multi_line=True)
+        part = part.withColumns({"place": F.monotonically_increasing_id(), "category": F.lit(category), "file": F.lit(path.rsplit("/", 1)[-1])})
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no files")
+    out = out.withColumn("place", F.row_number().over(Window.partitionBy("category", "file").orderBy("place")) - 1)
+    return first_files(out, name)
+
+
+def first_files(rows: DataFrame, name: str) -> DataFrame:
+    """A22 on rows with category, file and place: index_name is the name in each file's row 0; of equal ones the first file's rows stay."""
+    own = Window.partitionBy("category", "file")
+    rows = rows.withColumn("index_name", F.max(F.when(F.col("place") == 0, F.trim(F.col(name)))).over(own))
+    heads = rows.where("place = 0 and index_name <> ''").groupBy("index_name").agg(F.min(F.struct("category", "file")).alias("first"))
+    return rows.join(heads.select("index_name", "first.category", "first.file"), ["index_name", "category", "file"], "left_semi")
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Dates dd-MM-yyyy; rows without a date or close go."""
     df = clean.normalized_columns(read_csv(spark, path), {"price": "date"})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import astro, clean, rules
 from orrery.operators import bridges, charts, indicators, series, sky, upsert
+from orrery.plans import sample_sky
 from orrery.sources import market
 
 
@@ -106,7 +107,7 @@ def test_chart(spark):
 
 def test_events_alternate(spark):
     days = spark.sql("select explode(sequence(date'2000-01-01', date'2003-12-31')) as date")
-    found = sky.events(market.positions(days)).where("event_type like 'retrograde%'").orderBy("planet", "event_date").collect()
+    found = sky.events(market.positions(sample_sky.raw_positions(days))).where("event_type like 'retrograde%'").orderBy("planet", "event_date").collect()
     assert found
     for a, b in zip(found, found[1:]):
         assert a["planet"] != b["planet"] or a["event_type"] != b["event_type"]

@@ -2,9 +2,11 @@
 
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import clean
+from orrery.operators import bridges, upsert
 from orrery.sources import market
 from orrery.streaming import upserts
 
@@ -45,3 +47,56 @@ def test_stream_of_upserts(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(source))
         upserts.start_upserts(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["k"], "ord").awaitTermination()
     assert {r["k"]: r["v"] for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect()} == {1: "a", 2: "c"}
+    spark.createDataFrame([(3, 4, "d")], schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(schema).parquet(str(source))
+    upserts.start_upserts(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["k"], "ord").awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["v1", "v2"]
+    assert {r["k"]: r["v"] for r in spark.read.parquet(str(tmp_path / "out" / "v2")).collect()} == {1: "a", 2: "c", 3: "d"}
+
+
+def test_index_files(spark, tmp_path):
+    """Row 0 is the index, the others its members; a second file of one index goes with its members."""
+    for name, rows in (("MW-A (1).csv", "NIFTY A,1\nP,2\nQ,3"), ("MW-A.csv", "NIFTY A,1\nR,2"), ("MW-B.csv", "NIFTY B,5\nP,6"), ("MW-C.csv", "")):
+        (tmp_path / name).write_text(f'"SYMBOL \n","OPEN \n"\n{rows}\n', encoding="utf-8")
+    files = [(1, str(tmp_path / "MW-B.csv")), (0, str(tmp_path / "MW-A.csv")), (0, str(tmp_path / "MW-A (1).csv")), (0, str(tmp_path / "MW-C.csv"))]
+    got = {(r["index_name"], r["SYMBOL"], r["place"]) for r in market.index_files(spark, files).collect()}
+    assert got == {("NIFTY A", "NIFTY A", 0), ("NIFTY A", "P", 1), ("NIFTY A", "Q", 2), ("NIFTY B", "NIFTY B", 0), ("NIFTY B", "P", 1)}
+
+
+def test_json_append_and_dump(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"k": 1, "v": "x"}, {"k": 2}]')
+    df = market.read_json(spark, str(tmp_path / "a.json"), "k int, v string")
+    assert [tuple(r) for r in df.orderBy("k").collect()] == [(1, "x"), (2, None)]
+    assert [r["v"] for r in clean.with_defaults(df, {"v": "none"}).orderBy("k").collect()] == ["x", "none"]
+    for _ in range(2):
+        upsert.append(df, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    upsert.dump_json(df, str(tmp_path / "dump"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "dump")).collect()) == ['{"k":1,"v":"x"}', '{"k":2,"v":null}']
+
+
+def test_positions_of_another_provider(spark):
+    day = date(2020, 1, 1)
+    raw = spark.createDataFrame([(day, "Sun", 100.0, 0.98), (day, "Rahu", 350.5, -0.05), (day, "Mercury", 113.9, -0.2), (day, "Moon", 119.0, 13.0)], "date date, planet string, longitude double, speed double")
+    got = {r["planet"]: r for r in market.positions(raw).collect()}
+    assert (got["Ketu"]["longitude"], got["Ketu"]["sign_name"], got["Ketu"]["retrograde"]) == (170.5, "Virgo", True)
+    assert (got["Mercury"]["retrograde"], got["Mercury"]["combust"], got["Sun"]["nakshatra_name"]) == (True, True, "Pushya")
+    own = raw.union(spark.createDataFrame([(day, "Ketu", 171.0, 0.05)], raw.schema))
+    assert [r["longitude"] for r in market.positions(own).where("planet = 'Ketu'").collect()] == [171.0]
+    moon = market.moon_intraday(raw.where("planet = 'Moon'").selectExpr("date", "'09:15' as time_ist", "longitude", "speed")).first()
+    assert (moon["sign_name"], moon["gandanta"], moon["nakshatra_pada"]) == ("Cancer", True, 4)
+
+
+def test_nan_can_stay(spark):
+    df = spark.createDataFrame([("NaN",), ("1,2",), ("x",)], "t string")
+    got = [r[0] for r in df.select(clean.parse_float(F.col("t"), keep_nan=True)).collect()]
+    assert got[0] != got[0] and got[1:] == [12.0, None]
+    assert [r[0] for r in df.select(clean.parse_float(F.col("t"))).collect()] == [None, 12.0, None]
+
+
+def test_single_row(spark):
+    df = spark.createDataFrame([("A", 1), ("B", 2), ("B", 3)], "n string, v int")
+    assert [tuple(r) for r in bridges.single_row(df, "n", "a", {"a": "A"}).collect()] == [("A", 1)]
+    for name in ("b", "c"):
+        with pytest.raises(Exception, match="rows for"):
+            bridges.single_row(df, "n", name, {"b": "B", "c": "C"}).collect()
