@@ -198,4 +198,5 @@ def digests(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Ids and decoded text of all documents as checksums; as digests() says."""
     return digests(common.documents(spark, sf_dir), path)

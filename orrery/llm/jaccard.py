@@ -358,8 +358,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, hot
     Null texts count as empty; texts without words have n_shingles 0, class
     null, link with nothing and are their own component. Rows of one doc_id
     with different texts are separate documents; a component's id is its least
-    doc_id that is not null. Equal sets are one class. Other columns are not
-    read. An empty table gives no rows.
+    doc_id that is not null. Equal sets are one class. Long texts are taken
+    whole. Other columns are not read. An empty table gives no rows.
+
+    Shingles and sets are told apart by 64-bit hashes, hot parts by MD5.
     """
     if LOW_SHARE <= 1 - num / den:
         raise ValueError("the threshold is too low for the share of low shingles")
@@ -450,5 +452,6 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, hot
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents; as jaccard_join() says."""
     members, _ = jaccard_join(common.documents(spark, sf_dir))
     return members.select("doc_id", "n_shingles", "component_id")

@@ -277,4 +277,5 @@ def near_duplicates(
 
 
 def op10_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings; as near_duplicates() says."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -5,7 +5,10 @@ chunks; each chunk's distinct n-grams, with its own counts, go to their
 partitions once, packed; each partition sums them up over all chunks and sends
 every chunk the totals of what it asked for; the chunk joins them to the
 n-grams of its documents and sums up by document. A frequent n-gram so costs
-one entry a chunk, however often it occurs.
+one entry a chunk, however often it occurs, and there are no more rows than
+distinct n-grams of chunks, and no more than chunks times partitions.
+
+N-grams are told apart by 64-bit hashes: two that share one count as one.
 """
 
 from __future__ import annotations
@@ -134,8 +137,9 @@ def score_documents(docs: DataFrame, order: int = 2, leave_out_own: bool = True)
     backed_off counts words whose full context had to be shortened.
 
     Null and empty texts have no words and score 0. Rows are scored one by one:
-    repeated rows count each other. Other columns are not read. An empty table
-    gives no rows.
+    repeated rows count each other, null ids and shared ids too. A long text is
+    in one chunk, whole. Other columns are not read. An empty table gives no
+    rows.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -157,11 +161,13 @@ def _in_order(table: pa.Table) -> pa.Table:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram scores of all documents, to four digits; as score_documents() says."""
     out = score_documents(common.documents(spark, sf_dir))
     return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), "backed_off")
 
 
 def op6_lm_scoring_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram scores of all documents, to four digits; as score_documents() says."""
     out = score_documents(common.documents(spark, sf_dir), order=3)
     return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), "backed_off")
 

@@ -238,4 +238,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **opti
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, with the bounds of this module; as score_quality() says."""
     return score_quality(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

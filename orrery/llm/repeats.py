@@ -510,7 +510,13 @@ def remove_repeats(docs: DataFrame, least: int = 100, gram: int = GRAM, hot: int
 
 
 def cleaned_documents(docs: DataFrame, least: int = 100) -> DataFrame:
-    """docs with text and n_chars as they are without repeats, in whole characters; rows that lose all their text go. Other columns stay."""
+    """docs with text and n_chars as they are without repeats, in whole characters; rows that lose all their text go.
+
+    Other columns stay, whatever their names. Null and empty texts stay. Nulls
+    in doc_id, ties, repeated rows and an empty table are taken as by
+    remove_repeats(). Text becomes characters again after whole characters
+    went, so a text that was no UTF-8 is not expected.
+    """
     base, cleaned, found = remove_repeats(docs, least, whole_characters=True)
     gone = base.where(~F.col("first") & (F.col("n_bytes") >= least)).select("did", "cls", F.lit(b"").alias("kept"))
     changes = cleaned.select("did", "cls", "kept").union(gone)
@@ -527,6 +533,7 @@ def cleaned_documents(docs: DataFrame, least: int = 100) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents lose and keep; as remove_repeats() says."""
     base, cleaned, found = remove_repeats(common.documents(spark, sf_dir))
     cleaned = cleaned.select("did", "cls", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")).distinct()
     copy = ~F.col("first") & (F.col("n_bytes") >= 100)

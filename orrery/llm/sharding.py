@@ -29,7 +29,7 @@ def interleave(
 
     Nulls: a null stratum is a stratum of its own. Ties in order_key follow
     the row's other columns' hash; rows equal in all columns are
-    interchangeable. An empty table gives an empty result. Existing columns
+    interchangeable (and, having one key, share a bucket). An empty table gives an empty result. Existing columns
     shard and slot are replaced; helper columns have names that no column has.
     """
     df = df.drop("shard", "slot")

@@ -177,4 +177,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, with the bounds of this module; as score_toxicity() says."""
     return score_toxicity(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -203,4 +203,5 @@ def edited_fingerprints(docs: DataFrame, k: int = K, grams: int = WINDOW) -> Dat
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts; as edited_fingerprints() says."""
     return edited_fingerprints(common.documents(spark, sf_dir))
