@@ -3,6 +3,9 @@
 Each stage takes all that the one before kept and returns the columns of
 documents, the last one tokens. The caller writes each result and reads it
 again; run() does so in the shared folder.
+
+In all stages but the last, columns beside those of documents are left out.
+An empty table stays empty. Long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -18,7 +21,11 @@ KEPT = 0.9
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are scored as empty ones, rows with a null or shared
+    doc_id as any other, so repeated rows share their fate.
+    """
     return quality.keep_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -44,17 +51,26 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occurred before are cut out; documents without any other text go."""
+    """Passages that occurred before are cut out; documents without any other text go.
+
+    Null and empty texts stay as they are. Null ids come last; rows equal in
+    doc_id and text are one document and have one result.
+    """
     return repeats.cleaned_documents(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of KEPT of the tokens, weighted towards the targets of source, language and topic; every category keeps a part."""
+    """A sample of KEPT of the tokens, weighted towards the targets of source, language and topic; every category keeps a part.
+
+    Rows whose source or lang is null or has no target are a category of their
+    own; texts without words share their cell's weight; equal ids, null ones
+    too, share their fate.
+    """
     return mixing.mixed_documents(docs.select(*COLUMNS), keep=KEPT, others=True).where("sampled").select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each whole text, and checksums of the ids and of what they decode to."""
+    """Token ids of each whole text, and checksums of the ids and of what they decode to. Null and empty texts have no tokens; every row stays."""
     vocabulary = bpe.load_vocabulary(bpe.vocabulary_path())
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "text", "lang", "source"), vocabulary).drop("text"), vocabulary)
     return coded.select(
