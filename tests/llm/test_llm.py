@@ -231,18 +231,19 @@ def test_winnowing(spark):
         assert got[d]["n_chars"] == len(t)
         assert got[d]["edited_sha256"] == hashlib.sha256(edited[d].encode()).hexdigest()
         assert 0 <= got[d]["near_edited"] <= 1 and 0 <= got[d]["near_next"] <= 1
-    byte = spark.createDataFrame([(i, bytearray([i])) for i in range(256)], "i int, b binary").select("i", F.xxhash64("b"), "b").collect()
-    byte = {r[0]: r[1] for r in byte}
+    blocks = {bytes(t.encode()[i : i + 4]) for t in [*text.values(), *edited.values()] for i in range(len(t.encode()) - 3)}
+    number = {bytes(r[0]): r[1] for r in spark.createDataFrame([(bytearray(b),) for b in blocks], "b binary").select("b", F.xxhash64("b")).collect()}
     tiny = {r[0]: r[1] >> 32 for r in spark.createDataFrame([(t,) for t in [*text.values(), *edited.values()] if 0 < len(t.encode()) < 16], "t string").select("t", F.xxhash64("t")).collect()}
 
     def grams(t, k=16):
-        b, h, out = t.encode(), 0, []
-        for i, x in enumerate(b):
-            h = (h << 1 ^ byte[x]) & (1 << 64) - 1
-            if i >= k:
-                h ^= byte[b[i - k]] << k & (1 << 64) - 1
+        b, h = t.encode(), [0] * 4  # a hash rolls on from that of four bytes before
+        out, whole = [], (1 << 64) - 1
+        for i in range(3, len(b)):
+            h[i % 4] = (h[i % 4] << 1 ^ number[b[i - 3 : i + 1]]) & whole
+            if i >= k + 3:
+                h[i % 4] ^= number[b[i - k - 3 : i - k + 1]] << 4 & whole
             if i >= k - 1:
-                out.append((h >> 32) - (h >> 63 << 32))
+                out.append((h[i % 4] >> 32) - (h[i % 4] >> 63 << 32))
         return out or [tiny.get(t)]
 
     chosen = {}
