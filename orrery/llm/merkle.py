@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Nodes that one task takes in.
-ROWS = 8192
+#: Nodes that one task takes in, and nodes left over that one task completes all trees from.
+ROWS, CROWN = 8192, 32768
 
 
 def digest(*inputs: str) -> str:
@@ -111,7 +111,7 @@ def fold(leaf: str, proof: tuple) -> tuple[str, str]:
 
 
 _NODES = "task int, tree string, n long, level int, at long, value string"
-_TOPS = "task int, tree string, level int, at long, path string, subroot string"
+_TOPS = "task int, tree string, level int, at long, path string, subroot string, root string"
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -137,27 +137,54 @@ def _climbed(nodes: pa.Table) -> pa.Table:
     return _table(found, _NODES)
 
 
-def _tops(rows: list[dict]) -> dict[str, tuple[dict[tuple[int, int], tuple], str]]:
-    out: dict[str, tuple[dict, str]] = {}
-    for r in rows:
-        out.setdefault(r["tree"], ({}, r["subroot"]))[0][r["level"], r["at"]] = unpack(r["path"])
-    return out
+def _crowned(nodes: pa.Table) -> pa.Table:
+    """All open nodes and roots there are, with their proofs: their trees are completed and one tree is grown over the roots."""
+    rows = nodes.to_pylist()
+    grown = _grown(rows)
+    roots = {tree: g.nodes[(g.n - 1).bit_length(), 0] for tree, g in grown.items()}
+    crown = Growth(len(roots))
+    for at, tree in enumerate(sorted(roots, key=str.encode)):
+        crown.add(0, at, roots[tree])
+    top = (len(roots) - 1).bit_length()
+    above = Proofs(crown, {(top, 0): ()})
+    proofs = {tree: Proofs(grown[tree], {((grown[tree].n - 1).bit_length(), 0): above(0, at)}) for at, tree in enumerate(sorted(roots, key=str.encode))}
+    return _table([(r["turn"], r["task"], r["tree"], r["level"], r["at"], pack(proofs[r["tree"]](r["level"], r["at"])), roots[r["tree"]], crown.nodes[top, 0]) for r in rows], f"turn int, {_TOPS}")
+
+
+class Tops:
+    """Proofs above one task's open nodes, by tree, with the tree's root and the root of all."""
+
+    def __init__(self, rows: list[dict]):
+        self.known: dict[str, dict[tuple[int, int], tuple]] = {}
+        self.roots = {r["tree"]: (r["subroot"], r["root"]) for r in rows}
+        for r in rows:
+            self.known.setdefault(r["tree"], {})[r["level"], r["at"]] = unpack(r["path"])
+
+    def proofs(self, nodes: list[dict]) -> dict[str, Proofs]:
+        return {tree: Proofs(g, self.known[tree]) for tree, g in _grown(nodes).items()}
+
+
+def _handed_down(nodes: pa.Table, tops: pa.Table) -> pa.Table:
+    """Proofs of the nodes that a task took in, from those of the nodes that it left open."""
+    rows, above = nodes.to_pylist(), Tops(tops.to_pylist())
+    proofs = above.proofs(rows)
+    return _table([(r["origin"], r["tree"], r["level"], r["at"], pack(proofs[r["tree"]](r["level"], r["at"])), *above.roots[r["tree"]]) for r in rows], _TOPS)
 
 
 class Forest:
-    """Trees over ordered leaves.
+    """Trees over ordered leaves, and one tree over their roots.
 
     leaves: (tree, value, ...) with the columns `order`, which tell all rows of
     a tree apart. Rows are dealt to tasks by ranges of (tree, order), so that a
     tree of any size is spread evenly. Each task grows the ancestors that its
-    own rows complete; the open nodes, some tens for each task and tree, are
-    dealt anew in a further round, until only roots are left.
+    own rows complete; the open nodes, some tens for each task, are dealt anew
+    to fewer tasks until at most CROWN nodes are left. If these are too many
+    roots, a forest of its own is grown over them.
     """
 
     def __init__(self, leaves: DataFrame, order: list[str]):
-        self.spark = leaves.sparkSession
-        tasks = max(1, -(-leaves.count() // ROWS))
-        placed = self._placed(leaves, tasks, "tree", *order)
+        self.tasks = max(1, -(-leaves.count() // ROWS))
+        placed = self._placed(leaves, "tree", *order)
         each = placed.groupBy("task", "tree").agg(F.count("*").alias("rows"))
         of = Window.partitionBy("tree")
         before = F.sum("rows").over(of.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
@@ -168,69 +195,58 @@ class Forest:
         def first(rows: pa.Table, starts: pa.Table) -> pa.Table:
             return _climbed(_numbered(rows, starts, order))
 
-        open_ = self._leaves_with(self.starts).applyInArrow(first, _NODES)
-        self.roots = []
+        nodes = common.written(self._leaves_with(self.starts).applyInArrow(first, _NODES), "tree-nodes")
+        is_root = F.expr("at = 0 and shiftleft(1L, level) >= n")
+        ends = None
         while True:
-            open_ = common.written(open_, "tree-nodes")
-            is_root = F.expr("at = 0 and shiftleft(1L, level) >= n")
-            self.roots.append(open_.where(is_root))
-            open_ = open_.where(~is_root)
+            turned = nodes.withColumn("turn", F.lit(len(self.rounds)))
+            every = turned if ends is None else ends.union(turned)
+            if every.limit(CROWN + 1).count() <= CROWN:
+                self.ends = every.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_crowned, f"turn int, {_TOPS}")
+                break
+            ends = turned.where(is_root) if ends is None else ends.union(turned.where(is_root))
+            open_ = nodes.where(~is_root)
             many = open_.count()
             if not many:
+                subroots = ends.select(F.lit("").alias("tree"), F.col("tree").alias("of"), "value")
+                above = common.written(Forest(subroots, ["of"]).prove(lambda r, proof, _, root: (r["of"], pack(proof), root), "of string, path string, root string"), "crown")
+                self.ends = ends.join(above, F.col("tree") == F.col("of")).select("turn", "task", "tree", "level", "at", "path", F.col("value").alias("subroot"), "root")
                 break
-            start = F.expr("shiftleft(at, level)")
-            # a task leaves nodes open only of the trees at its two ends, so half as many tasks hold them, and the last one ends it
-            tasks = max(1, min(tasks // 2, -(-many // ROWS)))
-            placed = self._placed(open_.withColumnRenamed("task", "origin").withColumn("first", start), tasks, "tree", "first")
+            # a task leaves nodes open only of the trees at its two ends, so half as many tasks hold them
+            self.tasks = max(1, min(self.tasks // 2, -(-many // ROWS)))
+            placed = self._placed(open_.withColumnRenamed("task", "origin").withColumn("first", F.expr("shiftleft(at, level)")), "tree", "first")
             self.rounds.append(placed)
-            open_ = placed.drop("origin", "first").groupBy("task").applyInArrow(_climbed, _NODES)
+            nodes = common.written(placed.drop("origin", "first").groupBy("task").applyInArrow(_climbed, _NODES), "tree-nodes")
+        self.ends = common.written(self.ends, "tree-ends")
 
-    def _placed(self, rows: DataFrame, tasks: int, *order: str) -> DataFrame:
-        return common.written(rows.repartitionByRange(tasks, *order).withColumn("task", F.spark_partition_id()), "tree-tasks")
+    def _placed(self, rows: DataFrame, *order: str) -> DataFrame:
+        return common.written(rows.repartitionByRange(self.tasks, *order).withColumn("task", F.spark_partition_id()), "tree-tasks")
 
     def _leaves_with(self, other: DataFrame):
         return self.leaves.groupBy("task").cogroup(other.groupBy("task"))
 
-    def subroots(self) -> DataFrame:
-        """(tree, value) of each tree."""
-        out = self.roots[0]
-        for more in self.roots[1:]:
-            out = out.union(more)
-        return out.select("tree", "value")
-
-    def prove(self, top: DataFrame, make, schema: str) -> DataFrame:
-        """Rows that make(leaf row, proof, subroot) gives for each leaf; top: (tree, path) above each root.
+    def prove(self, make, schema: str) -> DataFrame:
+        """Rows that make(leaf row, proof, subroot, root) gives for each leaf.
 
         Proofs go down the way that the nodes came up: each round's tasks take
         the proofs of the nodes that they left open, grow their own nodes once
         more and hand on the proofs of what they took in.
         """
-        above = lambda k: self.roots[k].join(top, "tree").select("task", "tree", "level", "at", "path", F.col("value").alias("subroot"))
-
-        def down(nodes: pa.Table, tops: pa.Table) -> pa.Table:
-            rows, known, out = nodes.to_pylist(), _tops(tops.to_pylist()), []
-            proofs = {tree: Proofs(g, known[tree][0]) for tree, g in _grown(rows).items()}
-            for r in rows:
-                out.append((r["origin"], r["tree"], r["level"], r["at"], pack(proofs[r["tree"]](r["level"], r["at"])), known[r["tree"]][1]))
-            return _table(out, _TOPS)
-
-        tops = above(len(self.rounds))
-        for k in range(len(self.rounds) - 1, -1, -1):
-            nodes = self.rounds[k]
-            paths = nodes.groupBy("task").cogroup(tops.groupBy("task")).applyInArrow(down, _TOPS)
-            tops = above(k).union(common.written(paths, "tree-proofs"))
         order = self.order
+        ended = lambda k: self.ends.where(F.col("turn") == k).drop("turn")
+        tops = ended(len(self.rounds))
+        for k in range(len(self.rounds) - 1, -1, -1):
+            paths = self.rounds[k].groupBy("task").cogroup(tops.groupBy("task")).applyInArrow(_handed_down, _TOPS)
+            tops = ended(k).union(common.written(paths, "tree-proofs"))
         # each leaf task gets its starts and the proofs above it in one table; level -1 marks a start
-        starts = self.starts.select("task", "tree", F.lit(-1).alias("level"), F.col("start").alias("at"), F.col("n").cast("string").alias("path"), F.lit("").alias("subroot"))
+        starts = self.starts.select("task", "tree", F.lit(-1).alias("level"), F.col("start").alias("at"), F.col("n").cast("string").alias("path"), F.lit("").alias("subroot"), F.lit("").alias("root"))
 
         def last(rows: pa.Table, other: pa.Table) -> pa.Table:
             more = other.to_pylist()
             begin = pa.Table.from_pylist([{"tree": r["tree"], "start": r["at"], "n": int(r["path"])} for r in more if r["level"] < 0])
-            nodes = _numbered(rows, begin, order)
-            known = _tops([r for r in more if r["level"] >= 0])
-            found = nodes.to_pylist()
-            proofs = {tree: Proofs(g, known[tree][0]) for tree, g in _grown(found).items()}
-            return _table([make(r, proofs[r["tree"]](0, r["at"]), known[r["tree"]][1]) for r in found], schema)
+            nodes, above = _numbered(rows, begin, order).to_pylist(), Tops([r for r in more if r["level"] >= 0])
+            proofs = above.proofs(nodes)
+            return _table([make(r, proofs[r["tree"]](0, r["at"]), *above.roots[r["tree"]]) for r in nodes], schema)
 
         return self._leaves_with(starts.union(tops)).applyInArrow(last, schema)
 
@@ -287,26 +303,17 @@ def manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame:
     the shuffle and dealt out again, so that copies do not meet in one task.
     Other columns are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(docs.sparkSession)
     more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
     rows = docs.select(F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), leaf(F.col("n_chars")).alias("value"), F.when(F.coalesce(changed if changed is not None else F.lit(False), F.lit(False)), leaf(more)).alias("altered"))
     rows = common.written(rows.groupBy("tree", "doc_id", "value", "altered").agg(F.count("*").alias("many")), "leaves")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many")))).drop("many")
-    trees = Forest(rows, ["doc_id", "value", "copy"])
-    crown = Forest(trees.subroots().select(F.lit("").alias("tree"), F.col("tree").alias("of"), "value"), ["of"])
-    root = [r["value"] for r in crown.subroots().collect()]  # one tree, one root
-    if not root:
-        return spark.createDataFrame([], _MANIFEST)
-    root = root[0]
-    one = spark.createDataFrame([("", "")], "tree string, path string")
-    tops = common.written(crown.prove(one, lambda r, proof, _: (r["of"], pack(proof)), "tree string, path string"), "subroot-proofs")
-
-    def made(r: dict, proof: tuple, subroot: str) -> tuple:
+
+    def made(r: dict, proof: tuple, subroot: str, root: str) -> tuple:
         folded, siblings = fold(r["altered"] or r["value"], proof)
         return r["doc_id"], r["value"], subroot, root, siblings, folded, folded == root
 
-    return trees.prove(tops, made, _MANIFEST)
+    return Forest(rows, ["doc_id", "value", "copy"]).prove(made, _MANIFEST)
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

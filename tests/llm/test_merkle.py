@@ -70,10 +70,11 @@ def table():
     return rows + [rows[-1]] * 25 + [(77, "alone", "fr", None, 5)]
 
 
-@pytest.mark.parametrize("size", [9, 60, 10_000])
-def test_manifest(spark, monkeypatch, size):
-    """One task or many, with frontiers that meet in several rounds."""
+@pytest.mark.parametrize(("size", "crown"), [(9, 4), (30, 20), (60, 1000), (10_000, 10_000)])
+def test_manifest(spark, monkeypatch, size, crown):
+    """One task or many, with frontiers that meet in several rounds, and a crown of its own."""
     monkeypatch.setattr(merkle, "ROWS", size)
+    monkeypatch.setattr(merkle, "CROWN", crown)
     rows = table()
     df = spark.createDataFrame(rows, cases.SCHEMA).repartition(4).withColumns({c: F.lit(c) for c in CLASH})
     got = merkle.manifest(df, F.crc32(F.col("doc_id").cast("string")) % 7 == 0).collect()
