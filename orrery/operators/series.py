@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.rounding import rounded
+from orrery.operators import blocks
 
 
 def by(*keys: str, order: str = "date"):
@@ -47,46 +48,14 @@ def lowest(c: str, w, n: int, shift: int = 0) -> Column:
     return full(F.min(c), w, n, shift)
 
 
-def record_before(c: str, w) -> Column:
-    """Largest value so far, without this row's; 0 at first."""
-    return F.greatest(F.lit(0.0), F.coalesce(F.max(c).over(_rows(w, Window.unboundedPreceding, -1)), F.lit(0.0)))
-
-
-def rma(df: DataFrame, sources: dict[str, tuple[str, int]], key: str = "symbol", order: str = "date") -> DataFrame:
-    """Wilder smoothing of source columns (new name to source and n), all in one pass: the mean of the first n values, then prev + (x - prev) / n.
-
-    The recursion runs along one key's rows, which are a few numbers a day; keys go to tasks of their own.
-    """
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"`{c}` {t}" for c, t in types.items()] + [f"`{c}` double" for c in sources])
-
-    def smooth(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        for new, (source, n) in sources.items():
-            out, seed, last = [], [], None
-            for x in pdf[source].tolist():
-                if x is None or x != x:
-                    out.append(last)
-                elif last is None:
-                    seed.append(x)
-                    last = sum(seed) / n if len(seed) == n else None
-                    out.append(last)
-                else:
-                    last = last + (x - last) / n
-                    out.append(last)
-            pdf[new] = out
-        return pdf
-
-    return df.groupBy(key).applyInPandas(smooth, schema)
-
-
 def rsi_of(up: Column, down: Column) -> Column:
     return F.when(down == 0, 100.0).when(up == 0, 0.0).otherwise(100 - 100 / (1 + F.try_divide(up, down)))
 
 
 def smoothed(df: DataFrame, rsi: dict[str, tuple[str, int]] | None = None, atr: dict[str, int] | None = None, key: str = "symbol", order: str = "date") -> DataFrame:
-    """RSIs (name to source and n) and ATRs (name to n) of each key's rows, all from one pass of rma()."""
-    w, sources, rsi = by(key, order=order), {}, rsi or {}
+    """RSIs (name to source and n) and ATRs (name to n) of each key's rows, all from one pass of blocks.recursive(); rows keep their places (__i, __p)."""
+    sources, rsi = {}, rsi or {}
+    df, w = blocks.haloed(blocks.numbered(df, key, order), 1), blocks.window(key)
     for i, (source, n) in enumerate(rsi.values()):
         step = F.col(source) - F.lag(source).over(w)
         df = df.withColumns({f"__up{i}": F.greatest(step, F.lit(0.0)) + step * 0, f"__down{i}": F.greatest(-step, F.lit(0.0)) + step * 0})
@@ -95,7 +64,7 @@ def smoothed(df: DataFrame, rsi: dict[str, tuple[str, int]] | None = None, atr:
         prev = F.lag("close").over(w)
         df = df.withColumn("__tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
         sources |= {name: ("__tr", n) for name, n in atr.items()}
-    out = rma(df, sources, key, order)
+    out = blocks.recursive(blocks.own(df), sources, key)
     out = out.withColumns({name: rsi_of(F.col(f"__u{i}"), F.col(f"__d{i}")) for i, name in enumerate(rsi)}) if rsi else out
     return out.drop("__tr", *[f"__{c}{i}" for i in range(len(rsi)) for c in ("up", "down", "u", "d")])
 
@@ -104,16 +73,8 @@ def with_rsi(df: DataFrame, source: str, n: int, name: str, key: str = "symbol",
     return smoothed(df, {name: (source, n)}, None, key, order)
 
 
-def with_atr(df: DataFrame, n: int, name: str = "atr", key: str = "symbol") -> DataFrame:
-    return smoothed(df, None, {name: n}, key)
-
-
-def run_lengths(df: DataFrame, state: str, name: str, key: str = "symbol") -> DataFrame:
-    """Rows since the state last changed, 1 for the row of the change (N22; less 1 for N23)."""
-    w = by(key)
-    changed = F.coalesce((~F.col(state).eqNullSafe(F.lag(state).over(w))).cast("int"), F.lit(1))
-    df = df.withColumn("__i", F.sum(changed).over(_rows(w, Window.unboundedPreceding, 0)))
-    return df.withColumn(name, F.row_number().over(by(key, "__i")).cast("bigint")).drop("__i")
+def with_atr(df: DataFrame, n: int, name: str = "atr", key: str = "symbol", order: str = "date") -> DataFrame:
+    return smoothed(df, None, {name: n}, key, order)
 
 
 def last_rows(df: DataFrame, n: int, key: str = "symbol") -> DataFrame:

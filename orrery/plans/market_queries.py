@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.rounding import rounded
 
-from orrery.operators import charts, indicators, risk, series
+from orrery.operators import blocks, charts, indicators, risk, series
 from orrery.plans import sql
 from orrery.sources import market
 
@@ -57,22 +57,23 @@ def busiest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, d: str) -> DataFrame:
-    w = series.by("symbol")
-    return plain(spark, d).select(
-        "symbol", "date",
-        rounded(series.sma("close", w, 20), 5).alias("sma20"), series.highest("high", w, 20).alias("high20"), series.lowest("low", w, 20).alias("low20"),
-        series.highest("high", w, 20, 1).alias("high20_before"), F.lag("close", 5).over(w).alias("close5"), F.lag("close", 40).over(w).alias("close40"),
-        (F.col("close") > series.record_before("close", w)).alias("new_high"),
-    )
+    df, w = blocks.haloed(blocks.numbered(plain(spark, d)), 40), blocks.window()
+    df = df.withColumns({
+        "sma20": rounded(series.sma("close", w, 20), 5), "high20": series.highest("high", w, 20), "low20": series.lowest("low", w, 20),
+        "high20_before": series.highest("high", w, 20, 1), "close5": F.lag("close", 5).over(w), "close40": F.lag("close", 40).over(w),
+    })
+    df = blocks.record_before(blocks.own(df), "close", "record")
+    return df.select("symbol", "date", "sma20", "high20", "low20", "high20_before", "close5", "close40", (F.col("close") > F.col("record")).alias("new_high"))
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
     """Crossings of close and its average, and how long a side lasts."""
-    w = series.by("symbol")
-    df = plain(spark, d).withColumn("average", series.sma("close", w, 20)).where("average is not null").withColumn("above", F.col("close") > F.col("average"))
-    df = series.run_lengths(df, "above", "duration")
-    crossed = F.coalesce(F.col("above") != F.lag("above").over(w), F.lit(False))
-    return df.select("symbol", "date", "above", crossed.alias("crossed"), "duration", (F.col("duration") - 1).alias("stability"))
+    w = blocks.window()
+    df = blocks.haloed(blocks.numbered(plain(spark, d)), 20).withColumn("average", series.sma("close", w, 20))
+    df = df.withColumn("crossed", indicators.crossed(F.col("close"), F.col("average"), w))
+    df = blocks.plain(blocks.own(df).where("average is not null")).withColumn("above", F.col("close") > F.col("average"))
+    df = blocks.run_lengths(blocks.numbered(df), "above", "duration")
+    return df.select("symbol", "date", "above", "crossed", "duration", (F.col("duration") - 1).alias("stability"))
 
 
 def smoothed(spark: SparkSession, d: str) -> DataFrame:
@@ -100,6 +101,19 @@ def aligned(spark: SparkSession, d: str) -> DataFrame:
     return df.select("symbol", "date", "bench", rounded("strength", 4).alias("strength"))
 
 
+def intraday(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of half an hour of each type of event."""
+    return market.intraday_bars(market.table(spark, d, "events"), 30)
+
+
+def intervals(spark: SparkSession, d: str) -> DataFrame:
+    """New extremes of strength against one type, at the borders of 60, 120 and 240 minutes."""
+    df = intraday(spark, d)
+    df = indicators.relative_strength(df, df.where("symbol = 'view'").select("time", F.col("close").alias("bench")), order="time")
+    df = indicators.interval_extremes(df)
+    return df.select("symbol", "time", "bench", rounded("strength", 4).alias("strength"), *[f"{k}_{n}" for n in (60, 120, 240) for k in ("high", "low")])
+
+
 QUERIES = {
     "d01_market_daily": bars, "d04_trimmed_daily": s_trimmed, "s14_calendar": lambda s, d: market.calendar(plain(s, d)), "s15_event_bars": event_days,
     "a01_baseline": baseline, "a04_symbol_summary": summary, "a05_totals": totals, "o02_busiest_years": busiest,
@@ -107,7 +121,7 @@ QUERIES = {
     "k16_momentum_spread": lambda s, d: rounded_table(indicators.momentum_spread(plain(s, d)).select("symbol", "date", "spread", "rs", "smooth"), 3),
     "k16_new_highs": lambda s, d: indicators.momentum_spread(plain(s, d)).select("symbol", "date", "new_high", "range_high", "new_high_before_price", "range_high_before_price", "bearish", "bullish"), "k19_signals": signals,
     "k24_oscillators": lambda s, d: rounded_table(indicators.oscillators(plain(s, d)).select("symbol", "date", F.when(F.col("rsi9").isNotNull(), F.col("banker")).alias("banker"), F.when(F.col("rsi4").isNotNull(), F.col("hot_money")).alias("hot_money"), "line")),
-    "k25_interval_extremes": lambda s, d: indicators.interval_extremes(plain(s, d)),
+    "k25_interval_extremes": intervals, "n24_intraday_bars": intraday,
     "k15_chart_rows": lambda s, d: charts.chart_rows(bars(s, d), "1Y", AS_OF), "k15_statistics": lambda s, d: charts.statistics(plain(s, d), "1Y", AS_OF),
     "k15_statistics_ranged": lambda s, d: charts.statistics(plain(s, d), "1M", AS_OF, within_range=True),
     "d27_axis": lambda s, d: charts.axis(plain(s, d)), "n09_down_sampled": lambda s, d: series.down_sampled(plain(s, d)), "n08_last_rows": lambda s, d: series.last_rows(plain(s, d), 252),
@@ -116,6 +130,8 @@ QUERIES = {
 _w = "PARTITION BY symbol ORDER BY date"
 _full = lambda e, n, shift=0: f"CASE WHEN count(*) OVER ({_w} ROWS BETWEEN {n - 1 + shift} PRECEDING AND {f'{shift} PRECEDING' if shift else 'CURRENT ROW'}) = {n} THEN {e} OVER ({_w} ROWS BETWEEN {n - 1 + shift} PRECEDING AND {f'{shift} PRECEDING' if shift else 'CURRENT ROW'}) END"
 _bench = "bench AS (SELECT CAST(o_orderdate AS DATE) AS date, round_even(avg(o_totalprice), 4) AS bench FROM orders GROUP BY 1)"
+_t = "PARTITION BY symbol ORDER BY time"
+_intraday = """intra AS (SELECT event_type AS symbol, time_bucket(INTERVAL 30 MINUTE, ts) AS time, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2)"""
 _near = lambda n: f"coalesce(abs((close - s{n}) / s{n}) * 100 <= 3.0, FALSE)"
 _stat = lambda months, year: f"""WITH {sql.BARS}, r AS (SELECT *, coalesce(lag(close) OVER ({_w}), close, 0) AS prev FROM bars WHERE date >= CAST(DATE '{AS_OF}' - INTERVAL {months} MONTH AS DATE)),
  l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
@@ -140,13 +156,13 @@ _rsi = lambda u, d: f"CASE WHEN {d}.v = 0 THEN 100.0 WHEN {u}.v = 0 THEN 0.0 ELS
 _at = lambda *names: " ".join(f"LEFT JOIN {n} ON {n}.symbol = t.symbol AND {n}.i = t.i" for n in names)
 _lag = lambda c, n=1: f"lag({c}, {n}) OVER ({_w})"
 _mean = lambda c, n: f"CASE WHEN count({c}) OVER ({_w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN avg({c}) OVER ({_w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END"
-_signals = f"""WITH RECURSIVE {sql.BARS}, {_bench}, j AS (SELECT b.*, last_value(bench IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bench FROM bars b LEFT JOIN bench USING (date)),
+_signals = f"""WITH RECURSIVE {sql.BARS}, {_bench}, j AS (SELECT b.*, n.bench FROM bars b ASOF LEFT JOIN bench n ON b.date >= n.date),
  a1 AS (SELECT *, close / bench AS rs FROM j), a2 AS (SELECT *, (rs / ({_mean('rs', 144)}) - 1) * 100 AS strength FROM a1), a3 AS (SELECT *, {_mean('strength', 60)} AS average FROM a2),
  t AS (SELECT *, row_number() OVER ({_w}) AS i, greatest(high - low, abs(high - {_lag('close')}), abs(low - {_lag('close')})) AS tr FROM a3), {_wilder('atr', 'tr', 14)},
  b1 AS (SELECT t.*, atr.v AS atr FROM t LEFT JOIN atr ON atr.symbol = t.symbol AND atr.i = t.i), b2 AS (SELECT *, 6 * (atr / ({_mean('atr', 100)})) AS threshold, abs(strength - average) AS diff FROM b1),
  b3 AS (SELECT *, CASE WHEN strength > average THEN CASE WHEN diff > threshold * 1.5 THEN 'Strong Bull' WHEN diff > threshold THEN 'Mild Bull' ELSE 'Neutral' END ELSE CASE WHEN diff > threshold * 1.5 THEN 'Strong Bear' WHEN diff > threshold THEN 'Mild Bear' ELSE 'Neutral' END END AS zone FROM b2),
  s AS (SELECT *, {_lag('close', 40)} AS p40, {_full('max(high)', 40)} AS h40, {_full('avg(volume)', 20)} AS v20, {_full('avg(close)', 21)} AS s21, {_full('avg(close)', 50)} AS s50, {_full('avg(close)', 200)} AS s200 FROM b3),
- m AS (SELECT *, CASE WHEN p40 > 0 THEN (close - p40) / p40 * 100 ELSE 0 END >= 100 AS emd, CASE WHEN h40 > 0 THEN (h40 - close) / h40 * 100 ELSE 0 END BETWEEN 0 AND 20 AS ca, coalesce(volume >= v20 * 1.5, FALSE) AND ({_near(21)} OR {_near(50)} OR {_near(200)}) AS vmac, coalesce(strength > average, FALSE) AS bull, coalesce(diff > threshold, FALSE) AS far, sign(strength - average) AS side, {_lag('strength', 5)} AS back FROM s),
+ m AS (SELECT *, CASE WHEN p40 > 0 THEN (close - p40) / p40 * 100 ELSE 0 END >= 100 AS emd, CASE WHEN h40 > 0 THEN (h40 - close) / h40 * 100 ELSE 0 END BETWEEN 0 AND 20 AS ca, coalesce(volume >= v20 * 1.5, FALSE) AND ({_near(21)} OR {_near(50)} OR {_near(200)}) AS vmac, coalesce(strength > average, FALSE) AS bull, coalesce(diff > threshold, FALSE) AS far, {_lag('strength', 5)} AS back FROM s),
  g AS (SELECT *, CAST(emd AS BIGINT) + CAST(ca AS BIGINT) + CAST(vmac AS BIGINT) AS score, CASE WHEN bull AND emd THEN 2 ELSE 0 END + CASE WHEN bull AND ca THEN 1 ELSE 0 END + CASE WHEN vmac THEN 1 ELSE 0 END AS agreement FROM m)
  SELECT symbol, date, round_even(strength, 4) AS strength, round_even(average, 4) AS average, round_even(threshold, 4) AS threshold, round_even(abs(strength - back), 4) AS momentum, zone,
  CAST(CASE zone WHEN 'Strong Bull' THEN 2 WHEN 'Mild Bull' THEN 1 WHEN 'Strong Bear' THEN -2 WHEN 'Mild Bear' THEN -1 ELSE 0 END AS BIGINT) AS zone_value, CAST(agreement AS BIGINT) AS agreement,
@@ -154,14 +170,14 @@ _signals = f"""WITH RECURSIVE {sql.BARS}, {_bench}, j AS (SELECT b.*, last_value
  CASE WHEN bull AND score >= 3 AND far THEN 'Perfect Entry' WHEN bull AND score >= 2 AND diff > threshold * 0.5 THEN 'Strong Entry' WHEN NOT bull AND score <= 1 THEN 'Caution/Exit' ELSE 'Wait' END AS signal,
  CASE WHEN strength > back THEN 'Up' WHEN strength < back THEN 'Down' ELSE 'Flat' END AS direction, CASE WHEN abs(strength - back) > 2 THEN 'Strong' WHEN abs(strength - back) > 1 THEN 'Moderate' ELSE 'Weak' END AS momentum_label,
  CAST(zone = 'Strong Bull' AS INTEGER) AS is_strong_bull, CAST(zone = 'Mild Bull' AS INTEGER) AS is_mild_bull, CAST(zone = 'Strong Bear' AS INTEGER) AS is_strong_bear, CAST(zone = 'Mild Bear' AS INTEGER) AS is_mild_bear, CAST(zone = 'Neutral' AS INTEGER) AS is_neutral,
- coalesce(side * {_lag('side')} < 0, FALSE) AS crossed, coalesce(far AND {_lag('diff')} <= threshold, FALSE) AS moved_far, coalesce(zone <> {_lag('zone')}, FALSE) AS zone_changed, coalesce(score >= 3 AND {_lag('score')} < 3, FALSE) AS perfect, bull AND score >= 3 AND far AS ultimate FROM g"""
+ coalesce(strength > average AND {_lag('strength')} <= {_lag('average')} OR strength < average AND {_lag('strength')} >= {_lag('average')}, FALSE) AS crossed, coalesce(far AND {_lag('diff')} <= threshold, FALSE) AS moved_far, coalesce(zone <> {_lag('zone')}, FALSE) AS zone_changed, coalesce(score >= 3 AND {_lag('score')} < 3, FALSE) AS perfect, bull AND score >= 3 AND far AS ultimate FROM g"""
 _spread = f"""WITH RECURSIVE {sql.BARS}, s AS (SELECT *, {_full('avg(close)', 10)} - {_full('avg(close)', 40)} AS spread FROM bars),
  t AS (SELECT *, row_number() OVER ({_w}) AS i, {_moves('spread')}, greatest(close - {_lag('close')}, 0) + (close - {_lag('close')}) * 0 AS cup, greatest({_lag('close')} - close, 0) + (close - {_lag('close')}) * 0 AS cdown FROM s),
  {_wilder('u', 'up', 5)}, {_wilder('d', 'down', 5)}, {_wilder('u14', 'cup', 14)}, {_wilder('d14', 'cdown', 14)},
  x AS (SELECT t.*, {_rsi('u', 'd')} AS rs, {_rsi('u14', 'd14')} AS rsi FROM t {_at('u', 'd', 'u14', 'd14')}), y AS (SELECT *, {_mean('rs', 3)} AS smooth FROM x),
- z AS (SELECT *, smooth > greatest(0, coalesce(max(smooth) OVER ({_w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS new_high, smooth > {_full('max(smooth)', 20, 1)} AS range_high, close < {_full('max(close)', 20)} AS below FROM y)
+ z AS (SELECT *, smooth > greatest(0, coalesce(max(smooth) OVER ({_w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS new_high, smooth > {_full('max(smooth)', 40, 1)} AS range_high, close < {_full('max(close)', 40)} AS below FROM y)
  SELECT symbol, date, new_high, range_high, new_high AND below AS new_high_before_price, range_high AND below AS range_high_before_price,
- {_full('max(high)', 20)} = high AND rsi < {_full('max(rsi)', 20)} AS bearish, {_full('min(low)', 20)} = low AND rsi > {_full('min(rsi)', 20)} AS bullish FROM z"""
+ {_full('max(high)', 14)} = high AND rsi < {_full('max(rsi)', 14)} AS bearish, {_full('min(low)', 14)} = low AND rsi > {_full('min(rsi)', 14)} AS bullish FROM z"""
 SQL = {
     "k19_signals": _signals, "k16_new_highs": _spread,
     "k24_oscillators": f"""WITH RECURSIVE {sql.BARS}, t AS (SELECT symbol, date, row_number() OVER ({_w}) AS i, {_moves('close')} FROM bars),
@@ -181,9 +197,9 @@ SQL = {
     "a05_totals": f"WITH {sql.BARS} SELECT count(DISTINCT symbol) AS symbols, count(*) AS n, min(date) AS first, max(date) AS last FROM bars",
     "o02_busiest_years": f"WITH {sql.BARS} SELECT symbol, CAST(year(date) AS INTEGER) AS year, count(*) AS n FROM bars GROUP BY 1, 2 ORDER BY n DESC, symbol, year LIMIT 10",
     "n11_windows": f"WITH {sql.BARS} SELECT symbol, date, round_even({_full('avg(close)', 20)}, 5) AS sma20, {_full('max(high)', 20)} AS high20, {_full('min(low)', 20)} AS low20, {_full('max(high)', 20, 1)} AS high20_before, lag(close, 5) OVER ({_w}) AS close5, lag(close, 40) OVER ({_w}) AS close40, close > greatest(0, coalesce(max(close) OVER ({_w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS new_high FROM bars",
-    "n22_runs": f"""WITH {sql.BARS}, a AS (SELECT *, close > average AS above FROM (SELECT *, {_full('avg(close)', 20)} AS average FROM bars) WHERE average IS NOT NULL),
- c AS (SELECT *, above <> lag(above) OVER ({_w}) AS x FROM a), g AS (SELECT *, sum(CASE WHEN coalesce(x, TRUE) THEN 1 ELSE 0 END) OVER ({_w}) AS island FROM c)
- SELECT symbol, date, above, coalesce(x, FALSE) AS crossed, row_number() OVER (PARTITION BY symbol, island ORDER BY date) AS duration, row_number() OVER (PARTITION BY symbol, island ORDER BY date) - 1 AS stability FROM g""",
+    "n22_runs": f"""WITH {sql.BARS}, a AS (SELECT *, close > average AS above, coalesce(close > average AND {_lag('close')} <= {_lag('average')} OR close < average AND {_lag('close')} >= {_lag('average')}, FALSE) AS crossed FROM (SELECT *, {_full('avg(close)', 20)} AS average FROM bars)),
+ c AS (SELECT *, above <> {_lag('above')} AS x FROM a WHERE average IS NOT NULL), g AS (SELECT *, sum(CASE WHEN coalesce(x, TRUE) THEN 1 ELSE 0 END) OVER ({_w}) AS island FROM c)
+ SELECT symbol, date, above, crossed, row_number() OVER (PARTITION BY symbol, island ORDER BY date) AS duration, row_number() OVER (PARTITION BY symbol, island ORDER BY date) - 1 AS stability FROM g""",
     "n16_smoothed": f"""WITH RECURSIVE {sql.BARS}, t AS (SELECT symbol, date, row_number() OVER ({_w}) AS i, greatest(close - lag(close) OVER ({_w}), 0) + (close - lag(close) OVER ({_w})) * 0 AS up, greatest(lag(close) OVER ({_w}) - close, 0) + (close - lag(close) OVER ({_w})) * 0 AS down,
  greatest(high - low, abs(high - lag(close) OVER ({_w})), abs(low - lag(close) OVER ({_w}))) AS tr FROM bars),
  u AS (SELECT symbol, CAST(i + 1 AS BIGINT) AS i, v FROM {_rma('up', 9)} UNION ALL SELECT u.symbol, t.i, u.v + (t.up - u.v) / 9 FROM u JOIN t ON t.symbol = u.symbol AND t.i = u.i + 1),
@@ -195,9 +211,18 @@ SQL = {
  m AS (SELECT symbol, date, CASE WHEN p40 > 0 THEN (close - p40) / p40 * 100 ELSE 0 END AS moved, CASE WHEN h40 > 0 THEN (h40 - close) / h40 * 100 ELSE 0 END AS corrected, coalesce(volume >= v20 * 1.5, FALSE) AND ({_near(21)} OR {_near(50)} OR {_near(200)}) AS vmac FROM s),
  z AS (SELECT *, moved >= 100 AS emd, corrected BETWEEN 0 AND 20 AS ca FROM m)
  SELECT symbol, date, round_even(moved, 4) AS moved, round_even(corrected, 4) AS corrected, emd, ca, vmac, CAST(emd AS BIGINT) + CAST(ca AS BIGINT) + CAST(vmac AS BIGINT) AS score, ['Weak', 'Partial', 'Strong', 'Perfect'][CAST(emd AS BIGINT) + CAST(ca AS BIGINT) + CAST(vmac AS BIGINT) + 1] AS status FROM z""",
-    "j13_aligned_strength": f"""WITH {sql.BARS}, {_bench}, j AS (SELECT b.symbol, b.date, close, last_value(bench IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bench FROM bars b LEFT JOIN bench USING (date)),
+    "j13_aligned_strength": f"""WITH {sql.BARS}, {_bench}, j AS (SELECT b.symbol, b.date, close, n.bench FROM bars b ASOF LEFT JOIN bench n ON b.date >= n.date),
  r AS (SELECT *, close / bench AS rs FROM j) SELECT symbol, date, bench, round_even((rs / CASE WHEN count(rs) OVER ({_w} ROWS BETWEEN 143 PRECEDING AND CURRENT ROW) = 144 THEN avg(rs) OVER ({_w} ROWS BETWEEN 143 PRECEDING AND CURRENT ROW) END - 1) * 100, 4) AS strength FROM r""",
-    "k25_interval_extremes": f"WITH {sql.BARS} SELECT *, " + ", ".join(f"{_full('max(high)', n)} AS high_{n}, {_full('min(low)', n)} AS low_{n}" for n in (60, 120, 240)) + f" FROM bars QUALIFY coalesce(date_trunc('month', date) <> lag(date_trunc('month', date)) OVER ({_w}), FALSE)",
+    "n24_intraday_bars": f"WITH {_intraday} SELECT * FROM intra",
+    # a new interval begins where its start is not that of the bar before; the extremes are over as many bars as the interval has minutes
+    "k25_interval_extremes": f"""WITH {_intraday}, j AS (SELECT b.symbol, b.time, b.close, n.close AS bench FROM intra b ASOF LEFT JOIN (SELECT * FROM intra WHERE symbol = 'view') n ON b.time >= n.time),
+ r AS (SELECT *, close / bench AS rs FROM j), m AS (SELECT *, (rs / CASE WHEN count(rs) OVER ({_t} ROWS BETWEEN 143 PRECEDING AND CURRENT ROW) = 144 THEN avg(rs) OVER ({_t} ROWS BETWEEN 143 PRECEDING AND CURRENT ROW) END - 1) * 100 AS strength FROM r)
+ SELECT symbol, time, bench, round_even(strength, 4) AS strength, """ + ", ".join(
+        f"coalesce(time_bucket(INTERVAL {n} MINUTE, time) <> lag(time_bucket(INTERVAL {n} MINUTE, time)) OVER ({_t}) AND strength = CASE WHEN count(*) OVER ({_t} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN {f}(strength) OVER ({_t} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END, FALSE) AS {k}_{n}"
+        for n in (60, 120, 240)
+        for k, f in (("high", "max"), ("low", "min"))
+    )
+    + " FROM m",
     "k15_chart_rows": f"WITH {sql.RET} SELECT * REPLACE (coalesce(open, 0) AS open, coalesce(high, 0) AS high, coalesce(low, 0) AS low, coalesce(close, 0) AS close) FROM ret WHERE date >= CAST(DATE '{AS_OF}' - INTERVAL 12 MONTH AS DATE) QUALIFY row_number() OVER ({_w}) <= 10000",
     "k15_statistics": _stat(12, f"bars WHERE date <= DATE '{AS_OF}'"),
     "k15_statistics_ranged": _stat(1, "r"),

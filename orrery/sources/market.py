@@ -42,6 +42,12 @@ def event_bars(events: DataFrame) -> DataFrame:
     return e.groupBy("event_type", "date").agg(F.min_by("value", "k").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "k").alias("close"), F.count("*").alias("n"))
 
 
+def intraday_bars(events: DataFrame, minutes: int) -> DataFrame:
+    """Bars (symbol, time, open, high, low, close, volume) of so many minutes of event values by type; time is the interval's start."""
+    e = events.select(F.col("event_type").alias("symbol"), F.window("ts", f"{minutes} minutes")["start"].alias("time"), "value", F.struct("ts", "event_id").alias("k"))
+    return e.groupBy("symbol", "time").agg(F.min_by("value", "k").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "k").alias("close"), F.count("*").alias("volume"))
+
+
 def calendar(bars: DataFrame) -> DataFrame:
     """Each day from the first to the last bar."""
     return bars.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("date"))

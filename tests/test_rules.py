@@ -93,7 +93,8 @@ def test_indicators_run(spark):
     assert out.where("zone_value not between -2 and 2 or agreement not between 0 and 4").isEmpty()
     o = indicators.oscillators(df).where("banker is not null")
     assert o.where("banker < 0 or banker > 50 or hot_money < 0 or hot_money > 50").isEmpty()
-    assert indicators.momentum_spread(df).count() == 260
+    out = indicators.momentum_spread(df)
+    assert out.count() == 260 and out.where("new_high_before_price and not new_high").isEmpty()
 
 
 def test_chart(spark):
