@@ -32,7 +32,7 @@ def momentum_spread(bars: DataFrame, fast: int = 10, slow: int = 40, period: int
     return df.withColumn("new_high_before_price", F.col("new_high") & F.col("__below")).drop("__below", "__record")
 
 
-def relative_strength(bars: DataFrame, bench: DataFrame, long: int = 144, ma: int = 60, atr: int = 14, order: str = "date") -> DataFrame:
+def relative_strength(bars: DataFrame, bench: DataFrame, long: int = 144, ma: int = 60, atr: int = 14, order: str = "date", atr_ma: int = 100) -> DataFrame:
     """Close over the benchmark's last value known at each bar (J13), its distance from its average, and the zone by a threshold that follows volatility."""
     w = blocks.window()
     df = asof_join(bars, bench, order, ["bench"], salts=SHARED)
@@ -40,8 +40,8 @@ def relative_strength(bars: DataFrame, bench: DataFrame, long: int = 144, ma: in
     df = df.withColumn("rs", F.try_divide("close", "bench"))
     df = df.withColumn("strength", (F.try_divide(F.col("rs"), s.sma("rs", w, long)) - 1) * 100)
     df = df.withColumn("average", s.sma("strength", w, ma)).withColumn("diff", F.abs(F.col("strength") - F.col("average")))
-    df = blocks.haloed(s.with_atr(blocks.own(df), atr, order=order), 100)
-    df = blocks.own(df.withColumn("threshold", 6 * F.try_divide(F.col("atr"), s.sma("atr", w, 100))))
+    df = blocks.haloed(s.with_atr(blocks.own(df), atr, order=order), atr_ma)
+    df = blocks.own(df.withColumn("threshold", 6 * F.try_divide(F.col("atr"), s.sma("atr", w, atr_ma))))
     t, d = F.col("threshold"), F.col("diff")
     up = F.when(d > t * 1.5, "Strong Bull").when(d > t, "Mild Bull").otherwise("Neutral")
     down = F.when(d > t * 1.5, "Strong Bear").when(d > t, "Mild Bear").otherwise("Neutral")
