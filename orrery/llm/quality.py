@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classify, common, textpack
 
-#: At most so many trusted positives and unlabelled texts are rows of the fit. The class prior is estimated from the scores of all other documents.
-MOST_POSITIVES, MOST_UNLABELLED = 6_000, 12_000
+#: At most so many trusted positives are rows of the fit. Unlabelled text is not sampled: every sum over it takes all documents that are not held out.
+MOST_POSITIVES = 6_000
+#: Up to so many tasks hand their sums to the driver, a few KB each; those of more are added up by a shuffle first.
+MOST_PARTS = 512
 #: Hash buckets of words, whose shares are features too.
 WORD_BUCKETS = 256
 _CLASSES = {
@@ -71,22 +74,115 @@ def expand(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(x[:, :SURFACE], 0)), np.ones((len(x), 1), np.float32)])
 
 
-def _adam(grad, n: int, steps: int, rate: float) -> np.ndarray:
-    w, m, v = (np.zeros(n, np.float32) for _ in range(3))
-    for t in range(1, steps + 1):
-        g = grad(w, t)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    return w
+class Rows:
+    """Unlabelled rows in memory. total() adds up what a function gives for them, in slices."""
 
+    def __init__(self, x: np.ndarray):
+        self.x = x
 
-def positive_against_unlabelled(pos: np.ndarray, unl: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Weights of a logistic classifier of positives against unlabelled rows."""
+    def total(self, add) -> np.ndarray:
+        return np.sum([add(self.x[i : i + 4096]) for i in range(0, max(1, len(self.x)), 4096)], axis=0)
 
-    def grad(w, _):
-        return (-((1 - classify.sigmoid(pos @ w)) @ pos) / len(pos) + (classify.sigmoid(unl @ w) @ unl) / len(unl)) + 1e-3 * w
 
-    return _adam(grad, pos.shape[1], steps, 0.05)
+class Table(Rows):
+    """Unlabelled rows as a table of features, a few hundred numbers for each text. total() adds up in each task before anything leaves it."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def total(self, add) -> np.ndarray:
+        width = SURFACE + WORD_BUCKETS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for batch in batches:
+                total = total + add(expand(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<f4").reshape(-1, width)))
+            if np.ndim(total):
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["sums"])
+
+        sums = self.rows.select("x").mapInArrow(run, "sums array<double>")
+        if self.rows.rdd.getNumPartitions() <= MOST_PARTS:
+            parts = [np.array(r["sums"]) for r in sums.collect()]
+            return np.array([math.fsum(c) for c in np.array(parts).T]) if parts else add(np.zeros((0, SURFACE * 2 + WORD_BUCKETS + 1), np.float32))
+        each = sums.select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,12)")).cast("double").alias("v"))
+        return np.array([r["v"] for r in sorted(each.collect(), key=lambda r: r["at"])])
+
+
+def moments(unlabelled: Rows, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation (and a little) of each feature over all rows of either kind; the constant is left as it is."""
+    add = lambda x: np.concatenate(([len(x)], x.sum(0, dtype=np.float64), (x.astype(np.float64) ** 2).sum(0)))
+    total = unlabelled.total(add) + add(pos)
+    n, d = max(1.0, total[0]), pos.shape[1]
+    centre = total[1 : 1 + d] / n
+    scale = np.sqrt(np.maximum(total[1 + d :] / n - centre**2, 0)) + 1e-3
+    centre[-1], scale[-1] = 0, 1
+    return centre.astype(np.float32), scale.astype(np.float32)
+
+
+def unlabelled_terms(unlabelled: Rows, w: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean loss of the unlabelled rows as negatives, and its gradient."""
+
+    def add(x: np.ndarray) -> np.ndarray:
+        x = (x - centre) / scale
+        f = x @ w
+        return np.concatenate(([len(x), np.logaddexp(0, f).sum()], classify.sigmoid(f) @ x))
+
+    total = unlabelled.total(add)
+    n = max(1.0, total[0])
+    return total[1] / n, total[2:] / n
+
+
+def contrast(p: np.ndarray, w: np.ndarray, loss: float, grad: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray | None]:
+    """Risk and gradient of positives against unlabelled rows."""
+    f = p @ w
+    return np.logaddexp(0, -f).mean() + loss, 0.0, grad - (1 - classify.sigmoid(f)) @ p / len(p), None
+
+
+def non_negative(prior: float):
+    def risk(p: np.ndarray, w: np.ndarray, loss: float, grad: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray | None]:
+        """The non-negative risk and its gradient; where the second term is negative, that term and its gradient too."""
+        f = p @ w
+        s = classify.sigmoid(f)
+        second, ahead = loss - prior * np.logaddexp(0, f).mean(), grad - prior * (s @ p) / len(p)
+        first, back = prior * np.logaddexp(0, -f).mean(), -prior * ((1 - s) @ p) / len(p)
+        return (first + second, 0.0, back + ahead, None) if second >= 0 else (first, second, back, ahead)
+
+    return risk
+
+
+def minimise(unlabelled: Rows, p: np.ndarray, centre: np.ndarray, scale: np.ndarray, risk, rounds: int, decay: float = 1e-3, memory: int = 10) -> np.ndarray:
+    """Weights by a limited-memory quasi-Newton method, from zero; each of `rounds` looks at all unlabelled rows once.
+
+    Where the risk's second term, which no real risk can make negative, is
+    negative, the step ascends on that term alone until it would be 0, and what
+    was learnt of the curvature is forgotten.
+    """
+    w, pairs, last, step = np.zeros(p.shape[1]), [], None, 1.0
+    for _ in range(rounds):
+        value, second, g, ahead = risk(p, w, *unlabelled_terms(unlabelled, w, centre, scale))
+        value, g = value + decay / 2 * (w @ w), g + decay * w
+        if ahead is not None and ahead @ ahead > 1e-18:
+            w, pairs, last, step = w + min(1.0, -second / (ahead @ ahead)) * ahead, [], None, 1.0
+            continue
+        if last is not None and value > last[1] + 1e-4 * step * (last[2] @ last[3]):
+            step /= 4  # too far: back to a part of the way
+            w = last[0] + step * last[3]
+            continue
+        if last is not None:
+            s, y = w - last[0], g - last[2]
+            if s @ y > 1e-12:
+                pairs = [*pairs, (s, y)][-memory:]
+        q, held = g.copy(), []
+        for s, y in reversed(pairs):
+            a = (s @ q) / (s @ y)
+            held.append(a)
+            q -= a * y
+        q *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1.0, np.sqrt(g @ g))
+        for (s, y), a in zip(pairs, reversed(held), strict=True):
+            q += (a - (y @ q) / (s @ y)) * s
+        last, step = (w, value, g, -q), 1.0
+        w = w - q
+    return last[0] if last is not None else w
 
 
 def best_bin(cuts: np.ndarray, above_p: np.ndarray, n_p: int, above_u: np.ndarray, n_u: int, delta: float = 0.1) -> float:
@@ -108,107 +204,73 @@ def _cuts(scores_p: np.ndarray) -> np.ndarray:
     return np.unique(np.quantile(scores_p, np.linspace(0, 0.98, 200)))
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """best_bin() of rows in memory: the classifier learns from one half of either kind, the other half is counted."""
-    if not len(pos[1::2]) or not len(unl[1::2]):
-        return 0.5
-    w = positive_against_unlabelled(pos[::2], unl[::2])
-    p, u = pos[1::2] @ w, unl[1::2] @ w
-    cuts = _cuts(p)
-    return best_bin(cuts, (p[:, None] >= cuts).sum(0), len(p), (u[:, None] >= cuts).sum(0), len(u))
-
-
-def corpus_prior(docs: DataFrame, pos: np.ndarray, unl: np.ndarray, half: Column) -> float:
-    """best_bin() with the scores of every document of the half that `unl` is not of; only the counts between cuts leave the tasks."""
-    if len(pos) < 2 or not len(unl):
+def estimate_prior(pos: np.ndarray, learnt: Rows, counted: Rows, rounds: int = 20) -> float:
+    """best_bin() of two halves: a classifier learns from one half of the positives and the rows of `learnt`, the others are counted."""
+    if len(pos) < 2:
         return 0.5
-    both = np.vstack([pos, unl])
-    centre, scale = both.mean(0), both.std(0) + 1e-3
-    centre[-1], scale[-1] = 0, 1
+    centre, scale = moments(learnt, pos[::2])
     p = (pos - centre) / scale
-    w = positive_against_unlabelled(p[::2], (unl - centre) / scale)
-    cuts = _cuts(p[1::2] @ w)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(cuts) + 1, np.int64)
-        for batch in batches:
-            for _, buf, offs in textpack.slices(batch, "text"):
-                score = (expand(features(buf, offs)) - centre) / scale @ w
-                total += np.bincount(np.searchsorted(cuts, score, "right"), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["bin", "n"])
-
-    rows = docs.where(half).select(F.col("text").cast("binary").alias("text"))
-    bins = rows.mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # 201 rows at most
-    count = np.zeros(len(cuts) + 1)
-    for r in bins:
-        count[r["bin"]] = r["n"]
+    w = minimise(learnt, p[::2], centre, scale, contrast, rounds)
     p = p[1::2] @ w
-    above = count[::-1].cumsum()[::-1][1:]
-    return best_bin(cuts, (p[:, None] >= cuts).sum(0), len(p), above, int(count.sum()))
-
-
-def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> dict:
-    """Minimise  prior * R+(positives)  +  max(0, R-(unlabelled) - prior * R-(positives))  of the logistic loss.
+    cuts = _cuts(p)
 
-    When the second term, which no real risk can make negative, is negative,
-    the step ascends on that term alone. Without positives or unlabelled rows every
-    score is one half.
-    """
-    p, u = expand(pos), expand(unl)
-    centre, scale = (np.vstack([p, u]).mean(0), np.vstack([p, u]).std(0) + 1e-3) if len(pos) and len(unl) else (np.zeros(p.shape[1], np.float32), np.ones(p.shape[1], np.float32))
-    centre[-1], scale[-1] = 0, 1
-    if not len(pos) or not len(unl):
-        return {"w": np.zeros(p.shape[1]), "centre": centre, "scale": scale, "prior": 0.5}
-    p, u = (p - centre) / scale, (u - centre) / scale
-    prior = estimate_prior(p, u) if prior is None else prior
+    def add(x: np.ndarray) -> np.ndarray:
+        score = (x - centre) / scale @ w
+        return np.append((score[:, None] >= cuts).sum(0), len(x)).astype(np.float64)
 
-    return {"w": _adam(lambda w, _: non_negative_gradient(p, u, w, prior) + decay * w, p.shape[1], steps, rate), "centre": centre, "scale": scale, "prior": prior}
+    total = counted.total(add)
+    return best_bin(cuts, (p[:, None] >= cuts).sum(0), len(p), total[:-1], int(total[-1]))
 
 
-def non_negative_gradient(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float) -> np.ndarray:
-    """Step direction of the non-negative risk at w."""
-    fp, fu = classify.sigmoid(p @ w), classify.sigmoid(u @ w)
-    second = (fu @ u) / len(u) - prior * (fp @ p) / len(p)
-    risk = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
-    return second - prior * ((1 - fp) @ p) / len(p) if risk >= 0 else -second
+def fit(pos: np.ndarray, unlabelled: Rows, prior: float, rounds: int = 30) -> dict:
+    """Minimise  prior * R+(positives)  +  max(0, R-(unlabelled) - prior * R-(positives))  of the logistic loss. Without positives every score is one half."""
+    if not len(pos):
+        d = SURFACE * 2 + WORD_BUCKETS + 1
+        return {"w": np.zeros(d), "centre": np.zeros(d, np.float32), "scale": np.ones(d, np.float32), "prior": 0.5}
+    centre, scale = moments(unlabelled, pos)
+    w = minimise(unlabelled, (pos - centre) / scale, centre, scale, non_negative(prior), rounds)
+    return {"w": w, "centre": centre, "scale": scale, "prior": prior}
 
 
 def scores(model: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return classify.sigmoid((expand(features(buf, offs)) - model["centre"]) / model["scale"] @ model["w"])
 
 
-def _feature_rows(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a bounded sample, gathered on the driver: about 1 KB a text."""
+def _features(texts: DataFrame, *keep: str) -> DataFrame:
+    """x, the features of each text as bytes, beside the columns `keep`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in textpack.slices(batch, "text"):
                 x = features(buf, offs).astype("<f4")
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column("label").cast(pa.int32())], names=["x", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), *(part.column(c) for c in keep)], names=["x", *keep])
 
-    rows = texts.select(F.col("text").cast("binary").alias("text"), "label").mapInArrow(run, "x binary, label int").toArrow()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), "<f4").reshape(len(rows), -1) if len(rows) else np.zeros((0, SURFACE + WORD_BUCKETS), np.float32)
-    y = np.array(rows.column("label").to_pylist(), int)
-    order = np.lexsort([*x[:, :SURFACE].T, y])  # the order that rows arrive in shall not matter
-    return x[order], y[order]
+    kinds = dict(texts.dtypes)
+    rows = texts.select(F.col("text").cast("binary").alias("text"), *keep)
+    return rows.mapInArrow(run, ", ".join(["x binary", *(f"{c} {kinds[c]}" for c in keep)]))
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positives: int = MOST_POSITIVES, most_unlabelled: int = MOST_UNLABELLED) -> dict:
-    """Trusted positives: bounded sample of training rows with quality 1. Unlabelled: bounded sample of the documents that are not held out, labels unseen, so that some are positives too.
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positives: int = MOST_POSITIVES) -> dict:
+    """Trusted positives: a bounded sample of the training rows with quality 1. Unlabelled: all documents that are not held out, labels unseen, so that some are positives too.
 
-    The class prior comes from one half of the documents that are not held
-    out, all of them, scored by a classifier that learns from the other half.
+    Their features are written once; every step of the fit adds up the
+    unlabelled risk and its gradient over all of them, in the tasks that read
+    them. The class prior comes from one half of them, scored by a classifier
+    that learns from the other half.
     """
     common.small_batches(docs.sparkSession)
     positives = classify.hash_sample(classify.training_labels(labels, "quality").where("label = 1").join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), most_positives)
-    open_ = F.col("doc_id").isNotNull() & ~common.held_out("doc_id")
-    other = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")), F.lit(2)) == 1
-    web = classify.hash_sample(docs.select("doc_id").where(open_).distinct(), most_unlabelled).withColumn("label", other.cast("int"))
-    mixed = np.random.Generator(np.random.PCG64(7))
-    pos, unl, half = mixed.permutation(_feature_rows(classify.texts_of(docs, positives))[0]), *_feature_rows(classify.texts_of(docs, web))
+    raw = sorted(bytes(r["x"]) for r in _features(classify.texts_of(docs, positives)).collect())  # about 1 KB a text; the order that rows arrive in shall not matter
+    if not raw:
+        return fit(np.zeros((0, 1)), Rows(np.zeros((0, 1))), 0.5)
+    pos = expand(np.frombuffer(b"".join(raw), "<f4").reshape(len(raw), -1))
+    pos = np.random.Generator(np.random.PCG64(7)).permutation(pos)
+    half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")), F.lit(2)).cast("int")
+    open_ = docs.where(F.col("doc_id").isNotNull() & ~common.held_out("doc_id")).select("text", half.alias("half"))
+    table = common.written(_features(open_, "half"), "features")
     if prior is None:
-        prior = corpus_prior(docs, expand(pos), expand(unl[half == 0]), open_ & other)
-    return fit(pos, mixed.permutation(unl), prior)
+        prior = estimate_prior(pos, Table(table.where("half = 0")), Table(table.where("half = 1")))
+    return fit(pos, Table(table), prior)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
@@ -218,8 +280,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **
     texts get the model's score for all-zero features. Rows with a null doc_id
     are scored, never learnt from. Equal texts get equal scores. An empty
     table gives no rows; without usable labels every score is one half. Other
-    columns are not read. At most `most_positives` and `most_unlabelled` texts
-    are rows of the fit.
+    columns are not read. At most `most_positives` labelled texts are rows of the
+    fit; the unlabelled sums take every document that is not held out.
     """
     model = train(docs, labels, **options)
     return classify.scored(docs, lambda buf, offs: scores(model, buf, offs), threshold)

@@ -169,6 +169,38 @@ def test_log_count_ratios():
     assert (toxicity.shrunk(r, pos, neg) == 0).all()  # ten texts prove nothing at three errors
 
 
+def plain_buckets(text):
+    """Distinct hashes of all n-grams, one at a time."""
+    c, out, cut = [ord(x) for x in f" {text.lower()} "], set(), (1 << 64) - 1
+    for n in toxicity.SIZES:
+        for i in range(len(c) - n + 1):
+            h = 0
+            for x in c[i : i + n]:
+                h = (h * int(toxicity._STEP) + x) & cut
+            out.add(((h + n) * int(toxicity._SPREAD) & cut) >> (64 - toxicity.BITS))
+    return out
+
+
+def test_counts_and_scores_against_a_loop(spark):
+    texts = [t for t in cases.texts(3, 20) if len(t or "") < 900]
+    labels = [i % 3 == 0 for i in range(len(texts))]
+    df = spark.createDataFrame([(t, int(y)) for t, y in zip(texts, labels, strict=True)], "text string, label int").repartition(3)
+    got = {r["bucket"]: (r["pos"], r["neg"]) for r in toxicity.class_counts(df).collect()}
+    counts = [Counter(b for t, y in zip(texts, labels, strict=True) if y == kind for b in plain_buckets(t or "")) for kind in (True, False)]
+    assert got == {b: (counts[0][b], counts[1][b]) for b in counts[0] | counts[1]}
+    weights = np.random.default_rng(1).normal(0, 0.01, 1 << toxicity.BITS).astype(np.float32)
+    rows = toxicity.score_toxicity(df.withColumn("doc_id", F.lit(1).cast("long")), None, model={"weights": weights, "intercept": -0.5}).select("score").collect()
+    want = sorted(1 / (1 + math.exp(0.5 - sum(float(weights[b]) for b in plain_buckets(t or "")))) for t in texts)
+    assert sorted(r["score"] for r in rows) == pytest.approx(want, abs=1e-9)
+
+
+def test_settings_are_compared_on_training_rows(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    hidden = labels.withColumn("toxic", F.when(common.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    got, want = (toxicity.compared(docs, x, [{"errors": 3.0}]) for x in (hidden, labels))
+    assert got == want and got[0]["rows"] > 30 and got[0]["right"] / got[0]["rows"] > 0.8
+
+
 def test_labels_without_documents_count_for_nothing(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
     absent = spark.range(10_000_000, 10_020_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
@@ -181,17 +213,54 @@ def test_prior_of_known_mixtures(share):
     rng = np.random.default_rng(1)
     draw = lambda n, at: np.hstack([rng.normal(at, 1, (n, 3)), np.ones((n, 1))]).astype(np.float32)
     pos, n = draw(4000, 2.0), int(8000 * share)
-    unl = np.vstack([draw(n, 2.0), draw(8000 - n, -2.0)])
-    assert quality.estimate_prior(pos, rng.permutation(unl)) == pytest.approx(share, abs=0.05)
+    unl = rng.permutation(np.vstack([draw(n, 2.0), draw(8000 - n, -2.0)]))
+    assert quality.estimate_prior(pos, quality.Rows(unl[::2]), quality.Rows(unl[1::2])) == pytest.approx(share, abs=0.05)
 
 
 def test_non_negative_step():
     p, u, w = np.array([[1.0], [2.0]]), np.array([[-1.0], [0.5]]), np.array([0.3])
     s = lambda x: 1 / (1 + math.exp(-0.3 * x))
+    loss, grad = quality.unlabelled_terms(quality.Rows(u), w, np.zeros(1), np.ones(1))
+    assert loss == pytest.approx(sum(math.log(1 + math.exp(0.3 * x)) for x in (-1, 0.5)) / 2)
     second = lambda prior: (s(-1) * -1 + s(0.5) * 0.5) / 2 - prior * (s(1) * 1 + s(2) * 2) / 2
     first = lambda prior: -prior * ((1 - s(1)) * 1 + (1 - s(2)) * 2) / 2
-    assert quality.non_negative_gradient(p, u, w, 0.1)[0] == pytest.approx(first(0.1) + second(0.1))
-    assert quality.non_negative_gradient(p, u, w, 0.95)[0] == pytest.approx(-second(0.95))  # its risk is negative
+    _, below, g, ahead = quality.non_negative(0.1)(p, w, loss, grad)
+    assert g[0] == pytest.approx(first(0.1) + second(0.1)) and below == 0 and ahead is None
+    _, below, g, ahead = quality.non_negative(0.95)(p, w, loss, grad)  # its second term is negative
+    assert below < 0 and ahead[0] == pytest.approx(second(0.95)) and g[0] == pytest.approx(first(0.95))
+
+
+def test_unlabelled_sums_take_every_row(spark, monkeypatch):
+    """Risk and gradient of 200 texts in 7 partitions against a loop over them, gathered either way."""
+    texts = (cases.texts(4, 120) * 2)[:200]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    table = common.written(quality._features(df), "features")
+    x = np.vstack([quality.expand(quality.features(np.frombuffer(b, np.uint8), np.array([0, len(b)]))) for b in ((t or "").encode() for t in texts)]).astype(float)
+    rng = np.random.default_rng(2)
+    pos = x[:50].astype(np.float32)
+    centre, scale = quality.moments(quality.Table(table), pos)
+    both = np.vstack([x, x[:50]])
+    assert centre[:-1] == pytest.approx(both.mean(0)[:-1], abs=1e-5) and scale[:-1] == pytest.approx(both.std(0)[:-1] + 1e-3, abs=1e-5)
+    w = rng.normal(0, 0.1, x.shape[1])
+    z = (x - centre) / scale
+    loss = grad = 0
+    for row in z:
+        f = row @ w
+        loss, grad = loss + math.log1p(math.exp(-abs(f))) + max(f, 0), grad + row / (1 + math.exp(-f))
+    for most in (512, 1):
+        monkeypatch.setattr(quality, "MOST_PARTS", most)
+        got, ahead = quality.unlabelled_terms(quality.Table(table), w, centre, scale)
+        assert got == pytest.approx(loss / 200, rel=1e-4) and ahead == pytest.approx(grad / 200, abs=1e-4)
+
+
+def test_quasi_newton_steps_reach_the_least_risk():
+    rng = np.random.default_rng(5)
+    draw = lambda n, at: np.hstack([rng.normal(at, [1, 3, 1], (n, 3)), np.ones((n, 1))])
+    p, u = draw(300, 1.0), np.vstack([draw(300, 1.0), draw(500, -1.0)])
+    centre, scale = np.zeros(4), np.ones(4)
+    w = quality.minimise(quality.Rows(u), p, centre, scale, quality.non_negative(0.3), 40)
+    _, _, g, _ = quality.non_negative(0.3)(p, w, *quality.unlabelled_terms(quality.Rows(u), w, centre, scale))
+    assert np.abs(g + 1e-3 * w).max() < 1e-4
 
 
 def test_keep_good_keeps_columns(spark):
