@@ -50,15 +50,6 @@ def events(positions: DataFrame) -> DataFrame:
     return out.select("event_date", "e.event_type", "planet", "e.from_value", "e.to_value", "e.severity")
 
 
-def factor_dates(positions: DataFrame, pair_aspects: DataFrame, moon: DataFrame) -> DataFrame:
-    """(factor, date): retrogrades, hard aspects, the Moon's place at 09:15, and gandanta at any time of the day."""
-    retro = positions.where(F.col("planet").isin(STATIONS) & F.col("retrograde")).select(F.concat("planet", F.lit(" Retrograde")).alias("factor"), "date")
-    hard = pair_aspects.where(F.col("aspect_type").isin(HARD)).select(F.concat("planet_1", F.lit("-"), "planet_2", F.lit(" Hard Aspect")).alias("factor"), "date")
-    at = moon.where("time_ist = '09:15'").select(F.concat(F.lit("Moon in "), "nakshatra_name").alias("factor"), "date")
-    edge = moon.where("gandanta").select(F.lit("Moon Gandanta").alias("factor"), "date")
-    return retro.unionByName(hard).unionByName(at).unionByName(edge).distinct()
-
-
 def event_dates(events_: DataFrame, kind: str, planet: str, factor: str) -> DataFrame:
     """(factor, date): dates of one planet's events of one type."""
     return events_.where((F.col("event_type") == kind) & (F.col("planet") == planet)).select(F.lit(factor).alias("factor"), F.col("event_date").alias("date")).distinct()

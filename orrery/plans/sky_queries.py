@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions.rounding import rounded
 
 from orrery.functions import rules
-from orrery.operators import risk, series, sky
+from orrery.operators import factors, risk, series, sky
 from orrery.plans import sample_sky, sql
 from orrery.sources import market
 
@@ -39,7 +39,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 def factor_dates(spark: SparkSession, d: str) -> DataFrame:
     p = positions(spark, d)
-    return sky.factor_dates(p, sky.aspects(p), moon(spark, d))
+    return factors.given().dates({"positions": p, "aspects": sky.aspects(p), "moon": moon(spark, d)})
 
 
 def day_factors(spark: SparkSession, d: str) -> DataFrame:
