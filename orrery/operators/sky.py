@@ -33,7 +33,7 @@ def changes(positions: DataFrame) -> DataFrame:
     days = days.withColumn("before", F.lag("date").over(Window.orderBy("date")))  # one row a day
     w = Window.partitionBy("planet").orderBy("date")
     old = {f"old_{c}": F.lag(c).over(w) for c in ("date", "nakshatra_name", "sign_name", "retrograde")}
-    return positions.withColumns(old).join(F.broadcast(days), "date").where("old_date = before")
+    return positions.withColumns(old).join(days, "date").where("old_date = before")
 
 
 def events(positions: DataFrame) -> DataFrame:

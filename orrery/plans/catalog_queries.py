@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions import astro, rules
 from orrery.operators import bridges, upsert
-from orrery.plans import sample_sky
+from orrery.plans import sql
+from orrery.plans.sky_queries import positions
 from orrery.plans.table_queries import _one, _ver, _versions, t
 from orrery.sources import market
 
@@ -78,8 +79,15 @@ def first_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def categories(spark: SparkSession, d: str) -> DataFrame:
-    names = [(n,) for n in [b[0] for b in sample_sky.BODIES] + ["Ketu", "Uranus"]]
-    return spark.createDataFrame(names, "planet string").select("planet", astro.category(F.col("planet")).alias("category"))
+    """Kinds of the bodies that have positions, and how many."""
+    return positions(spark, d).groupBy("planet").agg(F.count("*").alias("n")).withColumn("category", astro.category(F.col("planet")))
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    """The spans of the circle, and the positions in each."""
+    there = positions(spark, d).select(F.explode(F.array(F.struct(F.lit("nakshatra").alias("kind"), F.col("nakshatra_name").alias("name")), F.struct(F.lit("sign").alias("kind"), F.col("sign_name").alias("name")))).alias("p"))
+    many = there.groupBy("p.kind", "p.name").agg(F.count("*").alias("n"))
+    return astro.spans(spark).join(many, ["kind", "name"], "left").fillna(0, ["n"])
 
 
 def demo_factors(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +98,7 @@ def demo_factors(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "j12_single_row": single, "o05_page": page, "o06_by_name": by_name, "o07_exists": exists, "o08_first_rows": first_rows, "f15_symbols": symbols, "a14_nonzero_counts": nonzero,
     "a25_mapped_counts": mapped, "a27_code_actions": lambda s, d: bridges.action_counts(_updates(s, d)), "w07_patched_codes": patched_codes, "w07_patched_rows": patched, "w11_migrated": migrated,
-    "a22_first_files": first_files, "d29_spans": lambda s, d: astro.spans(s), "d30_categories": categories, "k26_demo_factors": demo_factors,
+    "a22_first_files": first_files, "d29_spans": spans, "d30_categories": categories, "k26_demo_factors": demo_factors,
 }
 
 _parts = "SELECT p_partkey, 'P' || p_partkey AS symbol, 'c' || (p_partkey % 50) AS code, p_partkey % 3 <> 0 AS known, p_partkey % 4 = 0 AS has_both, p_partkey % 4 = 1 AS has_one FROM part"
@@ -112,9 +120,11 @@ SQL = {
     "a22_first_files": """WITH r AS (SELECT c_custkey % 3 AS category, 'f' || (c_custkey % 41) AS file, c_custkey // 123 AS place, c_custkey, trim(' i' || (c_custkey % 5)) AS name FROM customer),
  h AS (SELECT category, file, name AS index_name FROM r WHERE place = 0 QUALIFY row_number() OVER (PARTITION BY name ORDER BY category, file) = 1)
  SELECT category, file, index_name, place, c_custkey FROM r JOIN h USING (category, file)""",
-    "d29_spans": f"""SELECT 'nakshatra' AS kind, i + 1 AS id, {astro.NAKSHATRAS!r}[i + 1] AS name, CAST(NULL AS VARCHAR) AS element, round_even(i * (360 / CAST(27 AS DOUBLE)), 4) AS start_deg, round_even((i + 1) * (360 / CAST(27 AS DOUBLE)), 4) AS end_deg FROM range(27) t(i)
- UNION ALL SELECT 'sign', i + 1, {astro.SIGNS!r}[i + 1], ['Fire', 'Earth', 'Air', 'Water'][i % 4 + 1], i * CAST(30 AS DOUBLE), (i + 1) * CAST(30 AS DOUBLE) FROM range(12) t(i)""",
-    "d30_categories": "SELECT planet, category FROM (VALUES ('Sun', 'classical'), ('Moon', 'classical'), ('Mars', 'classical'), ('Mercury', 'classical'), ('Jupiter', 'classical'), ('Venus', 'classical'), ('Saturn', 'classical'), ('Rahu', 'node'), ('Ketu', 'node'), ('Uranus', 'outer')) v(planet, category)",
+    "d29_spans": f"""WITH {sql.POS}, p AS (SELECT 'nakshatra' AS kind, nakshatra_name AS name FROM pos UNION ALL SELECT 'sign', sign_name FROM pos), m AS (SELECT kind, name, count(*) AS n FROM p GROUP BY 1, 2),
+ s AS (SELECT 'nakshatra' AS kind, i + 1 AS id, {sql.NAKSHATRAS!r}[i + 1] AS name, CAST(NULL AS VARCHAR) AS element, round_even(i * (360 / CAST(27 AS DOUBLE)), 4) AS start_deg, round_even((i + 1) * (360 / CAST(27 AS DOUBLE)), 4) AS end_deg FROM range(27) t(i)
+ UNION ALL SELECT 'sign', i + 1, {sql.SIGNS!r}[i + 1], ['Fire', 'Earth', 'Air', 'Water'][i % 4 + 1], i * CAST(30 AS DOUBLE), (i + 1) * CAST(30 AS DOUBLE) FROM range(12) t(i))
+ SELECT s.*, coalesce(n, 0) AS n FROM s LEFT JOIN m USING (kind, name)""",
+    "d30_categories": f"WITH {sql.POS} SELECT planet, count(*) AS n, CASE WHEN planet IN ('Rahu', 'Ketu') THEN 'node' WHEN planet IN ('Sun', 'Moon', 'Mars', 'Mercury', 'Jupiter', 'Venus', 'Saturn') THEN 'classical' ELSE 'outer' END AS category FROM pos GROUP BY 1",
     "k26_demo_factors": f"""WITH a AS (SELECT date, {_h31("CAST(date AS VARCHAR) || '-N-'")} AS t, {_h31("CAST(date AS VARCHAR) || '-N-f'")} AS s FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)),
  b AS (SELECT date, least(100, greatest(5, t % 70 + 5 + CASE WHEN t % 17 > 12 THEN 20 ELSE 0 END)) AS total, s % 25 AS a, (s >> 4) % 25 AS b, (s >> 8) % 25 AS c, (s >> 12) % 25 AS d FROM a),
  e AS (SELECT *, CASE WHEN a + b + c + d = 0 THEN 1 ELSE a + b + c + d END AS whole FROM b)

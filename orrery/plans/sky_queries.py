@@ -9,7 +9,7 @@ from orrery.functions.rounding import rounded
 
 from orrery.functions import rules
 from orrery.operators import factors, risk, series, sky
-from orrery.plans import sample_sky, sql
+from orrery.plans import sql, trade_sky
 from orrery.sources import market
 
 
@@ -17,16 +17,12 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
     return series.with_returns(market.trade_bars(market.table(spark, d, "lineitem")))
 
 
-def days(spark: SparkSession, d: str) -> DataFrame:
-    return market.trading_span(market.table(spark, d, "lineitem"))
-
-
 def positions(spark: SparkSession, d: str) -> DataFrame:
-    return market.positions(sample_sky.raw_positions(days(spark, d)))
+    return market.positions(trade_sky.raw_positions(market.table(spark, d, "lineitem")))
 
 
 def moon(spark: SparkSession, d: str) -> DataFrame:
-    return market.moon_intraday(sample_sky.raw_moon(days(spark, d)))
+    return market.moon_intraday(trade_sky.raw_moon(market.table(spark, d, "lineitem")))
 
 
 def aspects(spark: SparkSession, d: str) -> DataFrame:
@@ -135,6 +131,12 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
     return scores(spark, d).select("date", "composite_score", F.struct(*risk.DIMENSIONS).alias("factors"), "regime", "explanation").join(b, "date")
 
 
+def report_rows(spark: SparkSession, d: str) -> DataFrame:
+    """K29, a row for each symbol of a day's report."""
+    out = reports(spark, d).withColumn("i", F.explode("impacts"))
+    return out.select("date", "composite_score", "factors.*", "regime", "explanation", "i.symbol", "i.daily_return")
+
+
 def moon_changes(spark: SparkSession, d: str) -> DataFrame:
     return sky.event_dates(events(spark, d), "nakshatra_change", "Moon", "Moon Nakshatra Change")
 
@@ -151,7 +153,7 @@ QUERIES = {
     "a15_regime_distribution": lambda s, d: risk.regime_distribution(scores(s, d)), "a16_histogram": lambda s, d: risk.histogram(scores(s, d)), "a17_score_summary": a17,
     "a18_cohorts": lambda s, d: risk.cohorts(scores(s, d), bars(s, d)), "n10_top_days": top_days,
     "a07_retrograde_days": retro_days, "a08_aspect_counts": aspect_counts, "a20_event_counts": event_counts, "n05_stations": stations, "a10_table_ranges": table_ranges, "a06_gandanta_days": gandanta_days,
-    "d19_labels": labels, "k27_outlook": outlook, "k29_reports": reports,
+    "d19_labels": labels, "k27_outlook": outlook, "k29_reports": reports, "k29_report_rows": report_rows,
 }
 
 _dims = "date, composite_score, structural, momentum, volatility, deception, regime"
@@ -161,6 +163,7 @@ _stats = f"""stats AS (SELECT f.factor AS factor_type, f.symbol AS index_symbol,
  FROM (SELECT symbol, factor, {sql.STATS} FROM ret JOIN fac USING (date) WHERE daily_return IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5) f JOIN {_base} b ON b.symbol = f.symbol)"""
 _count = lambda kind: f"count(*) FILTER (event_type = '{kind}') AS {kind}"
 SQL = {
+    "k29_report_rows": f"{sql.ALL}{sql.TEXT} SELECT r.date, composite_score, structural, momentum, volatility, deception, regime, explanation, ret.symbol, ret.daily_return FROM risk r JOIN said ON said.date = r.date JOIN ret ON ret.date = r.date",
     "d21_explanation": f"{sql.ALL}{sql.TEXT} SELECT date, explanation FROM said",
     "f06_moon_changes": f"WITH {sql.POS}{sql.EVT} SELECT DISTINCT 'Moon Nakshatra Change' AS factor, event_date AS date FROM evt WHERE event_type = 'nakshatra_change' AND planet = 'Moon'",
     "n06_speed_transitions": f"WITH {sql.POS} SELECT planet, date, CASE WHEN speed < 0 THEN 'DIRECT to RETRO' ELSE 'RETRO to DIRECT' END AS direction, old_speed, speed FROM (SELECT *, lag(speed) OVER (ORDER BY date) AS old_speed FROM (SELECT * FROM pos WHERE planet = 'Mercury' ORDER BY date LIMIT 1000)) WHERE (old_speed < 0) <> (speed < 0)",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from orrery.plans import sample_sky
-
 # Written out here, not taken from the operators, so that a wrong value there shows.
 SIGNS = ["Aries", "Taurus", "Gemini", "Cancer", "Leo", "Virgo", "Libra", "Scorpio", "Sagittarius", "Capricorn", "Aquarius", "Pisces"]
 NAKSHATRAS = [
@@ -23,10 +21,7 @@ RET = (
  FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM bars))"""
 )
 
-_bodies = ", ".join(f"('{p}', CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE), CAST({c!r} AS DOUBLE))" for p, a, b, c in sample_sky.BODIES)
 _names = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
-_day = f"CAST(date - DATE '2000-01-01' - 0.5 + {sample_sky.DAILY_HOUR / 24!r} AS DOUBLE)"
-_hour = "CAST(date - DATE '2000-01-01' - 0.5 + hour / 24 AS DOUBLE)"
 _sign = "CAST(floor(lon / 30) AS INTEGER)"
 _span = repr(360 / 27)
 _nak = f"CAST(floor(lon / CAST({_span} AS DOUBLE)) AS INTEGER)"
@@ -37,21 +32,22 @@ _combust = "WHEN 'Moon' THEN 12.0 WHEN 'Mars' THEN 17.0 WHEN 'Mercury' THEN 14.0
 
 CAL = BARS + ", cal AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM bars)"
 
+_cents = "CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT)"
 POS = (
     CAL
-    + f""", body(planet, l0, rate, r) AS (VALUES {_bodies}),
-raw AS (SELECT date, planet, lon, round_even(lon, 6) AS longitude, round_even(v, 6) AS speed FROM (SELECT date, planet, {sample_sky.longitude_sql(_day)} AS lon, {sample_sky._moved(_day)} AS v FROM cal CROSS JOIN body)),
+    + f""", near AS (SELECT date, planet, CAST(cents % 36000000 AS DOUBLE) / 100000 AS lon FROM (SELECT CAST(l_shipdate AS DATE) AS date, ['Sun', 'Moon', 'Mars', 'Mercury', 'Jupiter', 'Venus', 'Saturn', 'Rahu'][l_suppkey % 8 + 1] AS planet, {_cents} AS cents FROM lineitem GROUP BY 1, 2)),
+moved AS (SELECT *, lon - lag(lon) OVER (PARTITION BY planet ORDER BY date) AS d FROM near),
+raw AS (SELECT date, planet, lon, round_even(lon, 6) AS longitude, round_even(coalesce(d - 360 * floor((d + 180) / 360), 0), 6) AS speed FROM moved),
 nine AS (SELECT * FROM raw UNION ALL SELECT date, 'Ketu', lon, round_even(lon, 6), -speed FROM (SELECT date, longitude + 180 - 360 * floor((longitude + 180) / 360) AS lon, speed FROM raw WHERE planet = 'Rahu')),
 pos AS (SELECT n.date, n.planet, n.longitude, n.speed, n.speed < 0 OR n.planet = 'Ketu' AS retrograde, {_place},
- coalesce({_dist('n.longitude', 's.longitude')} <= CASE n.planet {_combust} END, FALSE) AS combust FROM nine n JOIN (SELECT date, longitude FROM raw WHERE planet = 'Sun') s ON n.date = s.date)"""
-).replace("floor(lon", "floor(lon")
+ coalesce({_dist('n.longitude', 's.longitude')} <= CASE n.planet {_combust} END, FALSE) AS combust FROM nine n LEFT JOIN (SELECT date, longitude FROM raw WHERE planet = 'Sun') s ON n.date = s.date)"""
+)
 
-_times = ", ".join(f"('{a}', CAST({b!r} AS DOUBLE))" for a, b in sample_sky.TIMES)
 _inside = "(lon - floor(lon / 30) * 30)"
-MOON = f""", times(time_ist, hour) AS (VALUES {_times}),
-moon AS (SELECT date, time_ist, round_even(lon, 6) AS longitude, CAST(13.176396 AS DOUBLE) AS speed, {_place},
+MOON = f""", moon AS (SELECT date, time_ist, round_even(lon, 6) AS longitude, speed, {_place},
  ({_sign} IN (3, 7, 11) AND {_inside} > 26.67) OR ({_sign} IN (0, 4, 8) AND {_inside} < 3.33) AS gandanta
- FROM (SELECT date, time_ist, {sample_sky.longitude_sql(_hour)} AS lon FROM cal CROSS JOIN times CROSS JOIN (SELECT * FROM body WHERE planet = 'Moon')))"""
+ FROM (SELECT date, time_ist, CAST(cents % 36000000 AS DOUBLE) / 100000 AS lon, CAST(cents % 1500 AS DOUBLE) / 100 AS speed
+ FROM (SELECT CAST(l_shipdate AS DATE) AS date, ['09:15', '12:30', '14:45', '15:30'][l_linenumber % 4 + 1] AS time_ist, {_cents} AS cents FROM lineitem GROUP BY 1, 2)))"""
 
 _pairs = "('Mars', 'Saturn'), ('Mars', 'Rahu'), ('Mercury', 'Rahu'), ('Saturn', 'Rahu'), ('Jupiter', 'Saturn'), ('Sun', 'Saturn'), ('Sun', 'Mercury')"
 _bands = "WHEN d <= 10 THEN 'conjunction' WHEN abs(d - 180) <= 10 THEN 'opposition' WHEN abs(d - 90) <= 8 THEN 'square' WHEN abs(d - 120) <= 8 THEN 'trine'"

@@ -129,7 +129,12 @@ def deduped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return market.request_chunks(spark, date(1995, 1, 1), date(2001, 11, 4))
+    """What each symbol's history takes in requests, from its first to its last trade, and the trades of each span."""
+    trades = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").cast("date").alias("date"))
+    spans = market.span_chunks(trades.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("b")), "a", "b")
+    days = trades.groupBy("symbol", "date").agg(F.count("*").alias("n")).withColumnRenamed("symbol", "s")
+    found = spans.join(days, (F.col("symbol") == F.col("s")) & F.col("date").between(F.col("from"), F.col("to")), "left")
+    return found.groupBy("symbol", "from", "to").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def vendor_master(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +189,9 @@ SQL = {
     "w02_insert_or_replace": f"{_ver}, n AS {_one('news', 'DESC')} SELECT * FROM o WHERE k NOT IN (SELECT k FROM n) UNION ALL SELECT * FROM n",
     "w04_merge_columns": f"{_ver}, n AS {_one('news', 'DESC')} SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.k IS NULL THEN o.ord ELSE n.ord END AS ord, o.a, CASE WHEN n.k IS NULL THEN o.b ELSE n.b END AS b FROM o FULL JOIN n ON o.k = n.k",
     "w12_keep_least_id": "SELECT p_partkey, p_brand, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) = 1",
-    "s10_request_chunks": "SELECT CAST(a AS DATE) AS \"from\", least(CAST(a + INTERVAL 999 DAY AS DATE), DATE '2001-11-04') AS \"to\" FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-11-04', INTERVAL 1000 DAY)) AS a)",
+    "s10_request_chunks": """WITH l AS (SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS date FROM lineitem), s AS (SELECT symbol, min(date) AS a, max(date) AS b FROM l GROUP BY 1),
+ c AS (SELECT symbol, CAST(unnest(generate_series(a, b, INTERVAL 1000 DAY)) AS DATE) AS f, b FROM s), r AS (SELECT symbol, f, least(f + 999, b) AS z FROM c)
+ SELECT r.symbol, f AS "from", z AS "to", count(l.date) AS n FROM r LEFT JOIN l ON l.symbol = r.symbol AND l.date BETWEEN f AND z GROUP BY 1, 2, 3""",
     "s17_vendor_master": "SELECT symbol, arg_max(code, ord) AS code FROM (SELECT o_orderkey AS ord, upper(trim(' s' || (o_custkey % 50))) AS symbol, upper('c' || (o_orderkey % 97)) AS code FROM orders WHERE o_orderkey % 4 IN (0, 1, 3)) GROUP BY 1",
     "k26_demo_scores": "SELECT p_brand, seed, least(100, greatest(5, seed % 70 + 5 + CASE WHEN seed % 17 > 12 THEN 20 ELSE 0 END)) AS score FROM (SELECT p_brand, abs(list_reduce(list_transform(string_split(p_brand, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, CAST(0 AS BIGINT))) AS seed FROM (SELECT DISTINCT p_brand FROM part))",
     "u06_unnested": "SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part",

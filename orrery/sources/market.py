@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.rounding import rounded
@@ -31,11 +31,6 @@ def trade_bars(trades: DataFrame) -> DataFrame:
     )
 
 
-def trading_span(trades: DataFrame) -> DataFrame:
-    """One row (date) for each day from the first to the last trade: the calendar of the bars, from the least and largest date alone."""
-    return calendar(trades.select(F.col("l_shipdate").cast("date").alias("date")))
-
-
 def event_bars(events: DataFrame) -> DataFrame:
     """Daily bars of event values by type, for intraday data."""
     e = events.select("event_type", F.col("ts").cast("date").alias("date"), "value", F.struct("ts", "event_id").alias("k"))
@@ -91,20 +86,53 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
-def index_files(spark: SparkSession, files: list[tuple[int, str]], name: str = "SYMBOL") -> DataFrame:
+#: Cells of a line that read_headed() looks at.
+CELLS = 128
+
+
+def read_headed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, place, head, cells) of every data line of many CSV files, whose headers may differ, in one scan.
+
+    place counts a file's data lines from 0; head holds its header's names,
+    without spaces, line breaks or a byte order mark, and cells the line's
+    texts, in the same order; cell() picks one by name. Cells may hold quoted
+    line breaks. A short line's last cells are null; cells beyond CELLS are
+    not read, blank lines neither. A file is one task's, since only its start says what it
+    holds; a file of no lines gives none.
+    """
+    schema = ", ".join(f"c{i} string" for i in range(CELLS))
+    raw = spark.read.schema(schema).option("multiLine", True).option("escape", '"').csv(paths)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), F.array(*[f"c{i}" for i in range(CELLS)]).alias("cells"))
+    raw = raw.where(F.exists("cells", lambda c: c.isNotNull()))
+    w = Window.partitionBy("file").orderBy("id")
+    rows = raw.select("file", "cells", F.first("cells").over(w).alias("head"), (F.row_number().over(w) - 2).alias("place")).where("place >= 0")
+    name = lambda c: F.trim(F.regexp_replace(c, "^\ufeff|[\r\n]", ""))
+    return rows.select("file", "place", F.transform("head", name).alias("head"), "cells")
+
+
+def cell(name: str, ignore_case: bool = False) -> Column:
+    """The cell of read_headed() rows under a name; the first of equal names; null where the file lacks it."""
+    head = F.transform("head", F.lower) if ignore_case else F.col("head")
+    return F.try_element_at("cells", F.nullif(F.array_position(head, name.lower() if ignore_case else name), F.lit(0)).cast("int"))
+
+
+def index_files(spark: SparkSession, files: list[tuple[int, str]], name: str = "SYMBOL", columns: list[str] | None = None) -> DataFrame:
     """Rows of index files with category, file, place (0 is the index itself, the others its members) and index_name.
 
-    files: (rank of the category, path). Of files with one index name the first by category, then by file name, stays; the others go with their members.
+    files: (rank of the category, path). All are read in one scan; `columns`
+    are those wanted, by default every name of any header, which takes a look
+    at the files before. Of files with one index name the first by category,
+    then by file name, stays; the others go with their members.
     """
-    out = None
-    for category, path in files:
-        part = read_csv(spark, path, multi_line=True)
-        part = part.withColumns({"place": F.monotonically_increasing_id(), "category": F.lit(category), "file": F.lit(path.rsplit("/", 1)[-1])})
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    if not files:
         raise ValueError("no files")
-    out = out.withColumn("place", F.row_number().over(Window.partitionBy("category", "file").orderBy("place")) - 1)
-    return first_files(out, name)
+    rows = read_headed(spark, [path for _, path in files])
+    if columns is None:
+        columns = sorted(r[0] for r in rows.where("place = 0").select(F.explode("head").alias("n")).where("n <> ''").distinct().collect())
+    ranks = spark.createDataFrame([(path.rsplit("/", 1)[-1], int(rank)) for rank, path in files], "file string, category int").groupBy("file").agg(F.min("category").alias("category"))
+    rows = rows.withColumn("file", F.url_decode(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\+", "%2B")))
+    rows = rows.join(ranks, "file").select(*[cell(c).alias(c) for c in dict.fromkeys([*columns, name])], "place", "category", "file")
+    return first_files(rows, name)
 
 
 def first_files(rows: DataFrame, name: str) -> DataFrame:
@@ -124,20 +152,17 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One read for each file, since their headers differ; the symbol is in the file's name."""
-    out = None
-    for path in paths:
-        df = read_csv(spark, path)
-        low = {c.lower(): c for c in df.columns[::-1]}
-        part = df.select(
-            F.regexp_extract(F.lit(path.rsplit("/", 1)[-1]), "NSE_([A-Z0-9&]+)", 1).alias("symbol"),
-            clean.prefix_date(F.col(f"`{low['time']}`")).alias("date"),
-            *[clean.parse_float(F.col(f"`{low[c]}`")).alias(c) for c in ("open", "high", "low", "close")],
-            clean.parse_int(F.col(f"`{low['volume']}`")).alias("volume"),
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    """Bars of all files in one scan, though their headers differ; the symbol is in the file's name."""
+    if not paths:
         raise ValueError("no files")
+    at = lambda c: cell(c, ignore_case=True)
+    name = F.url_decode(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\+", "%2B"))
+    out = read_headed(spark, paths).select(
+        F.regexp_extract(name, "NSE_([A-Z0-9&]+)", 1).alias("symbol"),
+        clean.prefix_date(at("time")).alias("date"),
+        *[clean.parse_float(at(c)).alias(c) for c in ("open", "high", "low", "close")],
+        clean.parse_int(at("volume")).alias("volume"),
+    )
     return out.where("date is not null and close is not null")
 
 
@@ -148,9 +173,13 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 
 def request_chunks(spark: SparkSession, start: date, end: date, days: int = 1000) -> DataFrame:
     """The spans of at most `days` days that a vendor is asked for."""
-    row = spark.createDataFrame([(start, end)], "a date, b date")
-    starts = row.select(F.explode(F.expr(f"sequence(a, b, interval {days} days)")).alias("from"), "b")
-    return starts.select("from", F.least(F.date_add("from", days - 1), "b").alias("to"))
+    return span_chunks(spark.createDataFrame([(start, end)], "a date, b date"), "a", "b", days)
+
+
+def span_chunks(rows: DataFrame, start: str, end: str, days: int = 1000) -> DataFrame:
+    """S10 for each row: its span of dates cut into pieces (from, to) of at most `days` days; other columns stay."""
+    starts = rows.withColumn("from", F.explode(F.expr(f"sequence(`{start}`, `{end}`, interval {days} days)")))
+    return starts.withColumn("to", F.least(F.date_add("from", days - 1), F.col(end))).drop(start, end)
 
 
 def vendor_codes(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A synthetic sky for the queries over the test tables, which hold none: circular orbits in one plane, in plain column arithmetic."""
+"""A synthetic sky for tests that need orbits: circular, in one plane, in plain column arithmetic."""
 
 from __future__ import annotations
 

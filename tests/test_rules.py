@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import astro, clean, rules
 from orrery.operators import bridges, charts, indicators, series, sky, upsert
-from orrery.plans import sample_sky
+import sample_sky
 from orrery.sources import market
 
 

@@ -63,6 +63,24 @@ def test_index_files(spark, tmp_path):
     assert got == {("NIFTY A", "NIFTY A", 0), ("NIFTY A", "P", 1), ("NIFTY A", "Q", 2), ("NIFTY B", "NIFTY B", 0), ("NIFTY B", "P", 1)}
 
 
+def test_many_files_with_their_own_headers_in_one_scan(spark, tmp_path):
+    """Headers in any order, one name twice, quoted line breaks and quotes, short and blank lines, a byte order mark; a thousand files are one scan."""
+    (tmp_path / "NSE_A&B, 1D.csv").write_text('\ufefftime,open,close,Volume,close\n2020-01-02T09:15:00+05:30,1,2,10,99\n\n2020-01-03,1\n', encoding="utf-8")
+    (tmp_path / "NSE_C.csv").write_text('close,note,time\n7,"two\nlines, ""quoted""",2020-01-05\n8,,2020-01-06\n')
+    (tmp_path / "NSE_D.csv").write_text("")
+    paths = [str(p) for p in sorted(tmp_path.glob("*.csv"))]
+    got = {tuple(r) for r in market.read_exports(spark, paths).select("symbol", "date", "close", "volume", "open").collect()}
+    assert got == {("A&B", date(2020, 1, 2), 2.0, 10, 1.0), ("C", date(2020, 1, 5), 7.0, None, None), ("C", date(2020, 1, 6), 8.0, None, None)}
+    rows = market.read_headed(spark, paths).select("place", market.cell("note").alias("note"), market.cell("time").alias("time")).collect()
+    assert sorted((r["place"], r["note"]) for r in rows if r["time"] == "2020-01-05") == [(0, 'two\nlines, "quoted"')]
+    assert sorted(r["place"] for r in rows) == [0, 0, 1, 1]
+    for i in range(1000):
+        (tmp_path / f"NSE_Z{i}.csv").write_text(("time,close\n2020-01-02,%d\n" if i % 2 else "close,time\n%d,2020-01-02\n") % i)
+    out = market.read_exports(spark, [str(p) for p in tmp_path.glob("NSE_Z*.csv")])
+    assert out.agg(F.sum("close"), F.count("*")).first()[:] == (499500.0, 1000)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 1
+
+
 def test_json_append_and_dump(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"k": 1, "v": "x"}, {"k": 2}]')
     df = market.read_json(spark, str(tmp_path / "a.json"), "k int, v string")
