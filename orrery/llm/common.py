@@ -64,6 +64,14 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def repeated(df: DataFrame, copies: str, most: int = 1 << 16) -> DataFrame:
+    """Each row as often as its column `copies` says (0 or null: not at all), without that column; no list is longer than `most`, unless copies exceed its square."""
+    block, at = free_names(df.columns, "block", "at")
+    df = df.where(F.col(copies) > 0).withColumn(block, F.explode(F.expr(f"sequence(0L, ({copies} - 1) div {most})")))
+    df = df.withColumn(at, F.explode(F.expr(f"sequence(1L, least({most}L, {copies} - {block} * {most}))")))
+    return df.drop(block, at, copies)
+
+
 def free_names(columns: list[str], *wanted: str) -> list[str]:
     """The wanted names, each with as many underscores before it as make it unlike all columns (in any case) and one another."""
     taken, out = {c.lower() for c in columns}, []

@@ -6,7 +6,9 @@ partitions once, packed; each partition sums them up over all chunks and sends
 every chunk the totals of what it asked for; the chunk joins them to the
 n-grams of its documents and sums up by document. A frequent n-gram so costs
 one entry a chunk, however often it occurs, and there are no more rows than
-distinct n-grams of chunks, and no more than chunks times partitions.
+distinct n-grams of chunks, and no more than chunks times partitions. Rows equal
+in id and text are one entry with a number of copies, counted before the
+shuffle, so that no chunk gets them all.
 
 N-grams are told apart by 64-bit hashes: two that share one count as one.
 """
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, textpack
-from .jaccard import _dealt, _gathered
+from .jaccard import MOST_BROADCAST, _dealt, _gathered
 
 BACKOFF = 0.4
 #: Bytes of text in a chunk, and in the chunks that ask one partition, about.
@@ -65,10 +67,15 @@ def _unpacked_counts(data: bytes, many: int) -> np.ndarray:
 
 
 def _asked(table: pa.Table, order: int, buckets: int) -> pa.Table:
-    _, grams, _, _ = _chunk(table, order)
-    h, n = np.unique(grams, return_counts=True)
-    out = _dealt((textpack.mix(h) % np.uint64(buckets)).astype(np.int64), [h, n.astype("<u4")], ["bucket", "h", "n"])
-    out = out.set_column(2, "n", pa.array([_packed_counts(np.frombuffer(x, "<u4")) for x in out.column(2).to_pylist()], pa.binary()))
+    doc, grams, _, _ = _chunk(table, order)
+    copies = table.column("copies").to_numpy()
+    if (copies > 1).any():
+        h, inverse = np.unique(grams, return_inverse=True)
+        n = np.bincount(inverse, copies[doc], len(h))
+    else:
+        h, n = np.unique(grams, return_counts=True)
+    out = _dealt((textpack.mix(h) % np.uint64(buckets)).astype(np.int64), [h, n.astype("<u8")], ["bucket", "h", "n"])
+    out = out.set_column(2, "n", pa.array([_packed_counts(np.frombuffer(x, "<u8")) for x in out.column(2).to_pylist()], pa.binary()))
     chunk = pa.array(np.full(len(out), table.column("chunk")[0].as_py()), pa.int64())
     return pa.table([out.column(0), chunk, out.column(1), out.column(2)], names=["bucket", "chunk", "h", "n"])
 
@@ -85,7 +92,7 @@ def _answered(table: pa.Table) -> pa.Table:
 
 
 def _scored(table: pa.Table, answers: pa.Table, order: int, buckets: int, own: bool) -> pa.Table:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("backed_off", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("backed_off", pa.int64()), ("copies", pa.int64())])
     if not len(table):
         return schema.empty_table()
     doc, grams, sizes, count = _chunk(table, order)
@@ -123,7 +130,21 @@ def _scored(table: pa.Table, answers: pa.Table, order: int, buckets: int, own: b
     value[unknown] = 1 / (counts[0][unknown] + 1)
     level[unknown] = np.minimum(place[unknown], order - 1)
     logs = np.log10(value) + level * np.log10(BACKOFF)
-    return pa.table([table.column("doc_id").combine_chunks(), pa.array(count), pa.array(np.bincount(doc[: sizes[0]], logs, len(count))), pa.array(np.bincount(doc[: sizes[0]], level > 0, len(count)).astype(np.int64))], schema=schema)
+    return pa.table([table.column("doc_id").combine_chunks(), pa.array(count), pa.array(np.bincount(doc[: sizes[0]], logs, len(count))), pa.array(np.bincount(doc[: sizes[0]], level > 0, len(count)).astype(np.int64)), table.column("copies").combine_chunks()], schema=schema)
+
+
+def _counted_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, copies) of the different rows. Only the text of rows that occur more than once is grouped, within tasks first."""
+    rows = docs.withColumn("hash", F.xxhash64("text"))
+    often = rows.groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), F.col("hash").alias("h"))
+    often = common.written(often, "repeated")
+    many = often.count()
+    if not many:
+        return docs.withColumn("copies", F.lit(1).cast("long"))
+    often = F.broadcast(often) if many <= MOST_BROADCAST else often
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h"))
+    once = rows.join(often, same, "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    return once.union(rows.join(often, same, "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("copies")))
 
 
 def score_documents(docs: DataFrame, order: int = 2, leave_out_own: bool = True) -> DataFrame:
@@ -137,8 +158,9 @@ def score_documents(docs: DataFrame, order: int = 2, leave_out_own: bool = True)
     backed_off counts words whose full context had to be shortened.
 
     Null and empty texts have no words and score 0. Rows are scored one by one:
-    repeated rows count each other, null ids and shared ids too. A long text is
-    in one chunk, whole. Other columns are not read. An empty table gives no
+    repeated rows count each other, null ids and shared ids too; rows equal in
+    id and text are scored once and given out as often as they occur. A long
+    text is in one chunk, whole. Other columns are not read. An empty table gives no
     rows.
     """
     spark = docs.sparkSession
@@ -148,12 +170,13 @@ def score_documents(docs: DataFrame, order: int = 2, leave_out_own: bool = True)
     grams = size * (order + 1) // 3  # longer n-grams fill a chunk with less text
     chunks = max(common.partitions(spark, 2), grams // CHUNK_BYTES)
     buckets = max(common.partitions(spark), grams // (4 * CHUNK_BYTES))  # a row goes from each chunk to each
-    rows = docs.select("doc_id", text.alias("text"))
+    rows = _counted_rows(docs.select("doc_id", text.alias("text")))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    asked = rows.groupBy("chunk").applyInArrow(lambda t: _asked(_in_order(t), order, buckets), "bucket int, chunk long, h binary, n binary")
+    asked = rows.groupBy("chunk").applyInArrow(lambda t: _asked(t, order, buckets), "bucket int, chunk long, h binary, n binary")
     answers = asked.groupBy("bucket").applyInArrow(_answered, "chunk long, bucket int, totals binary")
     joined = rows.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return joined.applyInArrow(lambda t, a: _scored(_in_order(t) if len(t) else t, a, order, buckets, leave_out_own), "doc_id long, n_words long, score double, backed_off long")
+    scored = joined.applyInArrow(lambda t, a: _scored(_in_order(t) if len(t) else t, a, order, buckets, leave_out_own), "doc_id long, n_words long, score double, backed_off long, copies long")
+    return common.repeated(scored, "copies")
 
 
 def _in_order(table: pa.Table) -> pa.Table:

@@ -381,6 +381,36 @@ def test_lm_trigrams_by_brute_force(spark):
         assert math.isclose(score, want, abs_tol=1e-6)
 
 
+def test_lm_scores_of_a_hot_row(spark):
+    """Fifty thousand copies of one row with a null id, dealt as one row; each copy is told from the others."""
+    many, others = 50_000, [(1, "a b a c"), (1, "b c d"), (2, "a b c"), (2, "a b c"), (None, None), (None, "")]
+    hot = spark.range(many).select(F.lit(None).cast("long").alias("doc_id"), F.lit("A b c a").alias("text"))
+    docs = hot.union(spark.createDataFrame(others, "doc_id long, text string"))
+    counted = lmscore._counted_rows(docs.withColumn("text", F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+    assert sorted(r["copies"] for r in counted.collect()) == [1, 1, 2, 2, many]
+    got = Counter((d, n, round(s, 9), b) for d, n, s, b in rows(lmscore.score_documents(docs)))
+    words = Counter({(None, "a b c a"): many}) + Counter((d, t or "") for d, t in others)
+    grams = {t: Counter(tuple(t.split()[i : i + g]) for g in (0, 1, 2) for i in range(len(t.split()) - max(g, 1) + 1)) for _, t in words}
+    total = Counter()
+    for (_, t), n in words.items():
+        for g, c in grams[t].items():
+            total[g] += n * c
+    want = Counter()
+    for (d, t), n in words.items():
+        c, w, score, off = total - grams[t], t.split(), 0.0, 0
+        for i in range(len(w)):
+            for back in range(min(i, 1), -1, -1):
+                g = tuple(w[i - back : i + 1])
+                if c[g] and c[g[:-1]]:
+                    score += math.log10(c[g] / c[g[:-1]])
+                    break
+            else:
+                back, score = 0, score + math.log10(1 / (c[()] + 1))
+            score, off = score + (min(i, 1) - back) * math.log10(0.4), off + (back < min(i, 1))
+        want[d, len(w), round(score, 9), off] += n
+    assert got == want
+
+
 def test_a_registered_query_scores_trigrams(spark):
     small = DATA.replace("0.01", "0.001")
     got = queries.QUERIES["op6_lm_scoring_order3"](spark, small)
