@@ -126,12 +126,12 @@ _ready: dict = {}
 
 
 def _once(kind: str, broadcast, make):
-    """One object a Python worker, made from the broadcast vocabulary."""
-    key = (kind, broadcast.id if hasattr(broadcast, "id") else id(broadcast))
-    if key not in _ready:
-        _ready.clear() if len(_ready) > 4 else None
-        _ready[key] = make(broadcast.value)
-    return _ready[key]
+    """One object of a kind in a Python worker, made from the broadcast vocabulary; that of an earlier broadcast is dropped first."""
+    key = broadcast.id if hasattr(broadcast, "id") else id(broadcast)
+    if _ready.get(kind, (None, None))[0] != key:
+        _ready.pop(kind, None)
+        _ready[kind] = key, make(broadcast.value)
+    return _ready[kind][1]
 
 
 def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, work) -> DataFrame:

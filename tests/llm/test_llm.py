@@ -129,6 +129,16 @@ def test_bpe_equals_the_library(spark):
     assert bpe.digests(cases.empty(spark)).isEmpty()
 
 
+def test_a_worker_keeps_one_encoder():
+    class Shared:
+        def __init__(self, number):
+            self.id, self.value = number, number
+
+    made = [bpe._once("encode-test", Shared(i), lambda v: [v]) for i in (-1, -2, -2)]
+    assert made == [[-1], [-2], [-2]] and made[1] is made[2] and bpe._ready["encode-test"] == (-2, [-2])
+    del bpe._ready["encode-test"]
+
+
 def test_other_kinds_of_vocabulary_are_refused(tmp_path):
     import json
 
