@@ -134,23 +134,33 @@ def _once(kind: str, broadcast, make):
     return _ready[kind][1]
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, work) -> DataFrame:
-    """df with the binary column `target` made from the bytes of `source`, slice by slice."""
-    df = df.drop(target)
+def _mapped(df: DataFrame, source: str, targets: dict[str, T.DataType], work) -> DataFrame:
+    """df with the columns `targets` made from `source` in one pass, slice by slice: work() gives a function from a column to a list of columns."""
+    df = df.drop(*targets)
     common.small_batches(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField(target, kind)])
-    arrow = pa.string() if isinstance(kind, T.StringType) else pa.binary()
+    schema = T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in targets.items())])
+    arrow = [pa.string() if isinstance(kind, T.StringType) else pa.binary() for kind in targets.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = work()
         for batch in batches:
             for part, _, _ in textpack.slices(batch, source):
-                out = pa.array(call(part.column(source)), arrow)
-                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, target])
+                out = [pa.array(column, kind) for column, kind in zip(call(part.column(source)), arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*part.schema.names, *targets])
 
     return df.mapInArrow(run, schema)
 
 
+def _encoder(shared):
+    encoder = _once("encode", shared, Encoder)
+    return lambda column: [encoder.encode(x.as_py() or "") for x in column]
+
+
+def _decoder(shared):
+    tokens = _once("decode", shared, lambda v: v["tokens"])
+    return lambda packed: [b"".join(map(tokens.__getitem__, array("I", x or b""))).decode("utf-8", "replace") for x in packed]
+
+
 def encode(df: DataFrame, vocabulary: dict, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with binary column `ids`: each whole text's token ids, little-endian unsigned 32 bits each.
 
@@ -162,10 +172,10 @@ def encode(df: DataFrame, vocabulary: dict, text: str = "text", ids: str = "ids"
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work():
-        encoder = _once("encode", shared, Encoder)
-        return lambda column: [encoder.encode(x.as_py() or "") for x in column]
+        call = _encoder(shared)
+        return lambda column: [call(column)]
 
-    return _mapped(df, text, ids, T.BinaryType(), work)
+    return _mapped(df, text, {ids: T.BinaryType()}, work)
 
 
 def decode(df: DataFrame, vocabulary: dict, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -173,10 +183,26 @@ def decode(df: DataFrame, vocabulary: dict, ids: str = "ids", text: str = "decod
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work():
-        tokens = _once("decode", shared, lambda v: v["tokens"])
-        return lambda column: [b"".join(map(tokens.__getitem__, array("I", x.as_py() or b""))).decode("utf-8", "replace") for x in column]
+        call = _decoder(shared)
+        return lambda column: [call(x.as_py() for x in column)]
+
+    return _mapped(df, ids, {text: T.StringType()}, work)
+
+
+def encode_and_decode(df: DataFrame, vocabulary: dict, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """What decode(encode(df)) gives, in one pass: a task then needs one Python worker in place of two."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def work():
+        there, back = _encoder(shared), _decoder(shared)
+
+        def call(column):
+            packed = there(column)
+            return [packed, back(packed)]
+
+        return call
 
-    return _mapped(df, ids, text, T.StringType(), work)
+    return _mapped(df, text, {ids: T.BinaryType(), decoded: T.StringType()}, work)
 
 
 def vocabulary_path() -> str:
@@ -188,7 +214,7 @@ def vocabulary_path() -> str:
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, null and empty texts with 0 tokens; repeated rows and ids stay, other columns are not read, an empty table gives no rows."""
     vocabulary = load_vocabulary(path or vocabulary_path())
-    coded = decode(encode(df.select("doc_id", "text"), vocabulary).select("doc_id", "ids"), vocabulary)
+    coded = encode_and_decode(df.select("doc_id", "text"), vocabulary)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

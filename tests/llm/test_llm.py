@@ -126,6 +126,8 @@ def test_bpe_equals_the_library(spark):
     for r in coded:
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == reference.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["decoded"] == (r["text"] or "")
+    both = bpe.encode_and_decode(cases.documents(spark, texts), vocabulary).select("text", "ids", "decoded", "shard").collect()
+    assert sorted(both, key=repr) == sorted(coded, key=repr)
     assert bpe.digests(cases.empty(spark)).isEmpty()
 
 
