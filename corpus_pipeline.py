@@ -72,7 +72,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each whole text, and checksums of the ids and of what they decode to. Null and empty texts have no tokens; every row stays."""
     vocabulary = bpe.load_vocabulary(bpe.vocabulary_path())
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text", "lang", "source"), vocabulary).drop("text"), vocabulary)
+    coded = bpe.encode_and_decode(docs.select("doc_id", "text", "lang", "source"), vocabulary)
     return coded.select(
         "doc_id",
         "lang",
