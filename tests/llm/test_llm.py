@@ -672,3 +672,37 @@ def test_null_ids_and_shared_ids(spark):
     assert base.count() == n
     assert sharding.interleave(docs, 4, F.col("source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).count() == n
     assert repeats.cleaned_documents(docs).where("text is not null").count() < n
+
+
+def test_stages_on_odd_tables(spark):
+    """Quality, repeats, mixture and tokens with null, empty and repeated texts, null and shared ids, and columns of clashing names."""
+    import corpus_pipeline
+
+    texts = cases.texts(9, 10)
+    data = [(None if i % 7 == 3 else i // 2, t, None if i % 4 == 1 else "en", None if i % 5 == 2 else "web", None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(data + data[:6], cases.SCHEMA).withColumns({c: F.lit(v) for c, v in cases.CLASH.items()})
+    given = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+
+    good = corpus_pipeline.quality_stage(spark, docs, DATA)
+    assert tuple(good.columns) == corpus_pipeline.COLUMNS
+    kept = Counter((r["doc_id"], r["text"]) for r in good.collect())
+    assert all(given[k] == n for k, n in kept.items())  # equal rows share their fate
+
+    whole = corpus_pipeline.repeats_stage(spark, docs, DATA)
+    assert tuple(whole.columns) == corpus_pipeline.COLUMNS
+    bare = Counter(k for k in given.elements() if not k[1])
+    assert Counter((r["doc_id"], r["text"]) for r in whole.collect() if not r["text"]) == bare
+
+    mixed = corpus_pipeline.mixing_stage(spark, docs, DATA)
+    assert not Counter((r["doc_id"], r["text"]) for r in mixed.collect()) - given
+
+    coded = corpus_pipeline.token_stage(spark, docs, DATA).collect()
+    vocabulary = bpe.load_vocabulary(bpe.vocabulary_path())["tokens"]
+    decoded = lambda r: b"".join(vocabulary[i] for i in np.frombuffer(bytes(r["ids"]), "<u4")).decode()
+    assert Counter((r["doc_id"], decoded(r)) for r in coded) == Counter((i, t or "") for i, t in given.elements())
+    for r in coded:
+        assert r["n_tokens"] * 4 == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(r["ids"]).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(decoded(r).encode()).hexdigest()
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, cases.empty(spark), DATA).isEmpty()
