@@ -74,7 +74,9 @@ def shapes_found(spark: SparkSession, d: str) -> DataFrame:
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
     e = table(spark, d, "events").select("event_type", F.col("ts").cast("date").alias("day"), F.col("event_id").cast("string").alias("id"), "user_id", k.alias("k"))
     entry = F.struct(F.concat(F.lit(" u"), "user_id").alias("symbol"), F.concat(F.lit("k"), "k").alias("stock_code"), F.when(F.col("k") % 3 == 0, "be").otherwise("eq").alias("series"))
-    docs = e.groupBy("event_type", "day").agg(F.to_json(F.struct(F.lit(1).alias("version"), F.map_from_entries(F.collect_list(F.struct("id", entry))).alias("master"))).alias("text"))
+    line = F.concat(F.lit('"'), "id", F.lit('":'), F.to_json(entry))
+    master = F.array_join(F.collect_list(line), ",")
+    docs = e.groupBy("event_type", "day").agg(F.concat(F.lit('{"version":1,"master":{'), master, F.lit("}}")).alias("text"))
     docs = docs.select(F.concat_ws(":", "event_type", "day").alias("doc"), "text")
     return shapes.codes(shapes.entries(docs, "doc", "text", least=20))
 

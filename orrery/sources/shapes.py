@@ -21,18 +21,36 @@ def cells(line: Column) -> Column:
 
 
 def _children(nodes: DataFrame) -> DataFrame:
-    """(doc, path, pos, key, value) of each entry of an object or list; objects' entries come in the order of their keys."""
-    each = nodes.lateralJoin(nodes.sparkSession.tvf.variant_explode(F.col("v").outer()))
-    return each.select("doc", "path", "pos", "key", "value")
+    """(doc, path, pos, key, value) of each entry of an object or list; objects' entries come in the order of their keys.
+
+    Each value is a variant of its own: those of variant_explode would all hold
+    the names of their whole document, the square of its entries in all.
+    """
+    fields = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
+    items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    each = nodes.select("doc", "path", F.posexplode(F.coalesce(fields, items)).alias("pos", "item"))
+    return each.select("doc", "path", "pos", "item.key", "item.value")
+
+
+def _kind(value: Column) -> Column:
+    """The first character of the value's JSON: { of an object, [ of a list, a quote of a string."""
+    return F.substring(F.to_json(value), 1, 1)
+
+
+def _record(value: Column) -> Column:
+    """The fields of an entry that count, as strings."""
+    return F.try_variant_get(value, "$", f"struct<{', '.join(f'{k}: string' for k in [*SYMBOL_KEYS, *CODE_KEYS, 'series'])}>")
 
 
-def _first(value: Column, keys: list[str]) -> Column:
+def _first(record: str, keys: list[str]) -> Column:
     """The first of the keys whose value is not empty."""
-    return F.coalesce(*[F.nullif(F.try_variant_get(value, f"$.{k}", "string"), F.lit("")) for k in keys])
+    return F.coalesce(*[F.nullif(F.col(f"{record}.{k}"), F.lit("")) for k in keys])
 
 
 def _has(value: Column, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (F.coalesce(F.schema_of_variant(value).rlike(rf"(?i)(OBJECT<|, )\s*`?{k}`?:"), F.lit(False)) for k in keys))
+    """Whether an object has one of the keys itself, in any case; the keys of what it holds do not count."""
+    own = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.coalesce(F.arrays_overlap(F.transform(own, F.lower), F.array(*map(F.lit, keys))), F.lit(False))
 
 
 def entries(docs: DataFrame, doc: str, text: str, least: int = 101, depth: int = 3, least_lines: int = 51) -> DataFrame:
@@ -45,20 +63,23 @@ def entries(docs: DataFrame, doc: str, text: str, least: int = 101, depth: int =
     breaks. The first entry tells the shape, as with files of one writer;
     entries that lack a name have nulls.
     """
-    nodes = docs.select(F.col(doc).alias("doc"), F.lit("$").alias("path"), F.try_parse_json(text).alias("v")).where("v is not null")
+    docs = cut(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), "documents")  # two branches read it
+    nodes = docs.select("doc", F.lit("$").alias("path"), F.try_parse_json("text").alias("v")).withColumn("kind", _kind(F.col("v")))
     found, lines = [], []
     for level in range(depth + 1):
-        lines.append(nodes.select("doc", "path", F.try_variant_get("v", "$", "string").alias("csv"), F.schema_of_variant("v").alias("kind")).where("kind = 'STRING'"))
+        lines.append(nodes.where("kind = '\"'").select("doc", "path", F.try_variant_get("v", "$", "string").alias("csv")))
         if level == depth:
             break
-        each = cut(_children(nodes), "entries")  # four branches read it
-        many = each.where("pos = 0").select("doc", "path", (_has(F.col("value"), SYMBOL_KEYS) & _has(F.col("value"), CODE_KEYS)).alias("is_table"))
-        sizes = each.groupBy("doc", "path").agg(F.count("*").alias("n"))
-        tables = sizes.where(F.col("n") >= least).join(many.where("is_table"), ["doc", "path"]).select("doc", "path")
+        each = _children(nodes)
+        shape = F.when(F.col("pos") == 0, _has(F.col("value"), SYMBOL_KEYS) & _has(F.col("value"), CODE_KEYS))
+        each = cut(each.withColumns({"is_table": shape, "kind": _kind(F.col("value")), "r": _record(F.col("value"))}), "entries")  # four branches read it
+        sizes = each.groupBy("doc", "path").agg(F.count("*").alias("n"), F.max("is_table").alias("is_table"))
+        tables = sizes.where((F.col("n") >= least) & F.col("is_table")).select("doc", "path")
         rows = each.join(tables, ["doc", "path"], "left_semi")
-        found.append(rows.select("doc", "path", "pos", _first(F.col("value"), SYMBOL_KEYS).alias("symbol"), _first(F.col("value"), CODE_KEYS).alias("code"), F.try_variant_get("value", "$.series", "string").alias("series")))
+        found.append(rows.select("doc", "path", "pos", _first("r", SYMBOL_KEYS).alias("symbol"), _first("r", CODE_KEYS).alias("code"), F.col("r.series").alias("series")))
         step = F.concat("path", F.coalesce(F.concat(F.lit("."), F.col("key")), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))))
-        nodes = each.join(tables, ["doc", "path"], "left_anti").select("doc", step.alias("path"), F.col("value").alias("v")).where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY|STRING)"))
+        deeper = each.where(F.col("kind").isin("{", "[", '"')).join(tables, ["doc", "path"], "left_anti")
+        nodes = deeper.select("doc", step.alias("path"), F.col("value").alias("v"), "kind")
     text_ = reduce(DataFrame.union, lines)
     text_ = text_.select("doc", "path", F.split(F.trim("csv"), "\n").alias("lines")).where(F.size("lines") >= least_lines)
     text_ = text_.withColumn("head", F.transform(cells(F.col("lines")[0]), lambda c: F.lower(F.trim(c))))
@@ -72,6 +93,6 @@ def entries(docs: DataFrame, doc: str, text: str, least: int = 101, depth: int =
 def codes(rows: DataFrame) -> DataFrame:
     """(doc, symbol, code): entries without a series or of series EQ, trimmed and in upper case, of each document's first table that has any; of one symbol the last entry counts."""
     clean = rows.withColumns({c: F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in ("symbol", "code", "series")})
-    clean = clean.where("series in ('', 'EQ') and symbol <> '' and code <> ''")
+    clean = cut(clean.where("series in ('', 'EQ') and symbol <> '' and code <> ''"), "codes")  # two branches read it
     first = clean.groupBy("doc").agg(F.min("path").alias("path"))
     return clean.join(first, ["doc", "path"], "left_semi").groupBy("doc", "symbol").agg(F.max_by("code", "pos").alias("code"))

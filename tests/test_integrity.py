@@ -102,3 +102,16 @@ def test_tables_of_unknown_shape(spark):
     for r in shapes.codes(shapes.entries(spark.createDataFrame(rows, "id string, text string"), "id", "text")).collect():
         got.setdefault(r["doc"], {})[r["symbol"]] = r["code"]
     assert got == {"dict": want, "list": want, "csv": want, "twice": {"S1": "LAST"}}
+
+
+def test_entries_do_not_carry_the_names_of_their_document(spark):
+    """Each entry is as large as itself, or a document's entries would grow with their square; the names that nested objects have make no table of the outer one."""
+    item = lambda i: {"symbol": f"s{i}", "stock_code": f"c{i}"}
+    docs = spark.createDataFrame([("wide", json.dumps({f"id{i:04}": item(i) for i in range(2000)}))], "doc string, text string")
+    nodes = docs.select("doc", F.lit("$").alias("path"), F.try_parse_json("text").alias("v"))
+    values = [r["value"] for r in shapes._children(nodes).collect()]
+    assert len(values) == 2000 and max(len(v.metadata) + len(v.value) for v in values) < 200
+    groups = {f"g{g:03}": [item(i) for i in range(105)] for g in range(110)}
+    nested = spark.createDataFrame([("nested", json.dumps(groups))], "doc string, text string")
+    got = shapes.entries(nested, "doc", "text")
+    assert got.where("symbol is not null and code is not null").count() == got.count() == 110 * 105
