@@ -22,11 +22,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back, so that a lost executor costs no recomputation."""
+#: Spark's setting that shuffle files go as soon as the query that wrote them ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, freed: bool = False) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    freed: its shuffle files are gone once it is written. Else they go when the
+    cleaner finds them, which is often only after the next query.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREED, "false")
+    try:
+        spark.conf.set(FREED, "true" if freed else before)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREED, before)
     spark._jvm.System.gc()  # the cleaner drops the shuffle files of jobs that nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 

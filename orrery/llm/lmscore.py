@@ -6,7 +6,10 @@ partitions once, packed; each partition sums them up over all chunks and sends
 every chunk the totals of what it asked for; the chunk joins them to the
 n-grams of its documents and sums up by document. A frequent n-gram so costs
 one entry a chunk, however often it occurs, and there are no more rows than
-distinct n-grams of chunks, and no more than chunks times partitions. Rows equal
+distinct n-grams of chunks, and no more than chunks times partitions. Trigrams
+and longer ones are asked for in several passes, each over a range of the hashes,
+so that only one pass's questions are on disk at a time; the answers, a byte or
+so for an n-gram, are written to the shared folder. Rows equal
 in id and text are one entry with a number of copies, counted before the
 shuffle, so that no chunk gets them all.
 
@@ -15,6 +18,8 @@ N-grams are told apart by 64-bit hashes: two that share one count as one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,15 +71,24 @@ def _unpacked_counts(data: bytes, many: int) -> np.ndarray:
     return n
 
 
-def _asked(table: pa.Table, order: int, buckets: int) -> pa.Table:
+def _bucket(h: np.ndarray, buckets: int, passes: int) -> np.ndarray:
+    """The partition of each hash; each pass, a range of the hashes, has `buckets` of its own."""
+    starts = np.array([(p << 64) // passes for p in range(passes)], np.uint64)
+    return (textpack.mix(h) % np.uint64(buckets)).astype(np.int64) + buckets * (np.searchsorted(starts, h, "right") - 1)
+
+
+def _asked(table: pa.Table, order: int, buckets: int, passes: int, now: int) -> pa.Table:
     doc, grams, _, _ = _chunk(table, order)
+    if passes > 1:
+        mine = (grams >= np.uint64((now << 64) // passes)) & (grams <= np.uint64(((now + 1 << 64) // passes) - 1))
+        doc, grams = doc[mine], grams[mine]
     copies = table.column("copies").to_numpy()
     if (copies > 1).any():
         h, inverse = np.unique(grams, return_inverse=True)
         n = np.bincount(inverse, copies[doc], len(h))
     else:
         h, n = np.unique(grams, return_counts=True)
-    out = _dealt((textpack.mix(h) % np.uint64(buckets)).astype(np.int64), [h, n.astype("<u8")], ["bucket", "h", "n"])
+    out = _dealt(_bucket(h, buckets, passes), [h, n.astype("<u8")], ["bucket", "h", "n"])
     out = out.set_column(2, "n", pa.array([_packed_counts(np.frombuffer(x, "<u8")) for x in out.column(2).to_pylist()], pa.binary()))
     chunk = pa.array(np.full(len(out), table.column("chunk")[0].as_py()), pa.int64())
     return pa.table([out.column(0), chunk, out.column(1), out.column(2)], names=["bucket", "chunk", "h", "n"])
@@ -91,16 +105,16 @@ def _answered(table: pa.Table) -> pa.Table:
     return pa.table([table.column("chunk"), table.column("bucket"), totals], names=["chunk", "bucket", "totals"])
 
 
-def _scored(table: pa.Table, answers: pa.Table, order: int, buckets: int, own: bool) -> pa.Table:
+def _scored(table: pa.Table, answers: pa.Table, order: int, buckets: int, passes: int, own: bool) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("backed_off", pa.int64()), ("copies", pa.int64())])
     if not len(table):
         return schema.empty_table()
     doc, grams, sizes, count = _chunk(table, order)
     h, inverse = np.unique(grams, return_inverse=True)
-    bucket = (textpack.mix(h) % np.uint64(buckets)).astype(np.int64)
+    bucket = _bucket(h, buckets, passes)
     total = np.zeros(len(h))
     by = np.argsort(bucket, kind="stable")  # as _dealt orders what a chunk asks for
-    at = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    at = np.searchsorted(bucket[by], np.arange(buckets * passes + 1))
     for b, totals in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
         total[by[at[b] : at[b + 1]]] = _unpacked_counts(totals, at[b + 1] - at[b])
     seen = total[inverse]
@@ -169,13 +183,21 @@ def score_documents(docs: DataFrame, order: int = 2, leave_out_own: bool = True)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     grams = size * (order + 1) // 3  # longer n-grams fill a chunk with less text
     chunks = max(common.partitions(spark, 2), grams // CHUNK_BYTES)
-    buckets = max(common.partitions(spark), grams // (4 * CHUNK_BYTES))  # a row goes from each chunk to each
+    passes = order if order > 2 else 1
+    buckets = -(-max(common.partitions(spark), grams // (4 * CHUNK_BYTES)) // passes)  # of a pass; a row goes from each chunk to each of all passes
     rows = _counted_rows(docs.select("doc_id", text.alias("text")))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    asked = rows.groupBy("chunk").applyInArrow(lambda t: _asked(t, order, buckets), "bucket int, chunk long, h binary, n binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answered, "chunk long, bucket int, totals binary")
+
+    def answered(now: int) -> DataFrame:
+        asked = rows.groupBy("chunk").applyInArrow(lambda t: _asked(t, order, buckets, passes, now), "bucket int, chunk long, h binary, n binary")
+        return asked.groupBy("bucket").applyInArrow(_answered, "chunk long, bucket int, totals binary")
+
+    if passes == 1:
+        answers = answered(0)
+    else:
+        answers = reduce(DataFrame.union, [common.written(answered(now), "totals", freed=True) for now in range(passes)])
     joined = rows.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    scored = joined.applyInArrow(lambda t, a: _scored(_in_order(t) if len(t) else t, a, order, buckets, leave_out_own), "doc_id long, n_words long, score double, backed_off long, copies long")
+    scored = joined.applyInArrow(lambda t, a: _scored(_in_order(t) if len(t) else t, a, order, buckets, passes, leave_out_own), "doc_id long, n_words long, score double, backed_off long, copies long")
     return common.repeated(scored, "copies")
 
 

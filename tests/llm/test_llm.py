@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,6 +424,18 @@ def test_lm_scores_of_a_hot_row(spark):
     assert got == want
 
 
+def test_passes_share_the_trigrams_of_a_chunk():
+    """Each pass asks for a part of the n-grams, all passes for each n-gram once, with its count."""
+    source = random.Random(6)
+    texts = [" ".join(source.choices("abcdefghijklmnopqrstuvwxyz", k=700)).encode() for _ in range(4)]
+    chunk = pa.table({"doc_id": [1, 2, 3, 4], "text": texts, "copies": [1, 3, 1, 300], "chunk": [9] * 4})
+    say = lambda t: {(b // 5, int(h)): n for b, hs, ns in zip(*(t.column(c).to_pylist() for c in ("bucket", "h", "n"))) for h, n in zip(np.frombuffer(hs, "<u8"), lmscore._unpacked_counts(ns, len(hs) // 8))}
+    whole = {h: n for (_, h), n in say(lmscore._asked(chunk, 3, 5, 1, 0)).items()}
+    parts = [say(lmscore._asked(chunk, 3, 5, 3, now)) for now in range(3)]
+    assert all({b for b, _ in part} == {now} and len(part) < 0.4 * len(whole) for now, part in enumerate(parts))
+    assert sum(map(len, parts)) == len(whole) and {h: n for part in parts for (_, h), n in part.items()} == whole
+
+
 def test_a_registered_query_scores_trigrams(spark):
     small = DATA.replace("0.01", "0.001")
     got = queries.QUERIES["op6_lm_scoring_order3"](spark, small)
