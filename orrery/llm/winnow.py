@@ -5,7 +5,9 @@ and the hash of a gram is that of the gram one block before, shifted by one
 bit, xor the number of the new block, without that of the old one. An array of
 all of them is built by spans, each from those a few times shorter:
 hash(ab) = hash(a) << |b| xor hash(b), where |b| counts blocks. (With blocks of
-one byte the same takes half as long again.)
+one byte the same takes half as long again.) Elements some places apart are
+joined by zip_with over slices: looking them up by place in a lambda is dearer.
+The least of each window is sought among the grams with a low hash.
 
 A fingerprint is an array of long numbers, one for each chosen k-gram of UTF-8
 bytes, by position: the upper half is the upper half of the gram's hash, the
@@ -27,7 +29,12 @@ from . import common
 K, WINDOW = 16, 64
 #: Windows worked on at a time, so that a long text takes linear time.
 CHUNK = 2048
+#: Grams with a low hash that a window has on average.
+LOW = 9
 _LOW = 0xFFFFFFFF
+#: Bits of a place in a chunk.
+_PLACE_BITS = 20
+_PLACES = (1 << _PLACE_BITS) - 1
 
 
 def _let(value: Column, body) -> Column:
@@ -35,13 +42,10 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _spread(width: int, offsets: list[int], join):
-    """An array of what join() makes of an array's elements at these offsets from each place; width is the last offset."""
-
-    def of(a: Column) -> Column:
-        return F.transform(F.slice(a, 1, F.greatest(F.size(a) - width, F.lit(0))), lambda x, i: join([x, *(F.get(a, i + o) for o in offsets[1:])]))
-
-    return of
+def _paired(a: Column, b: Column, offset: int, join) -> Column:
+    """join() of each element of a and the one of b at this offset from its place; both arrays end at the same place of the text."""
+    n = F.greatest(F.size(b) - offset, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, offset + 1, n), join)
 
 
 def block_size(k: int) -> int:
@@ -49,17 +53,23 @@ def block_size(k: int) -> int:
     return next(b for b in (4, 3, 2, 1) if k % b == 0)
 
 
-def _grams(part: Column, start: Column, k: int) -> Column:
-    """A number for each gram of `part`, whose first byte is at byte `start` of the text."""
+def _hashes(part: Column, k: int) -> Column:
+    """The hash of each gram of `part`."""
     block = block_size(k)
     a = F.transform(F.sequence(F.lit(1), F.octet_length(part) - block + 1), lambda p: F.xxhash64(F.substring(part, p, F.lit(block))))
     width = block
     while width < k:
-        times = next((f for f in (4, *range(2, k + 1)) if k // width % f == 0))
-        shift = (lambda w: lambda xs: reduce(lambda u, v: F.shiftleft(u, w).bitwiseXOR(v), xs))(width // block)
-        a = _let(a, _spread(width * (times - 1), [width * j for j in range(times)], shift))
+        times = next(f for f in range(2, k + 1) if k // width % f == 0)
+        shifted = (lambda w: lambda x, y: F.shiftleft(x, w).bitwiseXOR(y))(width // block)
+        joined = (lambda w, t, step: lambda b: reduce(lambda u, j: _paired(u, b, w * j, step), range(1, t), b))(width, times, shifted)
+        a = _let(a, joined)
         width *= times
-    return F.transform(a, lambda x, i: x.bitwiseOR(F.lit(_LOW)) - start - i)
+    return a
+
+
+def _numbered(hashes: Column, start: Column) -> Column:
+    """Numbers of grams, the first at byte `start` of the text."""
+    return F.transform(hashes, lambda x, i: x.bitwiseOR(F.lit(_LOW)) - start - i)
 
 
 def _runs(a: Column) -> Column:
@@ -67,15 +77,66 @@ def _runs(a: Column) -> Column:
     return F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
 
 
-def _window_minima(a: Column, grams: int, windows) -> Column:
-    """The least of each `grams` numbers in a row, by spans four times longer each, and each run of equal minima once."""
+def _window_minima(a: Column, grams: int) -> Column:
+    """The least of each `grams` numbers in a row, by spans twice as long each, and each run of equal minima once."""
     width = 1
     while width < grams:
-        longer = min(4 * width, grams)
-        offsets = [*range(0, longer - width, width), longer - width]
-        a = _let(a, _spread(longer - width, offsets, lambda xs: F.least(*xs)))
+        longer = min(2 * width, grams)
+        a = _let(a, (lambda offset: lambda b: _paired(b, b, offset, lambda x, y: F.least(x, y)))(longer - width))
         width = longer
-    return _let(F.slice(a, 1, windows), _runs)
+    return _let(a, _runs)
+
+
+def _ahead(x: Column, y: Column) -> Column:
+    """Places from x to y, two numbers of _low()."""
+    return x.bitwiseAND(F.lit(_PLACES)) - y.bitwiseAND(F.lit(_PLACES))
+
+
+def _low(hashes: Column, bound: int) -> Column:
+    """Those below `bound`, by place, as numbers: the upper half of the hash, then a place that counts down. Before and after them comes one less than all others, beyond the ends."""
+    edge = lambda place: F.array(F.lit(_PLACES - (1 << 62)) - place)
+    numbers = F.transform(hashes, lambda x, i: F.when(x < F.lit(bound), F.shiftright(x, 32 - _PLACE_BITS).bitwiseOR(F.lit(_PLACES)) - i - 1))
+    return F.concat(edge(F.lit(0)), F.filter(numbers, lambda x: x.isNotNull()), edge(F.size(hashes) + 1))
+
+
+def _peaks_cut(low: Column, grams: int) -> Column:
+    """Numbers of _low() without those that are the least of no window.
+
+    A number between two lesser neighbours no more than a window apart is in no
+    window without one of them. Rounds that drop those end when nothing is
+    left to drop; between the nearest lesser numbers of one that is not chosen
+    there are fewer than `grams`, and each round drops the largest of them, so
+    `grams` rounds are enough.
+    """
+
+    def kept(c: Column) -> Column:
+        inner = F.size(c) - 2
+        some = lambda after: F.filter(F.slice(c, 2, inner), lambda x, i: (F.get(c, i) > x) | (F.get(after, i) > x) | (_ahead(F.get(c, i), F.get(after, i)) > grams))
+        return F.concat(F.slice(c, 1, 1), _let(F.slice(c, 3, inner), some), F.slice(c, -1, 1))
+
+    def again(state: Column, _: Column) -> Column:
+        step = _let(kept(state["now"]), lambda after: F.struct(after.alias("now"), (F.size(after) == F.size(state["now"])).alias("done")))
+        return F.when(state["done"], state).otherwise(step)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(grams)), F.struct(low.alias("now"), F.lit(False).alias("done")), again, lambda state: state["now"])
+
+
+def _chosen(hashes: Column, start: Column, grams: int) -> Column:
+    """The least gram of each window, once each.
+
+    Only grams with a low hash are looked at, LOW a window on average, unless
+    some window has none of them: then all grams are.
+    """
+    every = _window_minima(_numbered(hashes, start), grams)
+    if grams <= LOW or CHUNK + grams >= _PLACES:
+        return every
+
+    def of(c: Column) -> Column:
+        empty = F.exists(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda x, y: _ahead(x, y) > grams), lambda x: x)
+        number = lambda x: F.shiftleft(F.shiftright(x, _PLACE_BITS), 32).bitwiseOR(F.lit(_LOW)) - start - (_PLACES - 1) + x.bitwiseAND(F.lit(_PLACES))
+        return F.when(empty, every).otherwise(F.transform(F.slice(c, 2, F.size(c) - 2), number))
+
+    return _let(_peaks_cut(_low(hashes, (LOW << 64) // grams - (1 << 63)), grams), of)
 
 
 def windowed(text: Column, k: int = K, grams: int = WINDOW) -> Column:
@@ -86,7 +147,7 @@ def windowed(text: Column, k: int = K, grams: int = WINDOW) -> Column:
 
     def chunk(b: Column, start: Column) -> Column:
         part = F.substring(b, (start + 1).cast("int"), F.lit(CHUNK + span - 1))
-        return _let(part, lambda p: _window_minima(_grams(p, start, k), grams, F.octet_length(p) - span + 1))
+        return _let(_let(part, lambda p: _hashes(p, k)), lambda a: _chosen(a, start, grams))
 
     def whole(b: Column) -> Column:
         starts = F.sequence(F.lit(0).cast("long"), (F.octet_length(b) - span).cast("long"), F.lit(CHUNK).cast("long"))
@@ -101,7 +162,7 @@ def winnowed(text: Column, k: int = K, grams: int = WINDOW) -> Column:
 
     def of(b: Column) -> Column:
         n = F.octet_length(b)
-        short = F.array(F.array_min(_grams(b, zero, k)))
+        short = F.array(F.array_min(_numbered(_hashes(b, k), zero)))
         tiny = F.array(F.xxhash64(b).bitwiseOR(F.lit(_LOW)))
         return F.when(n >= span, windowed(b, k, grams)).when(n >= k, short).when(n > 0, tiny).otherwise(F.array().cast("array<bigint>"))
 

@@ -361,6 +361,25 @@ def test_windows_of_other_sizes(spark, k, grams):
         assert number is None or all(number[t[p]] == x >> 32 for p, x in zip(at, fp))
 
 
+def test_windows_look_at_low_hashes(spark):
+    """Few grams are looked at for the least of a window, and none is lost: falling, rising, equal and extreme hashes, windows without a low one, and texts of both kinds."""
+    rnd, w = random.Random(12), 64
+    some = lambda n: [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(n)]
+    cases_of = [some(2126), sorted(some(500)), sorted(some(500), reverse=True), [-(1 << 63)] * 300, [(1 << 63) - 1] * 300, some(64), some(65)]
+    cases_of += [some(300) + [(1 << 63) - 1 - i % 7 for i in range(w)] + some(300), [i << 40 for i in range(200)], [-(1 << 63) + (abs(i - 90) << 34) for i in range(180)], (some(40) * 9)[:350]]
+    cases_of += [[-(1 << 63) + (rnd.randrange(3) << 32) for _ in range(400)]]
+    df = spark.createDataFrame(list(enumerate(cases_of)), "i int, a array<bigint>").withColumn("start", F.lit(70000).cast("long"))
+    got = df.select("i", winnow._chosen(F.col("a"), F.col("start"), w), F.size(winnow._low(F.col("a"), (winnow.LOW << 64) // w - (1 << 63)))).collect()
+    for i, fp, looked in got:
+        h = [x >> 32 for x in cases_of[i]]
+        assert [(x >> 32, 0xFFFFFFFF - (x & 0xFFFFFFFF) - 70000) for x in fp] == winnowed(bytes(len(h) + 15), h), i
+        assert i or looked < len(h) / 4
+    texts = ["x" * 5000, "".join(rnd.choice("abcdefghij ") for _ in range(9000)), ("".join(rnd.choice("abc") for _ in range(83)) * 60), "a" * 2100 + "".join(rnd.choice("abcdefghij ") for _ in range(2100))]
+    data = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").cast("binary").alias("b"))
+    for t, fp, hashes in data.select("t", winnow.winnowed(F.col("b")), winnow._hashes(F.col("b"), 16)).collect():
+        assert [(x >> 32, 0xFFFFFFFF - (x & 0xFFFFFFFF)) for x in fp] == winnowed(t.encode(), [x >> 32 for x in hashes])
+
+
 def test_lm_scores_equal_sql(spark):
     docs = cases.documents(spark)
     con = duckdb.connect()
